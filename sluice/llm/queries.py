@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sluice.llm.common import ship
 from sluice.llm.packing import pack_documents
+from sluice.llm.quality import quality, quality_sql
 from sluice.llm.token_files import token_file_digests
 from sluice.llm.tokens import default_path
 
@@ -17,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents")).drop("posterior")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(_table(spark, sf_dir, "documents"), default_path(), end_id=2)
 
@@ -26,8 +31,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_token_files, op9_packing)}
+    return {f.__name__: f for f in (op1_quality, op8_token_files, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality": quality_sql()}
