@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sluice.llm.common import ship
+from sluice.llm.html_text import main_texts
 from sluice.llm.packing import pack_documents
 from sluice.llm.quality import quality, quality_sql
 from sluice.llm.token_files import token_file_digests
@@ -22,6 +23,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents")).drop("posterior")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(_table(spark, sf_dir, "documents"), default_path(), end_id=2)
 
@@ -31,7 +36,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op8_token_files, op9_packing)}
+    return {f.__name__: f for f in (op1_quality, op5_html_text, op8_token_files, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
