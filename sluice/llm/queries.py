@@ -12,6 +12,7 @@ from sluice.llm.packing import pack_documents
 from sluice.llm.quality import quality, quality_sql
 from sluice.llm.token_files import token_file_digests
 from sluice.llm.tokens import default_path
+from sluice.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +36,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), default_path(), end_id=1, length=2048)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op5_html_text, op8_token_files, op9_packing)}
+    return {f.__name__: f for f in (op1_quality, op5_html_text, op8_token_files, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
