@@ -11,6 +11,7 @@ from sluice.llm.decontaminate import leaks
 from sluice.llm.html_text import main_texts
 from sluice.llm.packing import pack_documents
 from sluice.llm.quality import quality, quality_sql
+from sluice.llm.simhash import near_duplicates
 from sluice.llm.token_files import token_file_digests
 from sluice.llm.tokens import default_path
 from sluice.llm.toxicity import toxicity
@@ -25,6 +26,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents")).drop("posterior")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(_table(spark, sf_dir, "pages"))
 
@@ -46,7 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op5_html_text, op6_decontamination, op8_token_files, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op3_simhash, op5_html_text, op6_decontamination, op8_token_files, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
