@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm.common import held_out
 
-SAMPLE = 2500
+SAMPLE = 2000
 WINDOW, STRIDE = 48, 36
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 4, 8
 WORD_ROWS, CHAR_ROWS = 1 << 14, 1 << 15
@@ -171,12 +171,19 @@ class Examples:
     def __init__(self, texts: list[str | None]):
         known: dict[bytes, int] = {}
         lists = [words_of(t) for t in texts]
-        self.index = np.array([known.setdefault(w, len(known)) for ws in lists for w in ws] + [0], dtype=np.int64)
+        self.index = np.concatenate([*(np.fromiter((known.setdefault(w, len(known)) for w in ws), np.int32, len(ws)) for ws in lists), np.zeros(1, np.int32)])
         self.sizes = np.array([len(ws) for ws in lists], dtype=np.int64)
-        self.owner = np.arange(len(texts))
         self.begin, self.end, self.first = windows_of(self.sizes)
         self.text = np.repeat(np.arange(len(texts)), np.diff(np.append(self.first, len(self.begin))))
-        self.word, self.rows, self.begins = features(list(known) or [b""])
+        del lists
+        words, parts = list(known) or [b""], []
+        for k in range(0, len(words), 20_000):
+            parts.append(features(words[k : k + 20_000]))
+        known.clear()
+        shift = np.cumsum([0] + [len(p[1]) for p in parts])
+        self.word = np.concatenate([p[0] for p in parts]).astype(np.int32)
+        self.rows = np.concatenate([p[1] for p in parts]).astype(np.int32)
+        self.begins = np.concatenate([p[2] + s for p, s in zip(parts, shift)])
         self.counts = np.diff(np.append(self.begins, len(self.rows)))
 
     def take(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,29 +192,26 @@ class Examples:
         return self.index[np.where(mask, at, 0)], mask.astype(np.float32)
 
 
-def lean(data: Examples, labels: np.ndarray, owner: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """How much more texts of label 1 have each row of a table than others do: log odds of text counts, less where few texts have it.
-
-    owner and rows: text and table row of each use.
-    """
-    pairs = np.unique(owner * size + rows)
-    one = labels[pairs // size] == 1
-    ones, zeros = np.bincount(pairs[one] % size, minlength=size), np.bincount(pairs[~one] % size, minlength=size)
-    n_one, n_zero = labels.sum(), len(labels) - labels.sum()
-    n = ones + zeros
-    return (np.log((ones + 1) / (n_one + 2)) - np.log((zeros + 1) / (n_zero + 2))) * (n / (n + 6.0))
+def lean(data: Examples, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How much more texts of label 1 have each row of the two tables than others do: log odds of text counts, less where few texts have it."""
+    counts = [np.zeros((2, WORD_ROWS)), np.zeros((2, CHAR_ROWS))]
+    at = 0
+    for size, label in zip(data.sizes, labels):
+        words = np.unique(data.index[at : at + size])
+        at += size
+        n = data.counts[words]
+        spans = np.repeat(data.begins[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        for table, rows in zip(counts, (data.word[words], data.rows[spans])):
+            table[int(label), np.unique(rows)] += 1
+    zeros, ones = len(labels) - labels.sum(), labels.sum()
+    return tuple((np.log((t[1] + 1) / (ones + 2)) - np.log((t[0] + 1) / (zeros + 2))) * (t.sum(axis=0) / (t.sum(axis=0) + 6.0)) for t in counts)
 
 
 def train(texts: list[str | None], labels: np.ndarray, seed: int = 7, epochs: int = 6) -> Weights:
     p = start_weights(seed)
     data, rng = Examples(texts), np.random.default_rng(seed)
     # The first dimension of either table starts with what the labels say about single words and n-grams.
-    of = np.repeat(data.owner, data.sizes)
-    p["words"][:, 0] = lean(data, labels, of, data.word[data.index[: len(of)]], WORD_ROWS)
-    pairs = np.unique(of * len(data.word) + data.index[: len(of)])
-    word = pairs % len(data.word)
-    spans = np.repeat(data.begins[word] - np.concatenate([[0], np.cumsum(data.counts[word])[:-1]]), data.counts[word]) + np.arange(data.counts[word].sum())
-    p["chars"][:, 0] = lean(data, labels, np.repeat(pairs // len(data.word), data.counts[word]), data.rows[spans], CHAR_ROWS)
+    p["words"][:, 0], p["chars"][:, 0] = lean(data, labels)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items() if k not in ("words", "chars")}
     squares = {k: np.full(len(p[k]), 1e-3, np.float32) for k in ("words", "chars")}
     step = 0
@@ -253,8 +257,12 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7, epochs: in
 
 
 def odds_of(p: Weights, data: Examples, batch: int = 1024) -> np.ndarray:
-    counts = data.counts[:, None]
-    vectors = np.hstack([p["words"][data.word], np.add.reduceat(p["chars"][data.rows], data.begins, axis=0) / counts]).astype(np.float32)
+    vectors, step = np.empty((len(data.word), WORD_DIM + CHAR_DIM), np.float32), 50_000
+    for k in range(0, len(vectors), step):
+        word, begins, counts = data.word[k : k + step], data.begins[k : k + step], data.counts[k : k + step]
+        rows = data.rows[begins[0] : begins[-1] + counts[-1]]
+        vectors[k : k + step, :WORD_DIM] = p["words"][word]
+        vectors[k : k + step, WORD_DIM:] = np.add.reduceat(p["chars"][rows], begins - begins[0], axis=0) / counts[:, None]
     out = np.empty(len(data.begin), np.float32)
     for k in range(0, len(out), batch):
         index, mask = data.take(np.arange(k, min(k + batch, len(out))))
