@@ -15,6 +15,7 @@ from sluice.llm.simhash import near_duplicates
 from sluice.llm.token_files import token_file_digests
 from sluice.llm.tokens import default_path
 from sluice.llm.toxicity import toxicity
+from sluice.llm.word_repeats import word_repeat_digests
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_repeat_digests(_table(spark, sf_dir, "documents"))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(_table(spark, sf_dir, "pages"))
 
@@ -51,7 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_simhash, op5_html_text, op6_decontamination, op8_token_files, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op3_simhash, op4_substrings, op5_html_text, op6_decontamination, op8_token_files, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
