@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sluice.llm.common import ship
+from sluice.llm.byte_repeats import byte_repeat_digests
 from sluice.llm.decontaminate import leaks
 from sluice.llm.html_text import main_texts
 from sluice.llm.packing import pack_documents
@@ -43,6 +44,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_repeat_digests(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(_table(spark, sf_dir, "documents"), default_path(), end_id=2)
 
@@ -56,7 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_simhash, op4_substrings, op5_html_text, op6_decontamination, op8_token_files, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op3_simhash, op4_substrings, op5_html_text, op6_decontamination, op7_suffixes, op8_token_files, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
