@@ -10,6 +10,7 @@ from sluice.llm.common import ship
 from sluice.llm.byte_repeats import byte_repeat_digests
 from sluice.llm.decontaminate import leaks
 from sluice.llm.html_text import main_texts
+from sluice.llm.lm_score import lm_scores
 from sluice.llm.packing import pack_documents
 from sluice.llm.quality import quality, quality_sql
 from sluice.llm.simhash import near_duplicates
@@ -28,6 +29,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents")).drop("posterior")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -61,7 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_simhash, op4_substrings, op5_html_text, op6_decontamination, op7_suffixes, op8_token_files, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op2_lm_score, op3_simhash, op4_substrings, op5_html_text, op6_decontamination, op7_suffixes, op8_token_files, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
