@@ -153,3 +153,122 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(lows, "root").select("fp", "component_id")
     return made.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near-duplicate groups by shingle similarity, for filtering a corpus.
+
+WIDTH, SIMILARITY = 5, 0.8
+#: Least shingles (under different hashes) of a text; two texts at the similarity share any of them with its chance.
+LEAST = 7
+#: Bits beyond which texts aren't compared. At a similarity of 0.8 fingerprints differ in 10 bits, give or take 3.
+RADIUS = 18
+ODD = np.random.default_rng(11).integers(1 << 62, size=LEAST, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Hashes of the different shingles; a shorter text is one shingle, an empty one has none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    begins = np.concatenate([[0], ends[:-1] + 1]).tolist()
+    last, digest = min(width, len(words)) - 1, xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(begins, ends[last:].tolist())), np.uint64))
+
+
+def sketch(text: str | None) -> tuple[int, list[int]]:
+    """Fingerprint of the set of shingles, and its least ones under each hash."""
+    hashes = shingles(text)
+    if not len(hashes):
+        return 0, [0] * LEAST
+    raw = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
+    counts = np.bincount((raw + PLACES).ravel(), minlength=2048)
+    ones = np.einsum("pv,vb->pb", counts.reshape(8, 256), BITS).ravel()
+    fp = np.packbits(2 * ones > len(hashes)).view(">i8")[0]
+    return int(fp), [int((hashes * m).min().view(np.int64)) for m in ODD]
+
+
+def nearest_links(values: np.ndarray, group: np.ndarray, tree: np.ndarray, asking: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span what the radius connects, each the nearest from some part to another (Boruvka's rounds)."""
+    forest, label = Forest(values[tree], group[tree]), np.arange(len(values))
+    out_a, out_b = [], []
+    while True:
+        best = np.full(len(values), np.iinfo(np.int64).max)
+        n = len(values)
+        for q, v, d in forest.search(values[asking], group[asking], radius):
+            a, b = asking[q], tree[v]
+            apart = label[a] != label[b]
+            a, b, d = a[apart], b[apart], d[apart]
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            code = (d * n + low) * n + high
+            np.minimum.at(best, label[a], code)
+            np.minimum.at(best, label[b], code)
+        found = np.unique(best[best < np.iinfo(np.int64).max])
+        if not len(found):
+            break
+        a, b = found // n % n, found % n
+        out_a.append(a)
+        out_b.append(b)
+        label = join_labels(label, a, b)
+    empty = np.zeros(0, np.int64)
+    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (empty, empty)
+
+
+def similar_pairs(distinct: DataFrame, tile: int = TILE) -> DataFrame:
+    """Pairs (a, b) of ``key`` that may be near-duplicates: texts sharing two least shingles whose fingerprints a
+    BK-tree of the shard finds within the radius, nearest first, as many as span each group."""
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    choices_ = [(i, j) for i in range(LEAST) for j in range(i)]
+    keyed_ = distinct.select("key", "fp", F.explode(F.array(*(F.xxhash64(F.lit(i), F.lit(j), F.col("least")[i], F.col("least")[j]) for i, j in choices_))).alias("k"))
+    alone = keyed_.groupBy("k").count().where("count > 1").select("k")
+    tiled = shards(keyed_.join(alone, "k"), ["k"], tile).select("k", "lo", "hi", "own", "fp", "key")
+    dealt = tiled.repartition(n, "k", "lo", "hi").sortWithinPartitions("k", "lo", "hi", "own", "fp")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, _, lo, hi, own, fp, key in grouped(batches, 3):
+            values = fp.astype(np.int64).view(np.uint64)
+            a, b = nearest_links(values, group, np.flatnonzero(own == lo), np.flatnonzero(own == hi), RADIUS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[a], key[b])), pa.array(np.maximum(key[a], key[b]))], ["a", "b"])
+
+    return dealt.mapInArrow(find, "a long, b long").where("a <> b").distinct()
+
+
+def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents without all but one of each group of near-duplicates: texts linked by shingle sets (five
+    lower-cased words) whose Jaccard similarity is at least ``similarity``. The smallest doc_id stays.
+
+    Texts without words are one group. Equal rows are copies. Candidates come from ``similar_pairs``; every pair
+    is checked on whole texts before it links.
+    """
+    spark, own = docs.sparkSession, docs.columns
+    rows = docs.withColumns({"_kid": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_key": F.xxhash64(F.coalesce("text", F.lit("")))})
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, least = zip(*(sketch(t.as_py()) for t in batch.column(2))) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(least, pa.list_(pa.int64()))], ["kid", "key", "fp", "least"])
+
+    # ``key`` stands for a text.
+    made = cut(rows.select("_kid", "_key", "text").mapInArrow(make, "kid long, key long, fp long, least array<long>"), "sketches")
+    distinct = made.groupBy("key").agg(F.first("fp").alias("fp"), F.first("least").alias("least"))
+    pairs = cut(similar_pairs(distinct), "pairs")
+    texts = rows.select(F.col("_key").alias("key"), "text").dropDuplicates(["key"])
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            right = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                p, q = shingles(x.as_py()), shingles(y.as_py())
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                right.append(both >= similarity * (len(p) + len(q) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(right, pa.bool_()))
+
+    with_a = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
+    with_both = with_a.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    roots = components(with_both.mapInArrow(agree, "a long, b long"))
+    low = made.groupBy("key").agg(F.min("kid").alias("kid"))
+    grouped_ = low.join(roots, low["key"] == roots["node"], "left").select("key", "kid", F.coalesce("root", "key").alias("root"))
+    stay = grouped_.groupBy("root").agg(F.min(F.struct("kid", "key")).alias("x")).select(F.col("x.kid").alias("_kid"), F.col("x.key").alias("_key"))
+    stay = cut(stay, "stay")
+    return rows.join(stay, ["_kid", "_key"], "left_semi").dropDuplicates(["_kid", "_key"]).select(*own)

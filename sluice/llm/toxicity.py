@@ -349,23 +349,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Weights | f
 
 
 def score(docs: DataFrame, model: Weights | float) -> DataFrame:
-    """doc_id, text, score of every row."""
+    """docs' columns and the score of every row's text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts = batch.column(place).to_pylist()
             found = np.full(len(texts), model) if isinstance(model, float) else scorer(model).score(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.float64())], [*batch.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "toxic_score"])
 
-    rest = [c for c in docs.columns if c != "text"]
-    frame = docs.select("text", *rest)
-    schema = ", ".join(f"`{n}` {t}" for n, t in frame.dtypes[1:]) + ", score double"
-    return frame.mapInArrow(scores, schema)
+    return docs.mapInArrow(scores, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", toxic_score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     found = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels, sample))
-    return found.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return found.select("doc_id", held_out(4, 2).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= threshold).cast("int").alias("predicted"))
