@@ -139,7 +139,7 @@ def without_byte_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
     parts = by_document(open_, "start", "n", "anchor", "recurs", "hot")
     edges = cut(edges_of(texts.select("kid", "kh", "text").join(parts, ["kid", "kh"]), width), "edges")
     windows = edges.where("hot").select("kid", "kh", "start", "n", "settled", "window")
-    again = windows.groupBy("window").count().where("count > 1").select("window")
+    again = cut(windows.groupBy("window").count().where("count > 1").select("window"), "again")
     counted = windows.where("NOT settled").join(again, "window").select("kid", "kh", "start", "n")
     ranges = found.where("recurs").select("kid", "kh", "start", "n").unionByName(shard_ranges(edges, width)).unionByName(counted)
     left = texts.join(by_document(ranges, "start", "n"), ["kid", "kh"], "left").select("doc_id", "text", "parts")

@@ -137,9 +137,10 @@ def candidates(docs: DataFrame, codes: Callable[[str | None], np.ndarray], gram:
                     parts, held = [], 0
 
     tiles = cut(docs.select("kid", "kh", "text").mapInArrow(tile, "kid long, kh long, start long, n int, anchor long, seg long"), "tiles")
-    again = tiles.groupBy("anchor").count().where("count > 1").select("anchor")
+    # Written first: a join of two shuffles can split a key that very many rows share, one after an aggregation can't.
+    again = cut(tiles.groupBy("anchor").count().where("count > 1").select("anchor"), "again")
     found = cut(tiles.join(again, "anchor"), "anchored")
-    whole = found.groupBy("seg").agg(F.count("*").alias("times"), F.min(F.struct("kid", "kh", "start")).alias("rep")).where("times > 1")
+    whole = cut(found.groupBy("seg").agg(F.count("*").alias("times"), F.min(F.struct("kid", "kh", "start")).alias("rep")).where("times > 1"), "whole")
     marked = found.join(whole, "seg", "left").select(
         "kid", "kh", "start", "n", "anchor", F.col("times").isNotNull().alias("recurs"), F.coalesce(F.struct("kid", "kh", "start") == F.col("rep"), F.lit(False)).alias("first")
     )

@@ -139,7 +139,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
     texts = docs.withColumns({"kid": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "kh": F.xxhash64(F.coalesce("text", F.lit("")))})
     open_ = texts.select("kid", "kh", "text").join(by_document(unsettled(found), "start", "n", "recurs"), ["kid", "kh"])
     windows = cut(windows_of(open_, width, gram), "windows")
-    confirmed = windows.groupBy("window").count().where("count > 1").select("window")
+    confirmed = cut(windows.groupBy("window").count().where("count > 1").select("window"), "confirmed")
     hits = windows.where("NOT settled").join(confirmed, "window").select("kid", "kh", F.col("at").alias("start"), F.lit(1).alias("n"))
     ranges = by_document(found.where("recurs").select("kid", "kh", "start", "n").unionByName(hits), "start", "n")
     left = texts.join(ranges, ["kid", "kh"], "left").select(*own, "parts")
