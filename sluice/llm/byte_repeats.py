@@ -4,8 +4,10 @@ Tiles (``passages``) find where 400-byte strings may recur and settle the inside
 tiles at their edges go, with the bytes that their windows reach, to shards by anchor; equal strings have equal
 anchors, so they meet. A shard is parsed into phrases, the suffixes of its dictionary and its parse are sorted
 and combined, and neighbours in that order that share 400 bytes recur. An anchor with more than ``TILE`` such
-tiles (a passage that very many documents share) would be one task's work: its windows are counted by hash
-instead, with map-side combine, which is exact as well.
+tiles (a passage that very many documents share) would be one task's work. Its windows are counted by hash
+instead, with map-side combine, which is exact as well: first in steps of ``STEP`` windows at equal distances
+from the anchor, which are dropped unless the bytes that all of a step's windows hold recur, and settled if
+all bytes that they reach recur; only the rest is counted window by window.
 
 A null text is empty. Rows with null or equal ids are documents of their own, so equal rows repeat each
 other. An empty table gives no rows. Columns other than doc_id and text are ignored.
@@ -25,33 +27,73 @@ from sluice.llm.parsing import suffix_order
 from sluice.llm.passages import BYTES, Rolling, as_bytes, by_document, candidates, codes_of_bytes, covered, unsettled
 
 WIDTH, GRAM = 400, 32
-TILE = 1024
+TILE = 2048
+STEP = 16
 #: Bytes that are parsed together.
 SHARD = 1_000_000
-EDGES = "kid long, kh long, anchor long, start long, n int, settled boolean, hot boolean, window long, segment binary"
-
-
-def edges_of(rows: DataFrame, width: int) -> DataFrame:
-    """The bytes of each tile in ``parts``; of a hot anchor's tiles, the hash of every window instead."""
+EDGES = "kid long, kh long, anchor long, start long, n int, settled boolean, hot boolean, core long, seg long, windows array<long>, segment binary"
+
+
+def steps_of(rolling: Rolling, grams: np.ndarray, anchor: int, start: int, n: int, width: int) -> list[tuple[int, int, int, int, list[int]]]:
+    """A tile's windows in steps: first window, number, hash of the bytes that every window of the step holds, hash of
+    all bytes (and how many windows there are), hashes of the windows."""
+    last = start + n - 1
+    place = last + int(np.argmax(grams[last : last + width] == np.uint64(anchor & (1 << 64) - 1)))  # the tile's least gram
+    hashes = rolling.of(np.arange(start, last + 1), np.arange(start, last + 1) + width).view(np.int64)
+    out, end = [], last + 1
+    while end > start:
+        # Windows that begin `distance` before the least gram, for STEP distances.
+        step = (place - end + 1) // STEP
+        begin = max(start, place - STEP * step - STEP + 1)
+        inner = place - STEP * step
+        core, seg = rolling.of(np.array([inner, begin]), np.array([inner - STEP + 1 + width, end - 1 + width]))
+        seg = (int(seg) * 31 + (end - begin) * 2654435761 + (place - begin) * 40503) & (1 << 64) - 1
+        core = (int(core) + step * 0x9E3779B97F4A7C15 + (anchor & (1 << 64) - 1)) & (1 << 64) - 1
+        signed = [x - (1 << 64) if x >= 1 << 63 else x for x in (core, seg)]
+        out.append((begin, end - begin, *signed, hashes[begin - start : end - start].tolist()))
+        end = begin
+    return out
+
+
+def edges_of(rows: DataFrame, width: int, gram: int) -> DataFrame:
+    """The bytes of each tile in ``parts``; of a hot anchor's tiles, their steps instead."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+    names = ["kid", "kh", "anchor", "start", "n", "settled", "hot", "core", "seg", "windows", "segment"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for kid, kh, text, parts in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                raw, rolling, out = as_bytes(text), None, []
+                raw, rolling, grams, out = as_bytes(text), None, None, []
                 for p in parts:
-                    if p["hot"]:
-                        rolling = rolling or Rolling(BYTES[np.frombuffer(raw, np.uint8)])
-                        at = np.arange(p["start"], p["start"] + p["n"])
-                        out += [(kid, kh, p["anchor"], int(a), 1, p["recurs"], True, int(w), None) for a, w in zip(at, rolling.of(at, at + width).view(np.int64))]
-                    else:
-                        out.append((kid, kh, p["anchor"], p["start"], p["n"], p["recurs"], False, None, raw[p["start"] : p["start"] + p["n"] + width - 1]))
-                columns = list(zip(*out))
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["kid", "kh", "anchor", "start", "n", "settled", "hot", "window", "segment"])
+                    if not p["hot"]:
+                        out.append((kid, kh, p["anchor"], p["start"], p["n"], p["recurs"], False, None, None, None, raw[p["start"] : p["start"] + p["n"] + width - 1]))
+                        continue
+                    if rolling is None:
+                        rolling = Rolling(BYTES[np.frombuffer(raw, np.uint8)])
+                        grams = rolling.all(gram)
+                    out += [(kid, kh, p["anchor"], at, n, p["recurs"], True, core, seg, hashes, None) for at, n, core, seg, hashes in steps_of(rolling, grams, p["anchor"], p["start"], p["n"], width)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     return rows.mapInArrow(make, EDGES)
 
 
+def hot_ranges(edges: DataFrame) -> DataFrame:
+    """kid, kh, start, n: recurring windows of unsettled tiles whose anchors are hot, by counting."""
+    steps = edges.where("hot").select("kid", "kh", "start", "n", "settled", "core", "seg", "windows")
+    cores = cut(steps.groupBy("core").count().where("count > 1").select("core"), "cores")
+    live = cut(steps.join(cores, "core"), "steps")
+    whole = cut(live.groupBy("seg").agg(F.count("*").alias("times"), F.min(F.struct("kid", "kh", "start")).alias("rep")).where("times > 1"), "segs")
+    first = F.coalesce(F.struct("kid", "kh", "start") == F.col("rep"), F.lit(False))
+    marked = cut(live.join(whole, "seg", "left").select("kid", "kh", "start", "n", "settled", "core", "windows", F.col("times").isNotNull().alias("recurs"), first.alias("first")), "marked")
+    open_ = marked.where("NOT recurs AND NOT settled")
+    near = marked.where("(recurs AND first) OR (settled AND NOT recurs)").join(open_.select("core").distinct(), "core", "left_semi")
+    each = open_.withColumn("own", F.lit(True)).unionByName(near.withColumn("own", F.lit(False)))
+    each = cut(each.select("kid", "kh", "start", "own", F.posexplode("windows").alias("at", "window")), "windows")
+    again = cut(each.groupBy("window").count().where("count > 1").select("window"), "again")
+    counted = each.where("own").join(again, "window").select("kid", "kh", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n"))
+    return marked.where("recurs AND NOT settled").select("kid", "kh", "start", "n").unionByName(counted)
+
+
 def recurring(segments: list[bytes], counts: np.ndarray, width: int) -> list[np.ndarray]:
     """Of the first ``counts`` windows of each segment, those that another window of the segments equals."""
     order, shift = suffix_order(segments, width)
@@ -137,11 +179,8 @@ def without_byte_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
     hot = open_.groupBy("anchor").count().where(F.col("count") > tile).select("anchor", F.lit(True).alias("hot"))
     open_ = open_.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     parts = by_document(open_, "start", "n", "anchor", "recurs", "hot")
-    edges = cut(edges_of(texts.select("kid", "kh", "text").join(parts, ["kid", "kh"]), width), "edges")
-    windows = edges.where("hot").select("kid", "kh", "start", "n", "settled", "window")
-    again = cut(windows.groupBy("window").count().where("count > 1").select("window"), "again")
-    counted = windows.where("NOT settled").join(again, "window").select("kid", "kh", "start", "n")
-    ranges = found.where("recurs").select("kid", "kh", "start", "n").unionByName(shard_ranges(edges, width)).unionByName(counted)
+    edges = cut(edges_of(texts.select("kid", "kh", "text").join(parts, ["kid", "kh"]), width, gram), "edges")
+    ranges = found.where("recurs").select("kid", "kh", "start", "n").unionByName(shard_ranges(edges, width)).unionByName(hot_ranges(edges))
     left = texts.join(by_document(ranges, "start", "n"), ["kid", "kh"], "left").select("doc_id", "text", "parts")
     return remove(left, width)
 
