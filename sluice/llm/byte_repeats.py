@@ -176,7 +176,7 @@ def without_byte_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
     found = candidates(keyed(docs), codes_of_bytes, gram, width)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns({"kid": F.coalesce("doc_id", F.lit(NO_ID)), "kh": F.xxhash64(F.coalesce("text", F.lit("")))})
     open_ = unsettled(found)
-    hot = open_.groupBy("anchor").count().where(F.col("count") > tile).select("anchor", F.lit(True).alias("hot"))
+    hot = cut(open_.groupBy("anchor").count().where(F.col("count") > tile).select("anchor", F.lit(True).alias("hot")), "hot")
     open_ = open_.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     parts = by_document(open_, "start", "n", "anchor", "recurs", "hot")
     edges = cut(edges_of(texts.select("kid", "kh", "text").join(parts, ["kid", "kh"]), width, gram), "edges")
