@@ -85,7 +85,7 @@ def shards(values: DataFrame, key: list[str], tile: int = TILE) -> DataFrame:
     """Rows (key columns, fp, ...) with tile numbers: own, and lo <= hi of each pair of tiles that must meet.
     Shards of at most ``tile`` rows have the one pair (0, 0)."""
     large = values.groupBy(*key).count().where(F.col("count") > tile)
-    large = large.select(*(F.col(k).alias(f"_{k}") for k in key), F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
+    large = cut(large.select(*(F.col(k).alias(f"_{k}") for k in key), F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "large")
     on = [F.col(k) == F.col(f"_{k}") for k in key]
     both = values.join(large, on, "left").drop(*(f"_{k}" for k in key)).withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     both = both.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("tiles")).cast("int"))
