@@ -65,6 +65,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def packed(docs: DataFrame) -> F.Column:
+    """All columns of docs as one struct, out of the way of an operator's own names."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns))
+
+
 def held_out(modulus: int, remainder: int) -> F.Column:
     """crc32 of doc_id as text leaves this remainder; a null id counts as the empty text."""
     return (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus) == remainder
@@ -116,12 +121,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let executors import this package: they fetch a zip of it from the driver, once a session."""
+    """Prepare a session: executors fetch a zip of this package from the driver, so they can import it."""
     import tempfile
     import zipfile
 
     import sluice
 
+    # Texts are long: Arrow batches of a quarter of the usual rows keep workers small.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2500")
     context = spark.sparkContext
     if getattr(context, "_sluice_shipped", False):
         return

@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.caches import kept
+
 WIDTH = 5
 SIMILARITY = 0.8
 BLOCK = 20_000
@@ -181,15 +183,9 @@ class Matcher:
         return len(changed)
 
 
-_matchers: dict[str, Matcher] = {}
-
-
 def matcher(name: str, items: list[tuple[int | None, str | None]]) -> Matcher:
-    """One for each block and Python worker."""
-    if name not in _matchers:
-        _matchers.clear()
-        _matchers[name] = Matcher(items)
-    return _matchers[name]
+    """The worker's matcher of a block."""
+    return kept(("matcher", name), lambda: Matcher(items))
 
 
 def blocks(benchmark: DataFrame, block: int = BLOCK) -> Iterator[list[tuple[int | None, str | None]]]:

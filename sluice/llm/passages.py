@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.caches import kept
 from sluice.llm.common import cut
 
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -99,15 +100,12 @@ class _Codes(dict):
         return found
 
 
-_codes = _Codes()
-
-
 def as_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
 def word_codes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(kept("word codes", _Codes).__getitem__, words), np.uint64, len(words))
 
 
 def codes_of_words(text: str | None) -> np.ndarray:

@@ -9,6 +9,8 @@ from array import array
 import numpy as np
 import regex
 
+from sluice.llm.caches import kept
+
 #: How a byte-level pre-tokenizer splits text (fixed value of that format).
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -27,7 +29,7 @@ class Encoder:
     for whole texts. Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -64,12 +66,7 @@ class _Known(dict):
         return ids
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder for each path and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The worker's encoder for a path."""
+    return kept(("encoder", path), lambda: Encoder(path))
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.caches import kept
 from sluice.llm.common import held_out
 
 SAMPLE = 2000
@@ -319,16 +320,9 @@ class _Numbered(dict):
         return found
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def scorer(p: Weights) -> Scorer:
-    """One for each network and Python worker."""
-    key = zlib.crc32(b"".join(p[k].tobytes() for k in sorted(p)))
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(p)
-    return _scorers[key]
+    """The worker's scorer of a network."""
+    return kept(("toxicity", zlib.crc32(b"".join(p[k].tobytes() for k in sorted(p)))), lambda: Scorer(p))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Weights | float:
