@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.bktree import Forest, join_labels
-from sluice.llm.common import components, cut
+from sluice.llm.common import NO_ID, components, cut, packed
 
 TILE = 4096
 #: Mean fingerprints in a shard beyond which choices get longer.
@@ -241,8 +241,7 @@ def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
     Texts without words are one group. Equal rows are copies. Candidates come from ``similar_pairs``; every pair
     is checked on whole texts before it links.
     """
-    spark, own = docs.sparkSession, docs.columns
-    rows = docs.withColumns({"_kid": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_key": F.xxhash64(F.coalesce("text", F.lit("")))})
+    rows = docs.select(packed(docs).alias("own"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_kid"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,10 +249,10 @@ def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(least, pa.list_(pa.int64()))], ["kid", "key", "fp", "least"])
 
     # ``key`` stands for a text.
-    made = cut(rows.select("_kid", "_key", "text").mapInArrow(make, "kid long, key long, fp long, least array<long>"), "sketches")
+    made = cut(rows.select("_kid", "_key", "own.text").mapInArrow(make, "kid long, key long, fp long, least array<long>"), "sketches")
     distinct = made.groupBy("key").agg(F.first("fp").alias("fp"), F.first("least").alias("least"))
     pairs = cut(similar_pairs(distinct), "pairs")
-    texts = rows.select(F.col("_key").alias("key"), "text").dropDuplicates(["key"])
+    texts = rows.select(F.col("_key").alias("key"), "own.text").dropDuplicates(["key"])
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,4 +270,4 @@ def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
     grouped_ = low.join(roots, low["key"] == roots["node"], "left").select("key", "kid", F.coalesce("root", "key").alias("root"))
     stay = grouped_.groupBy("root").agg(F.min(F.struct("kid", "key")).alias("x")).select(F.col("x.kid").alias("_kid"), F.col("x.key").alias("_key"))
     stay = cut(stay, "stay")
-    return rows.join(stay, ["_kid", "_key"], "left_semi").dropDuplicates(["_kid", "_key"]).select(*own)
+    return rows.join(stay, ["_kid", "_key"], "left_semi").dropDuplicates(["_kid", "_key"]).select("own.*")

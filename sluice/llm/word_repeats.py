@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import cut, keyed
+from sluice.llm.common import NO_ID, cut, keyed, packed
 from sluice.llm.passages import Rolling, as_bytes, by_document, candidates, codes_of_words, covered, least, unsettled, word_codes
 
 WIDTH, GRAM = 35, 8
@@ -79,14 +79,12 @@ class Shard:
 
 
 def remove(rows: DataFrame, width: int, gram: int) -> DataFrame:
-    """Stream documents with the windows confirmed for them (``parts``, null if none) through shard automata."""
-    rest = [c for c in rows.columns if c not in ("text", "parts")]
-    frame = rows.select("text", "parts", *rest)
-    names = [*rest, "kept", "n_words", "n_removed"]
+    """Stream documents with the windows confirmed for them (``parts``, null if none) through shard automata.
+    rows: own (a struct with text), parts."""
 
-    def shard(held: list[tuple], columns: list[list]) -> pa.RecordBatch:
+    def shard(part: pa.RecordBatch) -> pa.RecordBatch:
         found, shard = [], Shard(width, gram)
-        for text, parts in held:
+        for text, parts in zip(part.column(0).field("text").to_pylist(), part.column(1).to_pylist()):
             words = as_bytes(text).split()
             if not parts:
                 found.append((None, None, b" ".join(words).decode("utf-8", "surrogatepass"), len(words)))
@@ -107,46 +105,33 @@ def remove(rows: DataFrame, width: int, gram: int) -> DataFrame:
             kept.append(whole)
             sizes.append(n)
             removed.append(gone)
-        arrays = [pa.array(c, t) for c, t in zip(columns, types)]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(kept, pa.string()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64())], names)
-
-    types: list = []
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.string()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64())], ["own", "kept", "n_words", "n_removed"])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, columns, size = [], [[] for _ in rest], 0
         for batch in batches:
-            if not types:
-                types.extend(batch.schema.field(k).type for k in range(2, batch.num_columns))
-            for text, parts, *own in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
-                held.append((text, parts))
-                for c, v in zip(columns, own):
-                    c.append(v)
-                size += len(text or "")
-                if size > SHARD:
-                    yield shard(held, columns)
-                    held, columns, size = [], [[] for _ in rest], 0
-        if held:
-            yield shard(held, columns)
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in frame.dtypes[2:]) + ", kept string, n_words long, n_removed long"
-    return frame.mapInArrow(stream, schema)
+            begin = size = 0
+            for row, text in enumerate(batch.column(0).field("text")):
+                size += len(text.as_py() or "")
+                if size > SHARD or row == batch.num_rows - 1:
+                    yield shard(batch.slice(begin, row + 1 - begin))
+                    begin, size = row + 1, 0
+
+    return rows.mapInArrow(stream, f"own {rows.schema['own'].dataType.simpleString()}, kept string, n_words long, n_removed long")
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """docs' columns, and kept (the words left, joined by one space), n_words, n_removed."""
-    own = docs.columns
+    """own (a struct of docs' columns), kept (the words left, joined by one space), n_words, n_removed."""
     found = candidates(keyed(docs), codes_of_words, gram, width)
-    texts = docs.withColumns({"kid": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "kh": F.xxhash64(F.coalesce("text", F.lit("")))})
-    open_ = texts.select("kid", "kh", "text").join(by_document(unsettled(found), "start", "n", "recurs"), ["kid", "kh"])
+    texts = docs.select(packed(docs).alias("own"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("kid"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("kh"))
+    open_ = texts.select("kid", "kh", "own.text").join(by_document(unsettled(found), "start", "n", "recurs"), ["kid", "kh"])
     windows = cut(windows_of(open_, width, gram), "windows")
     confirmed = cut(windows.groupBy("window").count().where("count > 1").select("window"), "confirmed")
     hits = windows.where("NOT settled").join(confirmed, "window").select("kid", "kh", F.col("at").alias("start"), F.lit(1).alias("n"))
     ranges = by_document(found.where("recurs").select("kid", "kh", "start", "n").unionByName(hits), "start", "n")
-    left = texts.join(ranges, ["kid", "kh"], "left").select(*own, "parts")
-    return remove(left.select("text", "parts", *(F.col(c) if c != "text" else F.col("text").alias("_text") for c in own)), width, gram).withColumnRenamed("_text", "text").select(*own, "kept", "n_words", "n_removed")
+    return remove(texts.join(ranges, ["kid", "kh"], "left").select("own", "parts"), width, gram)
 
 
 def word_repeat_digests(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return without_repeats(slim, width, gram).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return without_repeats(slim, width, gram).select("own.doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
