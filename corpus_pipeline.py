@@ -37,8 +37,12 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents without the passages of 35 words or more that recur; texts that hold none stay as they are."""
     ship(spark)
     left = without_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return left.withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("own.text"))
+    own = {c: F.col("own").getField(c) for c in docs.columns}
+    own["text"] = text
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(own["n_chars"])
+    return left.select(*(c.alias(n) for n, c in own.items()))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
