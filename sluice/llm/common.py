@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.sources import session
+
 #: White space of the word contract: a word is a longest run of other characters.
 SPACES = " \t\n\x0b\f\r"
 #: Stands for a null doc_id in row keys.
@@ -121,24 +122,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Prepare a session: executors fetch a zip of this package from the driver, so they can import it."""
-    import tempfile
-    import zipfile
-
-    import sluice
-
-    # Texts are long: Arrow batches of a quarter of the usual rows keep workers small.
+    """Prepare a session: executors can import this package, and Arrow batches of texts, which are long, have a quarter
+    of the usual rows."""
+    session.ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2500")
-    context = spark.sparkContext
-    if getattr(context, "_sluice_shipped", False):
-        return
-    root = os.path.dirname(os.path.abspath(sluice.__file__))
-    path = os.path.join(tempfile.mkdtemp(), "sluice.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.join("sluice", os.path.relpath(full, root)))
-    context.addPyFile(path)
-    context._sluice_shipped = True
