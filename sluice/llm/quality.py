@@ -3,8 +3,8 @@
 Base counts come from whole texts. Rules over ratios of these counts vote good (1), bad (-1) or abstain (0).
 Expectation-maximisation over the counts of vote patterns (at most 3 ** rules rows, whatever the corpus)
 estimates the share of good documents and how accurate each rule's bad and good votes are; abstaining says
-nothing. A prior as heavy as a rule's own votes holds its accuracy, for rules that fire apart from all others
-have nobody to confirm them. The posterior probability of good replaces all-must-pass filtering.
+nothing. A prior as heavy as the votes themselves holds the accuracies and the share, for rules that fire apart
+from all others have nobody to confirm them. The posterior probability of good replaces all-must-pass filtering.
 
 A null or empty text has no words: every rule abstains and base_failed is true. Null and repeated doc_ids
 are rows of their own. An empty table gives no rows. Columns other than doc_id and text are ignored.
@@ -28,11 +28,14 @@ RULES: list[Rule] = [
     ("repeated_words", "n_repeat_words", "n_words", -1, 0.4, 1, 0),
     ("repeated_lines", "n_dup_lines", "n_lines", -1, 0.4, 1, 0),
     ("word_length", "word_chars", "n_words", 2.0, 14.0, 1, 0),
-    ("sentence_ends", "n_stops", "n_words", 0.002, 0.7, 0.02, 0.3),
+    ("sentence_ends", "n_stops", "n_words", -1, 0.7, 0.02, 0.3),
 ]
 ROUNDS = 15
 #: Accuracies of bad and of good votes before any are seen.
 PRIOR = {-1: 0.9, 1: 0.95}
+#: Share of good documents before any vote is seen.
+SHARE = 0.9
+ODDS_SQL = f"ln((sum(c * q) + {SHARE} * (sum(c) + 1)) / (sum(c) - sum(c * q) + {1 - SHARE} * (sum(c) + 1)))"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Java escapes of the white space of the word contract.
 SPACE = "[ \\t\\n\\x0B\\f\\r]+"
@@ -104,7 +107,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS)
     for _ in range(rounds if patterns else 0):
         total = sum(c for _, c in patterns)
         good = sum(c * q for (_, c), q in zip(patterns, weights))
-        odds = math.log((good + 1) / (total - good + 1))
+        odds = math.log((good + SHARE * (total + 1)) / (total - good + (1 - SHARE) * (total + 1)))
         for j in range(k):
             for v in (-1, 1):
                 votes = sum(c for p, c in patterns if p[j] == v)
@@ -145,7 +148,7 @@ def quality_sql(rules: list[Rule] = RULES) -> str:
         votes = f"sum(CASE WHEN v[{j}] = {v} THEN c ELSE 0 END)"
         right = f"sum(CASE WHEN v[{j}] = {v} THEN c * {'q' if v == 1 else '(1 - q)'} ELSE 0 END)"
         accuracy = f"(({right} + {PRIOR[v]} * ({votes} + 1)) / (2 * {votes} + 1))"
-        odds = "ln((sum(c * q) + 1) / (sum(c) - sum(c * q) + 1))"
+        odds = ODDS_SQL
         return f"{v} * greatest(0, ln({accuracy} / (1 - {accuracy})) - {v} * {odds})"
 
     adds = ", ".join(f"[{add(j, -1)}, 0, {add(j, 1)}]" for j in range(1, k + 1))
@@ -167,7 +170,7 @@ def quality_sql(rules: list[Rule] = RULES) -> str:
     em AS (
         SELECT 0 AS step, 0::DOUBLE AS odds, NULL::DOUBLE[][] AS adds
         UNION ALL
-        SELECT step + 1, ln((sum(c * q) + 1) / (sum(c) - sum(c * q) + 1)), [{adds}] FROM (
+        SELECT step + 1, {ODDS_SQL}, [{adds}] FROM (
             SELECT step, v, c, CASE WHEN step = 0 THEN CASE WHEN list_contains(v, -1) THEN 0.2 ELSE 0.9 END
                 ELSE 1 / (1 + exp(-greatest(-700, least(700, odds + {points})))) END::DOUBLE AS q FROM em, s WHERE step < {ROUNDS}
         ) GROUP BY step
