@@ -166,6 +166,16 @@ def repeated(streams: list[np.ndarray], pages: list[object], run: int = RUN) ->
     return [covered[e - n : e - 1] for e, n in zip(ends, sizes)]
 
 
+def within(gone: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Covered tokens of a block whose run is the whole block or long by itself: a run that ends a few words into the
+    next block says nothing about that."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+    out = np.zeros(len(gone), bool)
+    for a, b in zip(edges[::2], edges[1::2]):
+        out[a:b] = b - a >= min(run, len(gone))
+    return out
+
+
 def texts_of(pages: list[tuple[object, str | None]]) -> list[str]:
     """Main texts of one host's (url, html) pages."""
     found = [blocks_of(h) for _, h in pages]
@@ -184,7 +194,7 @@ def texts_of(pages: list[tuple[object, str | None]]) -> list[str]:
         kept, at = [], 0
         for text, _ in blocks:
             n = text.count(" ") + 1
-            rest = " ".join(w for w, g in zip(words[at : at + n], gone[at : at + n]) if not g)
+            rest = " ".join(w for w, g in zip(words[at : at + n], within(gone[at : at + n])) if not g)
             at += n
             if rest:
                 kept.append(rest)
