@@ -29,7 +29,7 @@ class Encoder:
     for whole texts. Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
