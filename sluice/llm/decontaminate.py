@@ -63,7 +63,7 @@ def kind_of(word: str) -> tuple[str, int, bool]:
 class _Kinds(dict):
     """Word to a number; the words' codes, kinds and sentence ends by number."""
 
-    def __init__(self, keep: int = 300_000):
+    def __init__(self, keep: int = 200_000):
         super().__init__()
         self.keep, self.rows = keep, []
         self.codes, self.kinds, self.ends = np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.common import cut
-from sluice.llm.tokens import encoder
+from sluice.llm.tokens import KEEP, encoder
 
 
 def price(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -109,11 +109,11 @@ def plan(demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     return uses + [(np.frombuffer(k, dtype=np.int64), n) for k, n in extra.items()]
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int, keep: int = KEEP) -> DataFrame:
     """Every document's pieces: doc_id, start, length, ids_crc32, doc_tokens."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, keep)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -190,6 +190,6 @@ def pack(found: DataFrame, length: int, unit: int = 16) -> DataFrame:
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(before_it), F.lit(0))).drop("slot")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, keep: int = KEEP) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    return pack(cut(pieces(docs, tokenizer, end_id, length), "pieces"), length)
+    return pack(cut(pieces(docs, tokenizer, end_id, length, keep), "pieces"), length)

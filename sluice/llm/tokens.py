@@ -14,6 +14,9 @@ from sluice.llm.caches import kept
 #: How a byte-level pre-tokenizer splits text (fixed value of that format).
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Pre-tokens whose ids a worker keeps: about 200 bytes each.
+KEEP = 1_000_000
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -29,7 +32,7 @@ class Encoder:
     for whole texts. Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = KEEP):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -66,7 +69,7 @@ class _Known(dict):
         return ids
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, keep: int = KEEP) -> Encoder:
     """The worker's encoder for a path."""
-    return kept(("encoder", path), lambda: Encoder(path))
+    return kept(("encoder", path, keep), lambda: Encoder(path, keep))
 

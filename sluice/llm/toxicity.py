@@ -274,7 +274,7 @@ def odds_of(p: Weights, data: Examples, batch: int = 1024) -> np.ndarray:
 class Scorer:
     """Scores texts; keeps the inputs of the first ``keep`` different words it meets."""
 
-    def __init__(self, p: Weights, keep: int = 300_000):
+    def __init__(self, p: Weights, keep: int = 200_000):
         self.p, self.keep, self.known = p, keep, _Numbered()
         self.vectors = np.zeros((0, WORD_DIM + CHAR_DIM), np.float32)
 
