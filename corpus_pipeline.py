@@ -54,7 +54,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their places in sequences of 2048 tokens."""
     ship(spark)
-    return pack_documents(docs, default_path(), end_id=1, length=2048)
+    return pack_documents(docs, default_path(), end_id=1, length=2048, keep=300_000)
 
 
 STAGES = [
