@@ -48,6 +48,8 @@ NAMES = frozenset(
     "overlay newsletter subscribe subscription signup login footer masthead comments comment commentlist disqus reply replies respond "
     "share sharing social related recommended widget widgets toolbar pager pagination search".split()
 )
+#: Words that do so for an element inside a line.
+INLINE_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promoted share sharing".split())
 HEADERS = frozenset(["header", "topbar", "siteheader"])
 MARK = re.compile(
     r"<!--.*?(?:-->|$)|<(script|style|title|textarea|iframe|xmp|noembed|noframes)\b.*?(?:</\1\s*>|$)"
@@ -58,7 +60,7 @@ ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 NAME_PARTS = re.compile(r"[^a-z0-9]+")
 
 
-def _named(raw: str, in_article: bool) -> bool:
+def _named(raw: str, inside: int, names: frozenset[str] = NAMES) -> bool:
     """Whether attributes say that an element is boilerplate or hidden."""
     for name, a, b, c in ATTRIBUTE.findall(raw):
         name, value = name.lower(), (a or b or c).lower()
@@ -69,20 +71,20 @@ def _named(raw: str, in_article: bool) -> bool:
         if name in ("class", "id"):
             for word in value.split():
                 parts = set(NAME_PARTS.split(word))
-                if parts & NAMES and not ("free" in parts or "content" in parts or "article" in parts or "post" in parts and "comments" not in parts):
+                if parts & names and not ("free" in parts or "content" in parts or "article" in parts or "post" in parts and "comments" not in parts):
                     return True
-                if not in_article and parts & HEADERS:
+                if not inside and parts & HEADERS:
                     return True
     return False
 
 
 def blocks_of(html: str | None) -> list[tuple[str, bool]]:
-    """Visible blocks of a page in order, without named boilerplate; the flag: an article or main element holds it."""
-    out: list[tuple[str, bool]] = []
-    open_: list[tuple[str, bool, bool]] = []  # tag, dropped, in an article or main element
+    """Visible blocks of a page in order, without named boilerplate; the flag: the page's article elements hold it, or
+    its main element where it has no article."""
+    out: list[tuple[str, int]] = []
+    open_: list[tuple[str, bool, int]] = []  # tag, dropped, and 2 in an article, 1 in a main element, else 0
     words: list[str] = []
-    dropped = inside = False
-    at = 0
+    dropped, inside, at = False, 0, 0
 
     def end_block() -> None:
         if words:
@@ -100,37 +102,37 @@ def blocks_of(html: str | None) -> list[tuple[str, bool]]:
         if tag is None:
             continue
         tag = tag.lower()
+        block = tag in BLOCKS
+        if block:
+            end_block()
         if m[2]:
-            if tag in BLOCKS:
-                end_block()
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == tag:
-                    end_block()
                     del open_[k:]
                     break
         else:
-            if tag in BLOCKS:
-                end_block()
+            if block:
                 while open_ and tag in ENDED_BY.get(open_[-1][0], ()):
                     open_.pop()
-                dropped, inside = open_[-1][1:] if open_ else (False, False)
+                dropped, inside = open_[-1][1:] if open_ else (False, 0)
             if tag in VOID:
                 if tag == "br" and not dropped:
                     words.append(" ")
                 continue
-            if tag not in BLOCKS and tag not in DROPPED and not m[4]:
+            attributes = m[4]
+            if not block and tag not in DROPPED and not attributes:
                 continue  # inline markup changes nothing
-            drop = dropped or tag in DROPPED or tag == "header" and not inside or bool(m[4].strip()) and tag not in ("html", "body") and _named(m[4], inside)
-            if tag not in BLOCKS and not drop or m[4].endswith("/"):
+            drop = dropped or tag in DROPPED or tag == "header" and not inside
+            drop = drop or bool(attributes.strip()) and tag not in ("html", "body") and _named(attributes, inside, NAMES if block else INLINE_NAMES)
+            if not block and not drop or attributes.endswith("/"):
                 continue
-            if drop and not dropped:
-                end_block()
-            open_.append((tag, drop, inside or tag in ("article", "main")))
-        dropped, inside = open_[-1][1:] if open_ else (False, False)
+            open_.append((tag, drop, max(inside, {"article": 2, "main": 1}.get(tag, 0))))
+        dropped, inside = open_[-1][1:] if open_ else (False, 0)
     if not dropped and at < len(html):
         words.append(html[at:])
     end_block()
-    return out
+    best = max((level for _, level in out), default=0)
+    return [(text, level == best > 0) for text, level in out]
 
 
 def repeated(streams: list[np.ndarray], pages: list[object], run: int = RUN) -> list[np.ndarray]:
