@@ -189,10 +189,11 @@ def test_html_text(spark):
     rows = [
         (1, "https://a.org/1", PAGE.format(main=article)), (2, "https://a.org/2", PAGE.format(main=article)), (3, "https://b.org/1", PAGE.format(main=loose(1))),
         (4, "https://b.org/2", PAGE.format(main=loose(2))), (5, "https://c.org/", None), (6, None, ""), (None, "https://c.org/x", "plain  text"), (7, "https://c.org/y", "<main><p>" + "w " * 50_000 + "</main>"),
+        (9, "https://e.org/", "<main><div>around</div><article><header><h1>H</h1></header><p>one <span class='ad'>buy</span> two<ul><li>x<li>y</ul></article></main>"),
         (8, "https://d.org/", "a < b <!-- gone --> c"), (8, "https://d.org/", "a < b <!-- gone --> c"),
     ]
     pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, host string")
-    want = [(1, "Title & more\n\na bold word\n\nx < y é")] * 1 + [(2, "Title & more\n\na bold word\n\nx < y é"), (3, "Page 1 says something of its own"), (4, "Page 2 says something of its own"), (5, ""), (6, ""), (None, "plain text"), (7, ("w " * 50_000).strip()), (8, "a < b c"), (8, "a < b c")]
+    want = [(1, "Title & more\n\na bold word\n\nx < y é")] * 1 + [(2, "Title & more\n\na bold word\n\nx < y é"), (3, "Page 1 says something of its own"), (4, "Page 2 says something of its own"), (5, ""), (6, ""), (None, "plain text"), (9, "H\n\none two\n\nx\n\ny"), (7, ("w " * 50_000).strip()), (8, "a < b c"), (8, "a < b c")]
     got = html_text.main_texts(pages).collect()
     assert Counter((r["page_id"], r["text"]) for r in got) == Counter(want) and all(r["n_chars"] == len(r["text"]) for r in got)
     assert html_text.main_texts(pages.limit(0)).count() == 0
