@@ -58,7 +58,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(_table(spark, sf_dir, "documents"), default_path(), end_id=1, length=2048)
+    return pack_documents(_table(spark, sf_dir, "documents"), default_path(), end_id=1, length=2048, keep=800_000)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

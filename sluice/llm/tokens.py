@@ -15,7 +15,7 @@ from sluice.llm.caches import kept
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Pre-tokens whose ids a worker keeps: about 200 bytes each.
-KEEP = 1_000_000
+KEEP = 500_000
 
 
 def default_path() -> str:
