@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import NO_ID, cut, keyed
+from sluice.llm.common import NO_ID, cut, keyed, release
 from sluice.llm.parsing import suffix_order
 from sluice.llm.passages import BYTES, Rolling, as_bytes, by_document, candidates, codes_of_bytes, covered, unsettled
 
@@ -82,9 +82,11 @@ def hot_ranges(edges: DataFrame) -> DataFrame:
     steps = edges.where("hot").select("kid", "kh", "start", "n", "settled", "core", "seg", "windows")
     cores = cut(steps.groupBy("core").count().where("count > 1").select("core"), "cores")
     live = cut(steps.join(cores, "core"), "steps")
+    release(cores)
     whole = cut(live.groupBy("seg").agg(F.count("*").alias("times"), F.min(F.struct("kid", "kh", "start")).alias("rep")).where("times > 1"), "segs")
     first = F.coalesce(F.struct("kid", "kh", "start") == F.col("rep"), F.lit(False))
     marked = cut(live.join(whole, "seg", "left").select("kid", "kh", "start", "n", "settled", "core", "windows", F.col("times").isNotNull().alias("recurs"), first.alias("first")), "marked")
+    release(live, whole)
     open_ = marked.where("NOT recurs AND NOT settled")
     near = marked.where("(recurs AND first) OR (settled AND NOT recurs)").join(open_.select("core").distinct(), "core", "left_semi")
     each = open_.withColumn("own", F.lit(True)).unionByName(near.withColumn("own", F.lit(False)))

@@ -38,18 +38,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages survive lost executors
     without computing it again."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sluice_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``cut`` that nothing reads any more: what came of them has been written too."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._sluice_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -111,7 +116,8 @@ def components(edges: DataFrame) -> DataFrame:
             .select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e"))
             .select("e.a", "e.b").where("a <> b").distinct()
         )
-        now = cut(small, "edges")
+        last, now = now, cut(small, "edges")
+        release(last)
         # A forest of stars no longer changes; counts and sums of it tell.
         after = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if after == before:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.caches import kept
-from sluice.llm.common import cut
+from sluice.llm.common import cut, release
 
 MULTIPLIER = 0x9E3779B97F4A7C15
 #: Windows of a text that are tiled at a time.
@@ -138,11 +138,14 @@ def candidates(docs: DataFrame, codes: Callable[[str | None], np.ndarray], gram:
     # Written first: a join of two shuffles can split a key that very many rows share, one after an aggregation can't.
     again = cut(tiles.groupBy("anchor").count().where("count > 1").select("anchor"), "again")
     found = cut(tiles.join(again, "anchor"), "anchored")
+    release(tiles, again)
     whole = cut(found.groupBy("seg").agg(F.count("*").alias("times"), F.min(F.struct("kid", "kh", "start")).alias("rep")).where("times > 1"), "whole")
     marked = found.join(whole, "seg", "left").select(
         "kid", "kh", "start", "n", "anchor", F.col("times").isNotNull().alias("recurs"), F.coalesce(F.struct("kid", "kh", "start") == F.col("rep"), F.lit(False)).alias("first")
     )
-    return cut(marked, "candidates")
+    out = cut(marked, "candidates")
+    release(found, whole)
+    return out
 
 
 def unsettled(found: DataFrame) -> DataFrame:
