@@ -102,3 +102,12 @@ def test_stream(spark, tmp_path):
     changes = spark.read.parquet(str(tmp_path / "out" / "changes"))
     assert {(r["batch"], r["change_type"]): r["count"] for r in changes.groupBy("batch", "change_type").count().collect()} == {(0, "added"): 5, (1, "changed"): 1}
     assert spark.read.parquet(str(tmp_path / "out" / "state-1")).count() == 5
+
+
+def test_stateful_changes(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for k, price in enumerate(("1", "1", "2")):
+        spark.createDataFrame([("a", datetime(2024, 1, 1 + k), price)], "_id string, _extractedAt timestamp, price string").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("_id string, _extractedAt timestamp, price string").parquet(source)
+        watch.field_changes(stream, "price").writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r["before"], r["after"]) for r in spark.read.parquet(out).collect() if r["before"]) == [("1", "2")]
