@@ -12,7 +12,7 @@ A data set is a folder of pairs, one pair for each partition of the documents in
 it, is a prefix sum, so any document's global place is base + offset.
 
 A null text is an empty one, and every document ends with the end id, so none is without ids. Null
-doc_ids come first; rows with the same doc_id are kept apart, in the order of their texts. An empty table
+doc_ids come first; rows with the same doc_id are kept apart, in the order they are read. An empty table
 gives no rows. Columns other than doc_id and text are ignored.
 """
 
@@ -76,7 +76,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # The place a row is read from parts rows of equal ids (or nulls), however many there are, without reading texts to sample.
+    rows = rows.withColumn("read", F.monotonically_increasing_id()).repartitionByRange(n, "doc_id", "read").sortWithinPartitions("doc_id", "read").drop("read")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
