@@ -221,8 +221,8 @@ def similar_pairs(distinct: DataFrame, tile: int = TILE) -> DataFrame:
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     choices_ = [(i, j) for i in range(LEAST) for j in range(i)]
     keyed_ = distinct.select("key", "fp", F.explode(F.array(*(F.xxhash64(F.lit(i), F.lit(j), F.col("least")[i], F.col("least")[j]) for i, j in choices_))).alias("k"))
-    alone = keyed_.groupBy("k").count().where("count > 1").select("k")
-    tiled = shards(keyed_.join(alone, "k"), ["k"], tile).select("k", "lo", "hi", "own", "fp", "key")
+    shared = cut(keyed_.groupBy("k").count().where("count > 1").select("k"), "shared")
+    tiled = shards(keyed_.join(shared, "k"), ["k"], tile).select("k", "lo", "hi", "own", "fp", "key")
     dealt = tiled.repartition(n, "k", "lo", "hi").sortWithinPartitions("k", "lo", "hi", "own", "fp")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
