@@ -88,7 +88,7 @@ def shards(values: DataFrame, key: list[str], tile: int = TILE) -> DataFrame:
     large = cut(large.select(*(F.col(k).alias(f"_{k}") for k in key), F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "large")
     on = [F.col(k) == F.col(f"_{k}") for k in key]
     both = values.join(large, on, "left").drop(*(f"_{k}" for k in key)).withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    both = both.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("tiles")).cast("int"))
+    both = both.withColumn("own", F.pmod(F.xxhash64(F.lit(1), *values.columns), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     return both.withColumn("other", other).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", "tiles")
 
