@@ -36,6 +36,7 @@ IMPLIED = {
     "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
     "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"])),
 }
+TABLE_PARTS = frozenset(["table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th"])
 P_SCOPE = frozenset(["table", "td", "th", "caption", "html", "body", "button", "template"])
 TAG = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|$)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S
@@ -250,8 +251,8 @@ class _Builder:
             if self.open[k].tag == tag:
                 del self.open[k:]
                 return
-            if tag not in ("table", "body") and self.open[k].tag in ("table", "td", "th") and tag not in IMPLIED and tag in FORMATTING:
-                return
+            if self.open[k].tag in ("table", "td", "th", "caption") and tag not in TABLE_PARTS:
+                return  # an end tag inside a cell closes nothing around the table
 
 
 # CSS selectors.

@@ -18,7 +18,7 @@ from sluice.functions import text
 from sluice.functions.dom import Node, SelectorError, js_trim, parse_cached, select
 from sluice.functions.dom import first as first_match
 from sluice.plans.columns import normalised
-from sluice.plans.config import DEFAULTS, META, ExtractionConfig, Field
+from sluice.plans.config import DEFAULTS, ExtractionConfig, Field
 
 
 def field_value(item: Node, field: Field) -> tuple[str | None, bool]:
@@ -202,10 +202,6 @@ def extract(pages: DataFrame, config: ExtractionConfig, details: DataFrame | Non
     return deduplicate(found, config.required, [order, "item_idx"])
 
 
-def meta_columns() -> tuple[str, ...]:
-    return META
-
-
 def first_per(found: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group by ``order``; for metadata tables whose groups are small."""
     return found.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_rn = 1").drop("_rn")

@@ -13,6 +13,8 @@ def test_tree_rules():
     assert [n.text() for n in dom.select(d, "p > b")] == ["x", "y"]  # an unclosed b goes on in the next block
     assert [n.text() for n in dom.select(d, "td")] == ["1", "2"]
     assert "if" not in d.text()
+    d = dom.parse("<div id=o><table><tr><td>x</div>y</table><p>z</div>")
+    assert dom.first(d, "#o").text() == "xyz"
 
 
 def test_selectors():
