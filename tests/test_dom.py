@@ -75,3 +75,13 @@ def test_ld_json_and_open_graph():
     d = dom.parse('<meta property="og:title" content="T"><meta name="twitter:title" content="U"><script type="application/ld+json">{"@type":"Product","name":"N","offers":{"price":"5"}}</script><script type="application/ld+json">{bad</script>')
     assert mining.open_graph(d) == {"title": "U"}
     assert [f[:2] for f in mining.ld_fields(d)] == [("title", "N"), ("price", "5")]
+
+
+def test_a_proposed_config_runs():
+    from sluice.operators.extract import raw_items
+    from sluice.plans.propose import propose
+
+    config = propose("shop", "https://s.com/", mining.analyse(LISTING, "https://s.com/"))
+    assert config.required == ["title", "url"] and config.pagination.next_selector == 'a[rel="next"]'
+    items = raw_items(LISTING, config.list_selector, config.fields)
+    assert len(items) == 5 and dict(zip([f.name for f in config.fields], items[0]["raw"]))["url"] == "/products/item-1"
