@@ -81,11 +81,14 @@ def choices(n: int, radius: int) -> list[int]:
     return [x - (1 << 64) if x >= 1 << 63 else x for x in masks]
 
 
-def shards(values: DataFrame, key: list[str], tile: int = TILE) -> DataFrame:
+def shards(values: DataFrame, key: list[str], tile: int = TILE, weight: str | None = None, most: int = 1) -> DataFrame:
     """Rows (key columns, fp, ...) with tile numbers: own, and lo <= hi of each pair of tiles that must meet.
-    Shards of at most ``tile`` rows have the one pair (0, 0)."""
-    large = values.groupBy(*key).count().where(F.col("count") > tile)
-    large = cut(large.select(*(F.col(k).alias(f"_{k}") for k in key), F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "large")
+    Shards of at most ``tile`` rows, and ``most`` of the sum of ``weight``, have the one pair (0, 0)."""
+    tiles = F.ceil(F.count("*") / tile)
+    if weight:
+        tiles = F.greatest(tiles, F.ceil(F.sum(weight) / most))
+    large = values.groupBy(*(F.col(k).alias(f"_{k}") for k in key)).agg(tiles.cast("int").alias("tiles")).where("tiles > 1")
+    large = cut(large, "large")
     on = [F.col(k) == F.col(f"_{k}") for k in key]
     both = values.join(large, on, "left").drop(*(f"_{k}" for k in key)).withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     both = both.withColumn("own", F.pmod(F.xxhash64(F.lit(1), *values.columns), F.col("tiles")).cast("int"))
@@ -160,6 +163,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
 WIDTH, SIMILARITY = 5, 0.8
 #: Least shingles (under different hashes) of a text; two texts at the similarity share any of them with its chance.
 LEAST = 7
+#: Shingles that are compared together, and of a tile.
+PORTION = 1 << 22
 #: Bits beyond which texts aren't compared. At a similarity of 0.8 fingerprints differ in 10 bits, give or take 3.
 RADIUS = 18
 ODD = np.random.default_rng(11).integers(1 << 62, size=LEAST, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -189,57 +194,114 @@ def sketch(text: str | None) -> tuple[int, list[int]]:
     return int(fp), [int((hashes * m).min().view(np.int64)) for m in ODD]
 
 
-def nearest_links(values: np.ndarray, group: np.ndarray, tree: np.ndarray, asking: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span what the radius connects, each the nearest from some part to another (Boruvka's rounds)."""
+def similar_links(values: np.ndarray, group: np.ndarray, tree: np.ndarray, asking: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, similarity: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links to the smallest text of each part that similar pairs within the radius connect. Texts have ``sizes`` of the
+    ``hashes`` of shingles each, one after the other. A pair links by its Jaccard similarity only, and every pair of the
+    radius is tested unless its texts are connected already, so a pair that fails hides no other."""
     forest, label = Forest(values[tree], group[tree]), np.arange(len(values))
-    out_a, out_b = [], []
-    while True:
-        best = np.full(len(values), np.iinfo(np.int64).max)
-        n = len(values)
-        for q, v, d in forest.search(values[asking], group[asking], radius):
-            a, b = asking[q], tree[v]
-            apart = label[a] != label[b]
-            a, b, d = a[apart], b[apart], d[apart]
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            code = (d * n + low) * n + high
-            np.minimum.at(best, label[a], code)
-            np.minimum.at(best, label[b], code)
-        found = np.unique(best[best < np.iinfo(np.int64).max])
-        if not len(found):
-            break
-        a, b = found // n % n, found % n
-        out_a.append(a)
-        out_b.append(b)
-        label = join_labels(label, a, b)
-    empty = np.zeros(0, np.int64)
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (empty, empty)
-
-
-def similar_pairs(distinct: DataFrame, tile: int = TILE) -> DataFrame:
-    """Pairs (a, b) of ``key`` that may be near-duplicates: texts sharing two least shingles whose fingerprints a
-    BK-tree of the shard finds within the radius, nearest first, as many as span each group."""
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = np.unique(hashes, return_inverse=True)[1].astype(np.int32)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    first, last = np.searchsorted(group, group), np.searchsorted(group, group, side="right")
+    mark = np.zeros(len(ids) + 1, bool)
+    for q, v, _ in forest.search(values[asking], group[asking], radius):
+        a, b = asking[q], tree[v]
+        # Sets of too different sizes can't be similar.
+        open_ = (label[a] != label[b]) & (np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]))
+        a, b = a[open_], b[open_]
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        cuts = np.append(np.flatnonzero(np.diff(a, prepend=-1)), len(a))
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            one = a[low]
+            own = ids[begins[one] : ends[one]]
+            mark[own] = True
+            step = max(1, PORTION // max(1, int(sizes[b[low:high]].max())))
+            for k in range(low, high, step):
+                others = b[k : min(high, k + step)]
+                others = others[label[others] != label[one]]
+                if not len(others):
+                    continue
+                n = sizes[others]
+                until = np.cumsum(n)
+                place = np.repeat(begins[others] - (until - n), n) + np.arange(until[-1])
+                hits = np.concatenate([[0], np.cumsum(mark[ids[place]])])
+                both = hits[until] - hits[until - n]
+                near = others[both >= similarity * (len(own) + n - both)]
+                if len(near):
+                    here = label[first[one] : last[one]]
+                    joined = np.append(label[near], label[one])
+                    here[np.isin(here, joined)] = joined.min()
+            mark[own] = False
+    linked = np.flatnonzero(label != np.arange(len(values)))
+    return linked, label[linked]
+
+
+def shared_choices(distinct: DataFrame) -> DataFrame:
+    """(key, fp, k): a k for each two least shingles of a text that another text shares."""
     choices_ = [(i, j) for i in range(LEAST) for j in range(i)]
     keyed_ = distinct.select("key", "fp", F.explode(F.array(*(F.xxhash64(F.lit(i), F.lit(j), F.col("least")[i], F.col("least")[j]) for i, j in choices_))).alias("k"))
     shared = cut(keyed_.groupBy("k").count().where("count > 1").select("k"), "shared")
-    tiled = shards(keyed_.join(shared, "k"), ["k"], tile).select("k", "lo", "hi", "own", "fp", "key")
+    return keyed_.join(shared, "k")
+
+
+def candidate_links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
+    """Links (a, b) of ``key`` that connect all that may be near-duplicates: texts sharing two least shingles whose
+    fingerprints a BK-tree of the shard finds within the radius. Two similar texts are in one part, but not all of a
+    part is similar."""
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiled = shards(shared_choices(distinct), ["k"], tile).select("k", "lo", "hi", "own", "fp", "key")
     dealt = tiled.repartition(n, "k", "lo", "hi").sortWithinPartitions("k", "lo", "hi", "own", "fp")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, _, lo, hi, own, fp, key in grouped(batches, 3):
-            values = fp.astype(np.int64).view(np.uint64)
-            a, b = nearest_links(values, group, np.flatnonzero(own == lo), np.flatnonzero(own == hi), RADIUS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[a], key[b])), pa.array(np.maximum(key[a], key[b]))], ["a", "b"])
+            values, label = fp.astype(np.int64).view(np.uint64), np.arange(len(fp))
+            tree, asking = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+            forest = Forest(values[tree], group[tree])
+            for q, v, _ in forest.search(values[asking], group[asking], RADIUS):
+                label = join_labels(label, asking[q], tree[v])
+            linked = np.flatnonzero(label != np.arange(len(fp)))
+            yield pa.RecordBatch.from_arrays([pa.array(key[linked]), pa.array(key[label[linked]])], ["a", "b"])
+
+    return dealt.mapInArrow(find, "a long, b long").where("a <> b").distinct()
+
+
+def similar_pairs(distinct: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """Links (a, b) of ``key`` that connect what chains of similar texts connect. Each part of the candidates meets as a
+    whole, a part beyond ``tile`` texts by the least shingles again, and its texts (key, text) are compared there."""
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = components(candidate_links(distinct, tile))
+    members = cut(distinct.join(parts, distinct["key"] == parts["node"]).select("key", "fp", "least", "root"), "members")
+    large = members.groupBy("root").count().where(F.col("count") > tile).select("root")
+    small = members.join(large, "root", "left_anti").select("key", "fp", F.xxhash64("root").alias("k"))
+    places = small.unionByName(shared_choices(members.join(large, "root", "left_semi")).select("key", "fp", "k"))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "size", "hashes"])
+
+    sets = texts.join(members.select("key"), "key", "left_semi").dropDuplicates(["key"]).select("key", "text").mapInArrow(make, "key long, size long, hashes binary")
+    placed = cut(places.join(sets, "key").select("k", "fp", "key", "size", "hashes"), "sets")
+    numbered = shards(placed.select("k", "fp", "key", "size", "hashes"), ["k"], tile, "size", PORTION)
+    dealt = numbered.select("k", "lo", "hi", "own", "fp", "key", "hashes").repartition(n, "k", "lo", "hi").sortWithinPartitions("k", "lo", "hi", "own", "fp")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, _, lo, hi, own, fp, key, raw in grouped(batches, 3, 1 << 11):
+            sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 8
+            tree, asking = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+            a, b = similar_links(fp.astype(np.int64).view(np.uint64), group, tree, asking, np.frombuffer(b"".join(raw), np.uint64), sizes, similarity, RADIUS)
+            yield pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(key[b])], ["a", "b"])
 
     return dealt.mapInArrow(find, "a long, b long").where("a <> b").distinct()
 
 
-def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
     """The documents without all but one of each group of near-duplicates: texts linked by shingle sets (five
     lower-cased words) whose Jaccard similarity is at least ``similarity``. The smallest doc_id stays.
 
-    Texts without words are one group. Equal rows are copies. Candidates come from ``similar_pairs``; every pair
-    is checked on whole texts before it links.
+    Texts without words are one group. Equal rows are copies. A pair links only by its whole texts, in
+    ``similar_pairs``.
     """
     rows = docs.select(packed(docs).alias("own"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_kid"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"))
 
@@ -251,21 +313,8 @@ def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
     # ``key`` stands for a text.
     made = cut(rows.select("_kid", "_key", "own.text").mapInArrow(make, "kid long, key long, fp long, least array<long>"), "sketches")
     distinct = made.groupBy("key").agg(F.first("fp").alias("fp"), F.first("least").alias("least"))
-    pairs = cut(similar_pairs(distinct), "pairs")
-    texts = rows.select(F.col("_key").alias("key"), "own.text").dropDuplicates(["key"])
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            right = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = shingles(x.as_py()), shingles(y.as_py())
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                right.append(both >= similarity * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(right, pa.bool_()))
-
-    with_a = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    with_both = with_a.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    roots = components(with_both.mapInArrow(agree, "a long, b long"))
+    texts = rows.select(F.col("_key").alias("key"), "own.text")
+    roots = components(similar_pairs(distinct, texts, similarity, tile))
     low = made.groupBy("key").agg(F.min("kid").alias("kid"))
     grouped_ = low.join(roots, low["key"] == roots["node"], "left").select("key", "kid", F.coalesce("root", "key").alias("root"))
     stay = grouped_.groupBy("root").agg(F.min(F.struct("kid", "key")).alias("x")).select(F.col("x.kid").alias("_kid"), F.col("x.key").alias("_key"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -315,3 +316,35 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(31)} | {100: 100, 200: 100, 300: 100} | {1000 + k: 1000 for k in range(51)}
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def edited(seed, words=44, edits=9):
+    """Three copies of one text with other beginnings and ends."""
+    r = random.Random(seed)
+    w = [f"w{r.randrange(10**6)}" for _ in range(words)]
+
+    def edit(k):
+        t, h = r.randrange(edits), r.randrange(edits)
+        return " ".join([f"h{seed}x{k}x{i}" for i in range(h)] + w[h : words - t] + [f"t{seed}x{k}x{i}" for i in range(t)])
+
+    return [edit(k) for k in range(3)]
+
+
+@pytest.mark.parametrize("tile", [2, 4096])
+def test_a_nearer_text_that_is_not_similar_hides_no_pair(spark, tile):
+    # Of each three texts the second and third are similar (0.81); the first is no copy but nearer to both by fingerprint.
+    rows = [(3 * n + k, t) for n, seed in enumerate((5762, 10352)) for k, t in enumerate(edited(seed))]
+    left = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), tile=tile)
+    assert sorted(r["doc_id"] for r in left.collect()) == [0, 1, 3, 4]
+
+
+def test_similar_links_are_those_of_all_pairs():
+    from itertools import combinations
+
+    made = [t for seed in range(40) for t in edited(seed, 30, 5)] + ["", " "]
+    sets = [simhash.shingles(t) for t in made]
+    n, sizes = np.arange(len(made)), np.array([len(s) for s in sets])
+    values = np.array([simhash.sketch(t)[0] for t in made]).view(np.uint64)
+    a, b = simhash.similar_links(values, n * 0, n, n, np.concatenate(sets), sizes, 0.7, 64)
+    alike = [(i, j) for i, j in combinations(range(len(made)), 2) if len(np.intersect1d(sets[i], sets[j])) >= 0.7 * len(np.union1d(sets[i], sets[j]))]
+    assert union(len(made), zip(a.tolist(), b.tolist())) == union(len(made), alike) and 0 < len(alike)
