@@ -165,8 +165,9 @@ WIDTH, SIMILARITY = 5, 0.8
 LEAST = 7
 #: Shingles that are compared together, and of a tile.
 PORTION = 1 << 22
-#: Bits beyond which texts aren't compared. At a similarity of 0.8 fingerprints differ in 10 bits, give or take 3.
-RADIUS = 18
+#: Bits beyond which texts aren't compared. At a similarity of 0.8 fingerprints differ in 10 bits, give or take 3; of 4
+#: against 5 shingles one pair in a million lies beyond the radius, of more shingles fewer.
+RADIUS = 28
 ODD = np.random.default_rng(11).integers(1 << 62, size=LEAST, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 

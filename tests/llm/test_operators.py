@@ -348,3 +348,13 @@ def test_similar_links_are_those_of_all_pairs():
     a, b = simhash.similar_links(values, n * 0, n, n, np.concatenate(sets), sizes, 0.7, 64)
     alike = [(i, j) for i, j in combinations(range(len(made)), 2) if len(np.intersect1d(sets[i], sets[j])) >= 0.7 * len(np.union1d(sets[i], sets[j]))]
     assert union(len(made), zip(a.tolist(), b.tolist())) == union(len(made), alike) and 0 < len(alike)
+
+
+def test_similar_texts_of_few_shingles_meet_whatever_their_bits(spark):
+    rows = []
+    for seed in (17, 65, 83):  # 5 and 4 shingles, similarity 0.8, fingerprints 19 or 20 bits apart
+        r = random.Random(seed)
+        w = [f"w{r.randrange(10**6)}" for _ in range(9)]
+        rows += [(2 * len(rows), " ".join(w)), (2 * len(rows) + 1, " ".join(w[:-1]))]
+    left = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in left.collect()) == [0, 4, 8]
