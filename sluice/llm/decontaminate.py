@@ -3,9 +3,10 @@
 Words are lower-cased and stripped of punctuation; numbers, units after a number, and names (capitalised words
 that don't begin a sentence) become typed placeholders, whose words are slots. Five-word windows of the
 resulting templates are hash-joined with the items' windows. A document is a leak of an item if at least
-``SIMILARITY`` of the item's windows occur in it and the slots are consistent: one word of the item always
+``SIMILARITY`` of the item's windows occur in a copy whose slots are consistent: one word of the item always
 stands for one word of the document and the other way round. So verbatim copies match (every slot keeps its
-word), and so do questions with other numbers or names.
+word), and so do questions with other numbers or names. A document may hold several copies and stray windows; one
+consistent copy is enough.
 
 Items come to the driver in blocks of at most ``BLOCK`` (a stated query set against all rows), and each block's
 windows go to the executors as a hash table; documents are read once a block, never shuffled.
@@ -133,7 +134,7 @@ class Matcher:
     def match(self, texts: list[str | None], similarity: float = SIMILARITY) -> list[list[tuple[int | None, float, int]]]:
         """For each text: the items it leaks, the share of their windows, and how many slots have other words."""
         out = []
-        for words, codes, slot in self.kinds.templates(texts):
+        for words, codes, _ in self.kinds.templates(texts):
             leaks = []
             for width, (code, item, place) in self.tables.items():
                 found = window_codes(codes, width)
@@ -151,36 +152,60 @@ class Matcher:
                 for i, share in zip(which, n / np.array([self.items[i][4] for i in which])):
                     if share >= similarity:
                         own = item[row] == i
-                        changed = self._slots(self.items[i], words, slot, at[own], place[row][own])
-                        if changed is not None:
-                            leaks.append((self.items[i][0], float(share), changed))
+                        copy = self._copy(self.items[i], words, at[own], place[row][own], similarity)
+                        if copy is not None:
+                            leaks.append((self.items[i][0], *copy))
             out.append(leaks)
         return out
 
-    def _slots(self, item: tuple, words: list[bytes], slot: np.ndarray, at: np.ndarray, place: np.ndarray) -> int | None:
-        """Slots whose words differ, or None if they aren't consistent. Each window of the item is read where
-        the document has most of the item's windows in line, else at its first place."""
-        _, own, own_slot, width, _ = item
-        shift, n = np.unique(at - place, return_counts=True)
-        main = shift[np.argmax(n)]
+    def _copy(self, item: tuple, words: list[bytes], at: np.ndarray, place: np.ndarray, similarity: float) -> tuple[float, int] | None:
+        """The share of the item's windows in a copy with consistent slots and how many of these have other words, or
+        None if no copy has enough. Every shift between item and document may be a copy's, those with most windows
+        first; the windows of other shifts (words were put in or left out) belong to it if they are consistent with it,
+        the nearest first. What has all its windows consistent wherever they are first read is a copy as well."""
+        off = at - place
+        shifts, n = np.unique(off, return_counts=True)
+        shifts = shifts[np.argsort(-n, kind="stable")]
+        for shift in shifts:
+            order = np.lexsort((place, off, np.abs(off - shift)))
+            cuts = np.flatnonzero(np.diff(off[order], prepend=off[order[0]] - 1))
+            found = self._read(item, words, [list(zip(place[k].tolist(), at[k].tolist())) for k in np.split(order, cuts[1:])], similarity)
+            if found is not None:
+                return found
+        order = np.lexsort((at, off != shifts[0], place))
+        first = order[np.flatnonzero(np.diff(place[order], prepend=-1))]
+        return self._read(item, words, [list(zip(place[first].tolist(), at[first].tolist()))], similarity)
+
+    def _read(self, item: tuple, words: list[bytes], runs: list[list[tuple[int, int]]], similarity: float) -> tuple[float, int] | None:
+        """The copy that begins with the first run of (place, at). Later runs add the places that have none yet, if all
+        of these are consistent; else they lie outside it."""
+        _, own, own_slot, width, total = item
         to: dict[str, str] = {}
         back: dict[str, str] = {}
-        changed = set()
-        order = np.lexsort((at, at - place != main, place))
-        last = -1
-        for k in order:
-            if place[k] == last:
-                continue
-            last = place[k]
-            for j in range(width):
-                p, q = int(place[k]) + j, int(at[k]) + j
-                if own_slot[p]:
-                    a, b = own[p], words[q].decode("utf-8", "surrogatepass").strip(STRIPPED).lower()
-                    if to.setdefault(a, b) != b or back.setdefault(b, a) != a:
-                        return None
-                    if a != b:
-                        changed.add(p)
-        return len(changed)
+        changed: set[int] = set()
+        filled: set[int] = set()
+
+        def consistent(run: list[tuple[int, int]], to: dict[str, str], back: dict[str, str], changed: set[int]) -> bool:
+            for p, q in run:
+                for j in range(width):
+                    if own_slot[p + j]:
+                        a, b = own[p + j], words[q + j].decode("utf-8", "surrogatepass").strip(STRIPPED).lower()
+                        if to.setdefault(a, b) != b or back.setdefault(b, a) != a:
+                            return False
+                        if a != b:
+                            changed.add(p + j)
+            return True
+
+        for k, run in enumerate(runs):
+            run = [x for x in run if x[0] not in filled]
+            tried = dict(to), dict(back), set(changed)
+            if run and consistent(run, *tried):
+                to, back, changed = tried
+                filled.update(p for p, _ in run)
+            elif k == 0:
+                return None
+        share = len(filled) / total
+        return (share, len(changed)) if share >= similarity else None
 
 
 def matcher(name: str, items: list[tuple[int | None, str | None]]) -> Matcher:

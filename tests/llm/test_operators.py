@@ -358,3 +358,18 @@ def test_similar_texts_of_few_shingles_meet_whatever_their_bits(spark):
         rows += [(2 * len(rows), " ".join(w)), (2 * len(rows) + 1, " ".join(w[:-1]))]
     left = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in left.collect()) == [0, 4, 8]
+
+
+def test_windows_outside_a_copy_hide_no_leak():
+    item = "Tom has 12 apples and gives 5 apples to Anna who eats 12 of them in 3 hours before the school bus comes back to the old market and takes Tom home again with 4 friends"
+    m = decontaminate.Matcher([(1, item)])
+    lost = item.replace("Tom has 12 apples and", "Tom holds 12 apples and")
+    stray = "Yesterday Bob has 77 apples and nothing. "
+    variant = item.replace("12", "13", 1).replace("Anna", "Lisa") + ". "
+    assert [len(x) for x in m.match([lost, stray + "Well. " + lost, lost + ". " + stray, variant + lost, lost + ". " + variant])] == [1] * 5
+    # An item whose own copy is inconsistent is no leak, whatever stands beside it.
+    mixed = item.replace("eats 12", "eats 14")
+    assert m.match([mixed, stray + mixed, mixed + ". " + stray]) == [[], [], []]
+    short = "Tom has 12 apples and gives 5 apples to Anna who eats 12 of them in 3 hours"
+    wrong = short.replace("eats 12", "eats 14")
+    assert decontaminate.Matcher([(2, short)]).match([wrong, wrong + ". " + wrong]) == [[], []]
