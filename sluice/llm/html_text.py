@@ -5,7 +5,8 @@ third of all pages spreads over many tasks). A task works on at most ``GROUP`` p
 it cuts each page into blocks, drops blocks of menus, headers, footers, sidebars, notices, adverts, forms and
 reader comments by element, role and class, concatenates the token streams of the blocks that no article or
 main element holds, sorts their suffixes, and drops the runs of at least ``RUN`` tokens that distinct pages of
-the group share. What an article or main element holds is kept whole: two pages may print the same article, so
+the host share. Which runs these are is counted over the whole host before (hashes of runs, with map-side combine):
+they reach the groups of their pages as one more page, so the borders of groups and tasks change no text. What an article or main element holds is kept whole: two pages may print the same article, so
 repetition says nothing there, and such words need no place in the suffix array. Where a page has such an
 element, blocks outside it go too.
 
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -178,8 +180,16 @@ def within(gone: np.ndarray, run: int = RUN) -> np.ndarray:
     return out
 
 
-def texts_of(pages: list[tuple[object, str | None]]) -> list[str]:
-    """Main texts of one host's (url, html) pages."""
+def run_hashes(host: str, words: list[str], run: int = RUN) -> list[int]:
+    """Of a host's page, the hash of the run at each word (signed 64 bits)."""
+    raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    start = host.encode("utf-8", "surrogatepass") + b"\0"
+    digests = b"".join(xxhash.xxh64_digest(start + b" ".join(raw[k : k + run])) for k in range(len(raw) - run + 1))
+    return np.frombuffer(digests, ">i8").tolist()
+
+
+def texts_of(pages: list[tuple[object, str | None]], host: str = "", shared: list[set[int]] | None = None) -> list[str]:
+    """Main texts of one host's (url, html) pages; ``shared``: of each page, the hashes of runs that other pages hold."""
     found = [blocks_of(h) for _, h in pages]
     vocabulary: dict[str, int] = {}
     streams, loose = [], []
@@ -187,7 +197,15 @@ def texts_of(pages: list[tuple[object, str | None]]) -> list[str]:
         words = [w for text, inside in blocks if not inside for w in text.split(" ")]
         loose.append(words)
         streams.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], dtype=np.int64))
-    covered = repeated(streams, [u for u, _ in pages])
+    urls: list[object] = [u for u, _ in pages]
+    seen: set[int] = set()
+    for words, stream, hashes in zip(loose, streams[:], shared or []):
+        for k, h in enumerate(run_hashes(host, words) if hashes else []):
+            if h in hashes and h not in seen:
+                seen.add(h)
+                streams.append(stream[k : k + RUN])
+                urls.append("\0")  # no page's url
+    covered = repeated(streams, urls)
     out = []
     for blocks, words, gone in zip(found, loose, covered):
         if any(inside for _, inside in blocks):
@@ -209,22 +227,40 @@ def main_texts(pages: DataFrame, group: int = GROUP) -> DataFrame:
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumns({"host": host, "spread": F.xxhash64("page_id", "url")})
-    rows = rows.repartitionByRange(n, "host", "spread").sortWithinPartitions("host", "spread")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for host, spread, url, html in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                found = list(set(run_hashes(host, [w for text, inside in blocks_of(html) if not inside for w in text.split(" ")])))
+                page = np.int64(xxhash.xxh64_intdigest(str(url).encode("utf-8", "surrogatepass")) - (1 << 63))
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(found), pa.string()), pa.array([spread] * len(found), pa.int64()), pa.array(np.full(len(found), page)), pa.array(found, pa.int64())], ["host", "spread", "page", "run"])
+
+    each = rows.select("host", "spread", "url", "html").mapInArrow(runs, "host string, spread long, page long, run long")
+    recurring = each.groupBy("run").agg(F.min("page").alias("low"), F.max("page").alias("high")).where("low <> high").select("run")
+    notes = each.select("host", "spread", "run").join(recurring, "run").groupBy("host", "spread").agg(F.collect_set("run").alias("runs"))
+    # A page's recurring runs travel as a row before it.
+    noted = notes.select(F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "host", "spread", "runs")
+    rows = rows.withColumn("runs", F.lit(None).cast("array<long>")).unionByName(noted).withColumn("page", F.col("runs").isNull())
+    rows = rows.repartitionByRange(n, "host", "spread").sortWithinPartitions("host", "spread", "page")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        note: tuple = (None, None, set())
 
         def done() -> pa.RecordBatch:
-            texts = texts_of([(r[1], r[2]) for r in held])
+            texts = texts_of([(r[1], r[2]) for r in held], held[0][3], [r[4] for r in held])
             out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
             held.clear()
             return out
 
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if held and (held[-1][3] != row[3] or len(held) == group):
+            for page_id, url, html, host, spread, found in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                if found is not None:
+                    note = (host, spread, set(found))
+                    continue
+                if held and (held[-1][3] != host or len(held) == group):
                     yield done()
-                held.append(row)
+                held.append((page_id, url, html, host, note[2] if note[:2] == (host, spread) else set()))
         if held:
             yield done()
 

@@ -373,3 +373,11 @@ def test_windows_outside_a_copy_hide_no_leak():
     short = "Tom has 12 apples and gives 5 apples to Anna who eats 12 of them in 3 hours"
     wrong = short.replace("eats 12", "eats 14")
     assert decontaminate.Matcher([(2, short)]).match([wrong, wrong + ". " + wrong]) == [[], []]
+
+
+def test_runs_repeat_across_groups_of_a_host(spark):
+    notice = "<div>All rights reserved by the owner of this very site</div>"
+    rows = [(k, f"https://b.org/{k}", f"{notice if k % 9 == 0 else ''}<p>Page {k} says something of its own</p>") for k in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for group in (1, 3, 400):
+        assert {r["text"] for r in html_text.main_texts(pages, group).collect()} == {f"Page {k} says something of its own" for k in range(30)}
