@@ -28,8 +28,9 @@ class Encoder:
     """``encode(text)`` gives what ``Tokenizer.encode(text, add_special_tokens=False).ids`` gives, as an array.
 
     Byte-level vocabularies encode each pre-token by itself, so the ids of the first ``keep`` different
-    pre-tokens are kept and only others go through the library. Other kinds of vocabulary take the library
-    for whole texts. Strings of special tokens in a text are ordinary text.
+    pre-tokens are kept and only others go through the library. Strings of added tokens in a text have their ids,
+    and the text between them is split by itself. Other kinds of vocabulary, and added tokens that take spaces or
+    words into account, take the library for whole texts.
     """
 
     def __init__(self, path: str, keep: int = KEEP):
@@ -37,7 +38,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as f:
@@ -46,13 +46,24 @@ class Encoder:
         self.split = None
         if pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not kind.get("normalizer"):
             self.split = regex.compile(BYTE_LEVEL)
+        added = kind.get("added_tokens") or []
+        if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added):
+            self.split = None
+        self.added = {t["content"]: np.array([t["id"]], self.dtype).tobytes() for t in added}
+        self.between = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.known = _Known(self.tokenizer, "H" if self.dtype.itemsize == 2 else "I", keep)
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text; a null text has none."""
         if self.split is None:
             return np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, dtype=self.dtype)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, self.split.findall(text or ""))), dtype=self.dtype)
+        text = text or ""
+        if not any(t in text for t in self.added):
+            return np.frombuffer(b"".join(map(self.known.__getitem__, self.split.findall(text))), dtype=self.dtype)
+        # Every second part is an added token.
+        parts = self.between.split(text)
+        ids = [self.added[t] if k % 2 else b"".join(map(self.known.__getitem__, self.split.findall(t))) for k, t in enumerate(parts)]
+        return np.frombuffer(b"".join(ids), dtype=self.dtype)
 
 
 class _Known(dict):

@@ -381,3 +381,12 @@ def test_runs_repeat_across_groups_of_a_host(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     for group in (1, 3, 400):
         assert {r["text"] for r in html_text.main_texts(pages, group).collect()} == {f"Page {k} says something of its own" for k in range(30)}
+
+
+def test_added_tokens_in_a_text_have_their_ids():
+    from tokenizers import Tokenizer
+
+    plain, e = Tokenizer.from_file(tokens.default_path()), tokens.Encoder(tokens.default_path())
+    for t in ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>  y \n<|endoftext", "no token"]:
+        assert plain.encode(t, add_special_tokens=False).ids == e.encode(t).tolist()
+    assert 50256 in e.encode("a<|endoftext|>b").tolist()
