@@ -6,17 +6,22 @@ import argparse
 import json
 import os
 import sys
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice import log, wizard
+from sluice.functions.urls import parse_url
 from sluice.operators import analyze, crawl
 from sluice.plans import run as runs
-from sluice.plans.config import DEFAULTS, config_of
+from sluice.plans.config import DEFAULTS, ConfigError, ExtractionConfig, config_of
 from sluice.plans.schedule import PRESETS, Cron, Lock, valid
 from sluice.sources import export, web
 from sluice.sources.catalog import Catalog
+from sluice.sources.pages import Live, Pages, Stored
+from sluice.sources.robots import allowed
 from sluice.sources.session import ship
 
 
@@ -32,11 +37,32 @@ def data_dir() -> str:
     return os.environ.get("SLUICE_DATA") or os.path.join(os.environ.get("XDG_DATA_HOME") or os.path.expanduser("~/.local/share"), "sluice")
 
 
-def pages_of(spark: SparkSession, args: argparse.Namespace, urls: list[str], mode: str = "static") -> DataFrame:
-    if args.pages:
-        return spark.read.parquet(args.pages)
-    web.register(spark)
-    return spark.read.format("webpage").option("urls", json.dumps(urls)).option("mode", mode).load().where("html IS NOT NULL")
+def pages_of(spark: SparkSession, stored: str | None, mode: str = "static", interval_ms: float = DEFAULTS["rate_limit_ms"]) -> Pages:
+    """The stored pages, or the web, whose pages are kept in the data folder."""
+    if stored:
+        return Stored(spark.read.parquet(stored))
+    return Live(spark, f"file://{os.path.abspath(data_dir())}/pages" if spark.sparkContext.master.startswith("local") else f"{data_dir()}/pages", mode, interval_ms)
+
+
+def live_url(url: str) -> str:
+    found = parse_url(url)
+    if found is None or not found.host:
+        raise ConfigError(f"not a URL: {url!r}")
+    return url
+
+
+def head(url: str, timeout: float = 5) -> str:
+    """What a site answers to a HEAD request."""
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    try:
+        with urlopen(Request(url, method="HEAD", headers={"User-Agent": web.AGENT}), timeout=timeout) as r:
+            return str(r.status)
+    except HTTPError as e:
+        return str(e.code)
+    except Exception as e:
+        return f"{type(e).__name__}: {e}"
 
 
 def cells(rows: list, columns: list[str], most: int = 20, width: int = 40) -> str:
@@ -65,8 +91,8 @@ def changes_text(changes: DataFrame, most: int = 10) -> str:
     return "\n".join(out) or "No changes detected"
 
 
-def serve(catalog: Catalog, host: str, port: int, pages: DataFrame | None) -> None:
-    """The REST routes, on a plain HTTP server."""
+def serve(catalog: Catalog, host: str, port: int, pages_of: Callable[[ExtractionConfig], DataFrame | Pages]) -> None:
+    """The REST routes, on a plain HTTP server, and the schedules beside it."""
     from http.server import BaseHTTPRequestHandler, HTTPServer
     from urllib.parse import parse_qs, urlsplit
 
@@ -100,8 +126,7 @@ def serve(catalog: Catalog, host: str, port: int, pages: DataFrame | None) -> No
         if rest == ["extract"] and method == "POST":
             import threading
 
-            config = catalog.active_config(source)
-            threading.Thread(target=lambda: runs.run(catalog, source, pages if pages is not None else catalog.spark.read.format("webpage").option("urls", json.dumps([config.url])).load(), trigger="api"), daemon=True).start()
+            threading.Thread(target=lambda: runs.run(catalog, source, pages_of(catalog.active_config(source)), trigger="api"), daemon=True).start()
             return 202, {"status": "accepted"}
         return 404, {"error": "not found"}
 
@@ -121,7 +146,11 @@ def serve(catalog: Catalog, host: str, port: int, pages: DataFrame | None) -> No
         def log_message(self, *_: object) -> None:
             pass
 
-    HTTPServer((host, port), Handler).serve_forever()
+    scheduler = runs.Scheduler(catalog, pages_of, Lock(os.path.join(data_dir(), "run.lock"))).start()
+    try:
+        HTTPServer((host, port), Handler).serve_forever()
+    finally:
+        scheduler.stop()
 
 
 def parser() -> argparse.ArgumentParser:
@@ -136,7 +165,8 @@ def parser() -> argparse.ArgumentParser:
         for o, kw in options.items():
             c.add_argument(f"--{o}", **kw)
 
-    add("init", "config")
+    add("init", config={"default": None}, url={"default": None})
+    add("configs", "source", deactivate={"action": "store_true"})
     add("scan", "url", mode={"default": "auto"})
     add("crawl", "url", limit={"type": int, "default": DEFAULTS["crawl_pages"]})
     add("sections", "url")
@@ -144,7 +174,7 @@ def parser() -> argparse.ArgumentParser:
     add("preview", "source", limit={"type": int, "default": 10}, config={"default": None})
     add("extract", "source")
     add("diff", "source")
-    add("schedule", "source", "cron")
+    add("schedule", "source", cron={"default": None}, disable={"action": "store_true"})
     add("export", "source", format={"default": "json"}, run={"default": None}, output={"default": None})
     add("serve", host={"default": DEFAULTS["server_host"]}, port={"type": int, "default": DEFAULTS["server_port"]})
     add("tick")
@@ -156,19 +186,47 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = session()
     catalog = Catalog(spark, data_dir())
+    log.setup()
+    web_pages = lambda mode="static", interval=DEFAULTS["rate_limit_ms"]: pages_of(spark, args.pages, mode, interval)
+    of_config = lambda c: web_pages(c.fetch_mode, c.rate_limit_ms)
+    try:
+        return command(args, spark, catalog, web_pages, of_config)
+    except (ConfigError, KeyError) as e:
+        print(f"{type(e).__name__}: {e}", file=sys.stderr)
+        return 1
+
+
+def command(args: argparse.Namespace, spark: SparkSession, catalog: Catalog, web_pages: Callable[..., Pages], of_config: Callable[[ExtractionConfig], Pages]) -> int:
     say = print
     match args.command:
         case "init":
-            with open(args.config, encoding="utf-8") as f:
-                say(catalog.add_source(config_of(f.read())))
+            if args.config:
+                with open(args.config, encoding="utf-8") as f:
+                    config = config_of(f.read())
+            else:
+                url = live_url(args.url or input("URL: ").strip())
+                found = analyze.analyze(web_pages("auto").one(url).where("html IS NOT NULL")).first()
+                if found is None:
+                    raise ConfigError(f"{url} can't be read")
+                config = wizard.converse(url, found["analysis"].asDict(True), input, say)
+            source = catalog.add_source(config)
+            if config.schedule:
+                catalog.set_schedule(source, PRESETS.get(config.schedule, config.schedule))
+            say(source)
+        case "configs":
+            if args.deactivate:
+                catalog.deactivate_configs(args.source)
+            rows = catalog.configs(args.source).collect()
+            say(cells(rows, ["id", "version", "is_active", "created_at"]))
         case "scan":
-            found = analyze.analyze(pages_of(spark, args, [args.url], args.mode).where(F.col("url") == args.url))
+            source = web_pages(args.mode)
+            found = analyze.analyze(source.one(live_url(args.url)).where("html IS NOT NULL")).withColumn("robots_allowed", F.lit(allowed(source.robots(args.url), args.url)))
             say(json.dumps([r.asDict(True) for r in found.collect()], indent=2, default=str))
         case "crawl":
-            rows = crawl.crawl(args.url, pages_of(spark, args, [args.url]), most=args.limit).collect()
+            rows = crawl.crawl(live_url(args.url), web_pages(), most=args.limit).collect()
             say(cells(rows, ["url", "title", "page_type", "has_data", "items", "confidence"]))
         case "sections":
-            found = analyze.sections(pages_of(spark, args, [args.url]).where(F.col("url") == args.url))
+            found = analyze.sections(web_pages().one(live_url(args.url)).where("html IS NOT NULL"))
             say(json.dumps([r.asDict(True) for r in found.collect()], indent=2))
         case "sources":
             if args.show:
@@ -178,13 +236,13 @@ def main(argv: list[str] | None = None) -> int:
                 say(cells(rows.collect(), rows.columns))
         case "preview":
             config = config_of(args.config) if args.config else catalog.active_config(args.source)
-            found = runs.run(catalog, args.source, pages_of(spark, args, [config.url], config.fetch_mode), dry=True, config=config)
+            found = runs.run(catalog, args.source, of_config(config), dry=True, config=config)
             shown = found.records.orderBy("page_no", "item_idx").limit(args.limit)
             say(cells(shown.collect(), shown.columns))
             say(json.dumps(found.health))
         case "extract":
             config = catalog.active_config(args.source)
-            found = runs.run(catalog, args.source, pages_of(spark, args, [config.url], config.fetch_mode))
+            found = runs.run(catalog, args.source, of_config(config))
             say(json.dumps({"run": found.run_id, "snapshot": found.snapshot_id, "health": found.health, "errors": found.errors}, default=str))
             if found.diff_id:
                 say(changes_text(catalog.changes(args.source, found.diff_id)))
@@ -193,9 +251,11 @@ def main(argv: list[str] | None = None) -> int:
             last = catalog.latest("diffs", args.source)
             say(changes_text(catalog.changes(args.source, last["id"])) if last else "No changes detected")
         case "schedule":
-            if not valid(args.cron):
-                say(f"not a cron expression: {args.cron}", file=sys.stderr)
-                return 1
+            if args.disable:
+                catalog.disable_schedule(args.source)
+                return 0
+            if not args.cron or not valid(args.cron):
+                raise ConfigError(f"not a cron expression: {args.cron}")
             catalog.set_schedule(args.source, PRESETS.get(args.cron, args.cron), args.cron if args.cron in PRESETS else None)
             say(Cron(args.cron).after(datetime.now()).isoformat())
         case "export":
@@ -204,17 +264,17 @@ def main(argv: list[str] | None = None) -> int:
             if args.output:
                 (export.write_csv if args.format == "csv" else export.write_json)(found, args.output)
             else:
-                say(export.csv_text(found) if args.format == "csv" else export.json_text(found))
+                for line in export.csv_lines(found) if args.format == "csv" else export.array_lines(found):
+                    say(line)
         case "serve":
-            web.register(spark)
-            serve(catalog, args.host, args.port, spark.read.parquet(args.pages) if args.pages else None)
+            serve(catalog, args.host, args.port, of_config)
         case "tick":
             # For an outer cron: runs what is due this minute, one run at a time.
             with Lock(os.path.join(data_dir(), "run.lock")):
-                done = runs.run_due(catalog, datetime.now().replace(second=0, microsecond=0), lambda c: pages_of(spark, args, [c.url], c.fetch_mode))
+                done = runs.run_due(catalog, datetime.now().replace(second=0, microsecond=0), of_config)
                 say(f"{len(done)} runs")
         case "doctor":
-            say(json.dumps({"spark": spark.version, "data": data_dir(), "writable": os.access(os.path.dirname(data_dir()) or ".", os.W_OK), "sources": catalog.sources().count(), "rendered": web.rendered_available()}, indent=2))
+            say(json.dumps({"spark": spark.version, "data": data_dir(), "writable": os.access(os.path.dirname(data_dir()) or ".", os.W_OK), "sources": catalog.sources().count(), "rendered": web.rendered_available(), "heads": {r["url"]: head(r["url"]) for r in catalog.sources("active").limit(50).collect()}}, indent=2))
     return 0
 
 

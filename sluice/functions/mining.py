@@ -19,6 +19,7 @@ from sluice.plans.config import DEFAULTS
 
 LEAST = DEFAULTS["min_repeated_blocks"]
 SAMPLE = DEFAULTS["sample_size"]
+#: Class names of cards (fixed values).
 CARD = re.compile("card|product|item|listing|result|entry", re.I)
 
 
@@ -121,6 +122,7 @@ def repeated_blocks(document: Node) -> list[dict]:
 
 # Page type.
 
+#: URLs of lists and of single things, and where pagers are (fixed values).
 LIST_URL = re.compile(r"/(products|listings|items|search|category|results|jobs|directory|catalog)\b", re.I)
 DETAIL_URL = re.compile(r"/(product|item|listing|job|post|article)/[^/]+$", re.I)
 PAGERS = 'nav[aria-label*="pag" i], .pagination, .pager, a[rel="next"]'
@@ -191,6 +193,7 @@ LD_FIELDS = [
     ("addressLocality", "location", "string"),
 ]
 OG_FIELDS = {"title": "string", "description": "string", "image": "image", "url": "url"}
+#: Names of pictures that aren't content, and shapes of amounts, dates and figures (fixed values).
 ICON = re.compile("icon|logo|avatar|badge|sprite|placeholder", re.I)
 MONEY = re.compile(r"[$€£¥₹][\s\d,.]|[\d,]+\.?\d{0,2}\s*(?:USD|EUR|GBP|JPY)")
 DATE = re.compile(r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\b", re.I)
@@ -355,6 +358,7 @@ def infer_fields(document: Node, block: dict) -> list[dict]:
 
 # Pagination and detail links.
 
+#: Where links to next pages and buttons for more are, what they say, and parameters that number pages (fixed values).
 NEXT = ('a[aria-label*="next" i]', ".pagination a.next", ".pager a.next", "a.next-page", '[class*="pagination"] a:last-child')
 NEXT_WORDS = ("next", "next page", ">", ">>", "»", "›", "next ›")
 MORE = ('button:contains("Load more")', 'button:contains("Show more")', 'a:contains("Load more")', '[class*="load-more"]', '[class*="show-more"]')
@@ -446,24 +450,40 @@ def detail_hints(document: Node, block: dict, base: str) -> list[dict]:
 
 # Rendering need.
 
+#: Roots of script applications and names of their bundles (fixed values).
 ROOTS = ("#root", "#app", "#__next", "#__nuxt", "[data-reactroot]", "[ng-app]")
+CHUNKS = re.compile(r"/_next/|/chunks/|runtime[-.].*\.js|app[-.].*\.js")
+
+
+#: Weight, signal and reason of each sign that scripts make a page (fixed values).
+SIGNALS = (
+    (0.5, "empty", "empty-body-with-scripts"), (0.4, "spa", "spa-marker:"), (0.3, "vue", "vue-data-v"), (0.4, "next_meta", "next-head-count-meta"), (0.5, "next_data", "__NEXT_DATA__-hydration"),
+    (0.4, "nuxt", "__NUXT__-hydration"), (0.4, "gatsby", "__GATSBY__-hydration"), (0.3, "chunks", "js-bundle-chunks"), (0.5, "noscript", "noscript-javascript-required"), (0.2, "low_text", "low-text-to-html-ratio"),
+)
 
 
 def rendering_features(html: str, document: Node) -> dict:
     """Signals that a page's content is made by scripts."""
-    body = _text(first(document, "body"))
+    length = len(_text(first(document, "body")))
     inline = " ".join(n.raw_text() for n in select(document, "script:not([src])"))
-    sources = " ".join(n.get("src") or "" for n in select(document, "script[src]"))
+    sources = [n.get("src") or "" for n in select(document, "script[src]")]
+    root = next((s for s in ROOTS if _any(document, s)), None)
     return {
-        "body_length": len(body), "html_length": len(html), "scripts": len(select(document, "script[src]")), "root": next((s for s in ROOTS if _any(document, s)), None),
+        "body_length": length, "html_length": len(html), "scripts": len(sources), "root": root,
         "vue": "data-v-" in html, "next_meta": _any(document, 'meta[name="next-head-count"]'), "next_data": "__NEXT_DATA__" in inline, "nuxt": "__NUXT__" in inline,
-        "gatsby": "__GATSBY__" in inline or "window.___gatsby" in inline, "chunks": bool(re.search(r"/_next/|/chunks/|runtime[-.].*\.js|app[-.].*\.js", sources)),
+        "gatsby": "__GATSBY__" in inline or "window.___gatsby" in inline, "chunks": bool(CHUNKS.search(" ".join(sources))),
         "noscript": "javascript" in " ".join(n.text() for n in select(document, "noscript")).lower(),
+        "empty": length < 200 and len(sources) > 3, "spa": root is not None, "low_text": len(html) > 2000 and length / len(html) < 0.05,
     }
 
 
+def rendering_score(signals: dict) -> float:
+    return min(sum(weight for weight, name, _ in SIGNALS if signals[name]), 1.0)
+
+
 # Links.
 
+#: URLs that a crawler leaves out (fixed values).
 ASSET = re.compile(r"\.(css|js|png|jpg|jpeg|gif|svg|ico|woff|woff2|ttf|pdf|zip|xml|json)$", re.I)
 IGNORED = re.compile(r"/(login|logout|signup|register|cart|checkout|account|auth|admin|api/|wp-admin)", re.I)
 #: Where a crawler looks for links, and what it calls what it finds there, in order (fixed values).
@@ -473,6 +493,7 @@ LINK_PLACES = (
     ("footer", "footer a[href]"),
     ("content", 'main a[href], #content a[href], .content a[href], [class*="container"] a[href]'),
 )
+#: Where navigation is (fixed values).
 NAV_PLACES = (
     'nav, [role="navigation"], [role="tablist"], [role="menubar"], [aria-label*="categor" i], [aria-label*="filter" i], [aria-label*="tab" i], [class*="categor"], '
     '[class*="filter"], [class*="sidebar"], [class*="tabs"], [class*="nav-"], [class*="-nav"], aside, [class*="menu"]'

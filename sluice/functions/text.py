@@ -30,8 +30,13 @@ def strip_html(c: Column) -> Column:
 
 
 def regex(c: Column, pattern: str, group: int = 0) -> Column:
-    """The group of the first match; null without a match."""
-    return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
+    """The group of the first match; null without a match, and where the group took no part in it."""
+    found = F.regexp_extract(c, pattern, group)
+    if not group:
+        return F.when(c.rlike(pattern), found)
+    # A reference to a group that took no part fails, and what a group holds stands at the match or after it.
+    took_part = F.regexp_instr(c, F.lit(f"(?={pattern})(?=[\\s\\S]*?\\{group})")) == F.regexp_instr(c, F.lit(pattern))
+    return F.when(c.rlike(pattern) & ((found != "") | took_part), found)
 
 
 def replace(c: Column, search: str, replacement: str) -> Column:
@@ -96,11 +101,26 @@ def hash_content(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
+def js_number(c: Column) -> Column:
+    """A double as JavaScript prints it: the shortest digits, plain from 1e-6 up to 1e21, else with an exponent."""
+    said = c.cast("string")
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(said, r"^-?([\d.]+)", 1), r"\.0$", ""), r"\.", "")
+    power = F.regexp_extract(said, r"E(-?\d+)$", 1).try_cast("int")
+    sign = F.when(said.startswith("-"), "-").otherwise("")
+    whole = F.when(F.length(digits) <= power + 1, F.rpad(digits, power + 1, F.lit("0"))).otherwise(F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.length(digits))))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    rest = F.substring(digits, F.lit(2), F.length(digits))
+    far = F.concat(F.left(digits, F.lit(1)), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""), F.lit("e"), F.when(power > 0, "+").otherwise(""), power.cast("string"))
+    far_or_small = F.concat(sign, F.when((power >= 0) & (power < 21), whole).when((power < 0) & (power >= -6), small).otherwise(far))
+    size = F.abs(c)
+    # The common cases need none of the digits' work.
+    return F.when((c == F.floor(c)) & (size < 1e15), c.cast("bigint").cast("string")).when((size >= 1e-3) & (size < 1e7), said).otherwise(F.when(power.isNull(), said).otherwise(far_or_small))
+
+
 def js_text(c: Column, kind: str = "string") -> Column:
     """A value as JavaScript prints it: null is empty, whole numbers have no fraction, structs are objects."""
     if kind in ("double", "float"):
-        whole = (c == F.floor(c)) & (F.abs(c) < 1e21)
-        return F.coalesce(F.when(whole, c.cast("decimal(38,0)").cast("string")).otherwise(c.cast("string")), F.lit(""))
+        return F.coalesce(js_number(c.cast("double")), F.lit(""))
     if kind.startswith("struct"):
         return F.when(c.isNull(), "").otherwise("[object Object]")
     return F.coalesce(c.cast("string"), F.lit(""))

@@ -8,28 +8,28 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sluice.operators import analyze, crawl
 from sluice.plans import run as runs
 from sluice.plans.config import ConfigError, config_of
 from sluice.sources import export
 from sluice.sources.catalog import Catalog
+from sluice.sources.pages import Pages, pages_from
 
 VERSION = "2024-11-05"
 
 
 class Tools:
-    """pages_of gives the stored or fetched pages of some URLs."""
+    """pages_of gives the stored pages, or the web in a fetch mode."""
 
-    def __init__(self, catalog: Catalog, pages_of: Callable[[list[str]], DataFrame]):
+    def __init__(self, catalog: Catalog, pages_of: Callable[[str], DataFrame | Pages]):
         self.catalog, self.pages_of = catalog, pages_of
 
     def analyze_page(self, url: str) -> Any:
-        return [r.asDict(True) for r in analyze.analyze(self.pages_of([url]).where(F.col("url") == url)).collect()]
+        return [r.asDict(True) for r in analyze.analyze(pages_from(self.pages_of("auto")).one(url).where("html IS NOT NULL")).collect()]
 
     def crawl_site(self, url: str, max_pages: int = 20) -> Any:
-        return [r.asDict(True) for r in crawl.crawl(url, self.pages_of([url]), most=max_pages).collect()]
+        return [r.asDict(True) for r in crawl.crawl(url, self.pages_of("static"), most=max_pages).collect()]
 
     def create_source(self, config: dict) -> Any:
         return {"source_id": self.catalog.add_source(config_of(config))}
@@ -39,13 +39,13 @@ class Tools:
 
     def preview_extraction(self, source_id: str = "", config: dict | None = None, limit: int = 10) -> Any:
         found = config_of(config) if config else self.catalog.active_config(source_id)
-        result = runs.run(self.catalog, source_id, self.pages_of([found.url]), dry=True, config=found)
+        result = runs.run(self.catalog, source_id, self.pages_of(found.fetch_mode), dry=True, config=found)
         shown = result.records.orderBy("page_no", "item_idx").limit(max(1, min(limit, 50)))
         return {"records": [json.loads(r["value"]) for r in export.json_lines(shown).collect()], "health": result.health}
 
     def run_extraction(self, source_id: str) -> Any:
         config = self.catalog.active_config(source_id)
-        result = runs.run(self.catalog, source_id, self.pages_of([config.url]), trigger="mcp")
+        result = runs.run(self.catalog, source_id, self.pages_of(config.fetch_mode), trigger="mcp")
         return {"run_id": result.run_id, "snapshot_id": result.snapshot_id, "diff": self.catalog.get("diffs", result.diff_id) if result.diff_id else None, "health": result.health, "errors": result.errors}
 
 
@@ -86,8 +86,7 @@ def main() -> None:
     from sluice import cli
 
     spark = cli.session()
-    args = cli.parser().parse_args(["doctor"])
-    tools = Tools(Catalog(spark, cli.data_dir()), lambda urls: cli.pages_of(spark, args, urls))
+    tools = Tools(Catalog(spark, cli.data_dir()), lambda mode: cli.pages_of(spark, None, mode))
     for line in sys.stdin:
         try:
             message = json.loads(line)

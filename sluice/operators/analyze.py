@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions import mining
+from sluice.functions.arrow import per_row, spread
 from sluice.functions.dom import parse_cached
 from sluice.plans.config import DEFAULTS
 
@@ -17,7 +17,7 @@ FIELD = "struct<name: string, selector: string, fallback_selectors: array<string
 HINT = "struct<strategy: string, selector: string, url_pattern: string, confidence: double>"
 DETAIL = "struct<selector: string, sample_urls: array<string>, confidence: double>"
 RENDERING = (
-    "struct<body_length: int, html_length: int, scripts: int, root: string, vue: boolean, next_meta: boolean, next_data: boolean, nuxt: boolean, gatsby: boolean, chunks: boolean, noscript: boolean>"
+    "struct<body_length: int, html_length: int, scripts: int, root: string, vue: boolean, next_meta: boolean, next_data: boolean, nuxt: boolean, gatsby: boolean, chunks: boolean, noscript: boolean, empty: boolean, spa: boolean, low_text: boolean>"
 )
 ANALYSIS = (
     f"struct<title: string, page_type: string, type_confidence: double, blocks: array<{BLOCK}>, fields: array<{FIELD}>, og: map<string,string>, "
@@ -27,31 +27,62 @@ LINKS = "array<struct<url: string, source: string, ord: int>>"
 SECTIONS = "array<struct<label: string, url: string, path: string, search: string, depth: int, in_nav: boolean, ord: int>>"
 
 
-def _over_pages(function: Callable[[str, str], object], schema: str) -> Callable[[Column, Column], Column]:
-    is_struct = schema.startswith("struct")
+def _of_page(function: Callable[[str, str], object], schema: str) -> Callable[[Column, Column], Column]:
+    return per_row(lambda html, url: function(html or "", url or ""), schema)
 
-    def make(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series | pd.DataFrame]:
-        for htmls, urls in batches:
-            rows = [function(h or "", u or "") for h, u in zip(htmls, urls)]
-            yield pd.DataFrame(rows, columns=list(rows[0]) if rows else None) if is_struct else pd.Series(rows, dtype="object")
 
-    return lambda html, url: F.pandas_udf(make, schema, F.PandasUDFType.SCALAR_ITER)(html, url)
+def _typed(html: str, url: str) -> dict:
+    document = parse_cached(html)
+    return mining.page_type(document, url, mining.repeated_blocks(document))
 
 
-analysis = _over_pages(mining.analyse, ANALYSIS)
-links_column = _over_pages(lambda h, u: mining.crawl_links(parse_cached(h), u), LINKS)
-sections_column = _over_pages(lambda h, u: mining.section_links(parse_cached(h), u), SECTIONS)
+def _fields(html: str, _: str) -> list[dict]:
+    document = parse_cached(html)
+    found = mining.repeated_blocks(document)
+    return mining.infer_fields(document, found[0]) if found else []
+
+
+def _details(html: str, url: str) -> list[dict]:
+    document = parse_cached(html)
+    found = mining.repeated_blocks(document)
+    return mining.detail_hints(document, found[0], url) if found else []
+
+
+def _ld(html: str, _: str) -> list[dict]:
+    return [dict(zip(("name", "value", "type", "source"), x)) for x in mining.ld_fields(parse_cached(html))]
+
+
+analysis = _of_page(mining.analyse, ANALYSIS)
+#: Parts of the analysis by themselves, for queries that need no more.
+blocks_column = _of_page(lambda h, _: mining.repeated_blocks(parse_cached(h)), f"array<{BLOCK}>")
+fields_column = _of_page(_fields, f"array<{FIELD}>")
+type_column = _of_page(_typed, "struct<page_type: string, type_confidence: double>")
+details_column = _of_page(_details, f"array<{DETAIL}>")
+pagination_column = _of_page(lambda h, u: mining.pagination_hints(parse_cached(h), u), f"array<{HINT}>")
+rendering_column = _of_page(lambda h, _: mining.rendering_features(h, parse_cached(h)), RENDERING)
+title_column = _of_page(lambda h, u: mining.page_title(parse_cached(h), u), "string")
+open_graph_column = _of_page(lambda h, _: mining.open_graph(parse_cached(h)), "map<string,string>")
+ld_column = _of_page(_ld, "array<struct<name: string, value: string, type: string, source: string>>")
+links_column = _of_page(lambda h, u: mining.crawl_links(parse_cached(h), u), LINKS)
+sections_column = _of_page(lambda h, u: mining.section_links(parse_cached(h), u), SECTIONS)
 
 
 def analyze(pages: DataFrame) -> DataFrame:
     """pages' columns other than html, and analysis: title, type, blocks, fields, hints, rendering signals."""
     rest = [F.col(f"`{c}`") for c in pages.columns if c != "html"]
-    return pages.select(*rest, analysis(F.col("html"), F.col("url")).alias("analysis"))
+    return spread(pages).select(*rest, analysis(F.col("html"), F.col("url")).alias("analysis"))
+
+
+def listed(rows: DataFrame, array: Column, *keep: str) -> DataFrame:
+    """One row an element, ranked from 1: the kept columns, rank, and the element's. The array is exploded with its
+    empty ones: a plain explode would have Spark put a filter on its size below, which runs the function twice."""
+    found = rows.select(*keep, F.posexplode_outer(array).alias("rank", "x")).where("rank IS NOT NULL")
+    return found.select(*keep, (F.col("rank") + 1).alias("rank"), "x.*")
 
 
-def blocks(analyzed: DataFrame) -> DataFrame:
-    """One row a block, ranked: url, rank, and the block's columns."""
-    return analyzed.select("url", F.posexplode("analysis.blocks").alias("rank", "b")).select("url", (F.col("rank") + 1).alias("rank"), "b.*")
+def blocks(pages: DataFrame) -> DataFrame:
+    """Repeated blocks of pages, ranked: url, rank, and the block's columns."""
+    return listed(spread(pages.select("url", "html")), blocks_column(F.col("html"), F.col("url")), "url")
 
 
 def rank_blocks(found: DataFrame, most: int = DEFAULTS["max_repeated_blocks"]) -> DataFrame:
@@ -63,36 +94,53 @@ def rank_blocks(found: DataFrame, most: int = DEFAULTS["max_repeated_blocks"]) -
     return found.where(F.col("confidence") >= DEFAULTS["block_confidence_threshold"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
-def fields(analyzed: DataFrame) -> DataFrame:
-    return analyzed.select("url", F.posexplode("analysis.fields").alias("rank", "f")).select("url", (F.col("rank") + 1).alias("rank"), "f.*")
+def fields(pages: DataFrame) -> DataFrame:
+    """Proposed fields of pages' best blocks, ranked: url, rank, and the field's columns."""
+    return listed(spread(pages.select("url", "html")), fields_column(F.col("html"), F.col("url")), "url")
+
+
+def hints(pages: DataFrame) -> DataFrame:
+    """Signs of further pages, ranked: url, rank, and the hint's columns."""
+    return listed(spread(pages.select("url", "html")), pagination_column(F.col("html"), F.col("url")), "url")
 
 
-def hints(analyzed: DataFrame) -> DataFrame:
-    return analyzed.select("url", F.explode("analysis.pagination").alias("h")).select("url", "h.*")
+def detail_links(pages: DataFrame) -> DataFrame:
+    """Selectors of links to detail pages, ranked: url, rank, and the selector's columns."""
+    return listed(spread(pages.select("url", "html")), details_column(F.col("html"), F.col("url")), "url")
 
 
-def rendering_need(r: str = "analysis.rendering") -> tuple[Column, Column]:
+def page_types(pages: DataFrame) -> DataFrame:
+    """pages' columns other than html, page_type, type_confidence."""
+    rest = [F.col(f"`{c}`") for c in pages.columns if c != "html"]
+    found = spread(pages).select(*rest, type_column(F.col("html"), F.col("url")).alias("_t"))
+    return found.select(*rest, "_t.page_type", "_t.type_confidence")
+
+
+def links(pages: DataFrame) -> DataFrame:
+    """A crawler's links of pages: page_url, rank, url, source, ord."""
+    return listed(spread(pages.select(F.col("url").alias("page_url"), "html")), links_column(F.col("html"), F.col("page_url")), "page_url")
+
+
+def rendering_need(r: str = "rendering") -> tuple[Column, Column]:
     """Score from 0 to 1 and reasons, natively from the signals."""
     c = lambda name: F.col(f"{r}.{name}")
-    signals = [
-        (0.5, (c("body_length") < 200) & (c("scripts") > 3), F.lit("empty-body-with-scripts")), (0.4, c("root").isNotNull(), F.concat(F.lit("spa-marker:"), c("root"))),
-        (0.3, c("vue"), F.lit("vue-data-v")), (0.4, c("next_meta"), F.lit("next-head-count-meta")), (0.5, c("next_data"), F.lit("__NEXT_DATA__-hydration")),
-        (0.4, c("nuxt"), F.lit("__NUXT__-hydration")), (0.4, c("gatsby"), F.lit("__GATSBY__-hydration")), (0.3, c("chunks"), F.lit("js-bundle-chunks")),
-        (0.5, c("noscript"), F.lit("noscript-javascript-required")), (0.2, (c("html_length") > 2000) & (c("body_length") / c("html_length") < 0.05), F.lit("low-text-to-html-ratio")),
-    ]
     total = F.lit(0.0)
-    for weight, when, _ in signals:
-        total = total + F.when(when, weight).otherwise(0.0)
-    return F.least(total, F.lit(1.0)), F.array_compact(F.array(*(F.when(when, why) for _, when, why in signals)))
+    reasons = []
+    for weight, name, why in mining.SIGNALS:
+        total = total + F.when(c(name), weight).otherwise(0.0)
+        reasons.append(F.when(c(name), F.concat(F.lit(why), c("root")) if name == "spa" else F.lit(why)))
+    return F.least(total, F.lit(1.0)), F.array_compact(F.array(*reasons))
 
 
-def needs_rendering(analyzed: DataFrame) -> DataFrame:
-    """url, score, reasons, usable (enough text), render: what an automatic fetch decides."""
+def needs_rendering(pages: DataFrame) -> DataFrame:
+    """pages' columns other than html, score, reasons, usable (enough text), has_fields, render: what an automatic fetch decides."""
+    rest = [F.col(f"`{c}`") for c in pages.columns if c != "html"]
+    made = spread(pages).select(*rest, rendering_column(F.col("html"), F.col("url")).alias("rendering"), fields_column(F.col("html"), F.col("url")).alias("_fields"))
     score, reasons = rendering_need()
-    usable = F.col("analysis.rendering.body_length") >= DEFAULTS["min_body_text_length"]
-    names = F.transform("analysis.fields", lambda f: f["name"])
+    usable = F.col("rendering.body_length") >= DEFAULTS["min_body_text_length"]
+    names = F.transform("_fields", lambda f: f["name"])
     has_fields = (F.size(names) >= 3) & F.exists(names, lambda n: ~n.isin("title", "url"))
-    return analyzed.select("url", score.alias("score"), reasons.alias("reasons"), usable.alias("usable"), has_fields.alias("has_fields"), ((score >= DEFAULTS["rendering_score_threshold"]) | ~usable | ~has_fields).alias("render"))
+    return made.select(*rest, score.alias("score"), reasons.alias("reasons"), usable.alias("usable"), has_fields.alias("has_fields"), ((score >= DEFAULTS["rendering_score_threshold"]) | ~usable | ~has_fields).alias("render"))
 
 
 def field_quality(found: Column) -> Column:
@@ -103,47 +151,69 @@ def field_quality(found: Column) -> Column:
 
 
 def link_sections(pages: DataFrame) -> DataFrame:
-    """Labelled links of every page, without links to the page itself: page_url, base, base_depth and link columns."""
-    rows = pages.select(F.col("url").alias("page_url"), F.explode(sections_column(F.col("html"), F.col("url"))).alias("l")).select("page_url", "l.*")
-    path = F.coalesce(F.try_parse_url("page_url", F.lit("PATH")), F.lit(""))
+    """url, base (its path), base_depth, l: labelled links of every page, without links to the page itself."""
+    path = F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit(""))
     base = F.regexp_replace(path, "/$", "")
     base = F.when(base == "", "/").otherwise(base)
-    rows = rows.withColumn("base", base).withColumn("base_depth", F.when(F.col("base") == "/", 0).otherwise(F.size(F.split("base", "/")) - 1))
-    return rows.where("path <> base OR search <> ''")
+    rows = spread(pages.select("url", "html")).select("url", base.alias("base"), sections_column(F.col("html"), F.col("url")).alias("l"))
+    depth = F.when(F.col("base") == "/", 0).otherwise(F.size(F.split("base", "/")) - 1)
+    return rows.select("url", "base", depth.alias("base_depth"), F.filter("l", lambda x: (x["path"] != F.col("base")) | (x["search"] != "")).alias("l"))
+
+
+def _pairs(links: Column) -> Column:
+    return F.transform(links, lambda x: F.struct(x["label"].alias("label"), x["url"].alias("url")))
+
+
+def _way(rank: int, strategy: Column, score: Column, links: Column) -> Column:
+    return F.struct(score.cast("double").alias("score"), F.lit(-rank).alias("way"), strategy.alias("strategy"), _pairs(links).alias("links"))
 
 
 def sections(pages: DataFrame) -> DataFrame:
-    """Per page: strategy, score, sections (label, url), has_sections: the best of four ways to see a page's sections."""
-    links = link_sections(pages)
-    link = F.struct("ord", "label", "url")
-    listed = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: F.struct(x["label"].alias("label"), x["url"].alias("url")))
-    below = links.where("base <> '/' AND depth = base_depth + 1").where(F.col("path").startswith(F.concat("base", F.lit("/"))))
-    n = F.count("*")
-    child = below.groupBy("page_url").agg(n.alias("n"), F.count_if("in_nav").alias("nav"), listed(link).alias("links")).where("n >= 2")
-    child = child.select("page_url", F.lit(0).alias("way"), F.lit("child-path").alias("strategy"), (F.col("n") * 3 + F.col("nav") / F.col("n") * 10 + 5).alias("score"), "links")
-
-    nav = links.where("in_nav").withColumn("prefix", F.regexp_replace("path", "/[^/]*$", "")).withColumn("prefix", F.when(F.col("prefix") == "", "/").otherwise(F.col("prefix")))
-    groups = nav.groupBy("page_url", "base", "prefix").agg(n.alias("n"), F.min("ord").alias("at"), listed(link).alias("links"))
-    under = (F.col("base") != "/") & ((F.col("prefix") == F.col("base")) | F.col("prefix").startswith(F.concat("base", F.lit("/"))))
-    best = groups.groupBy("page_url").agg(F.sum("n").alias("all"), F.max("n").alias("most")).where("all >= 3 AND most >= 2")
-    ranked = groups.where("n >= 2").join(best, "page_url").withColumn("near", under & (F.col("n") >= F.col("most") - 1))
-    pick = ranked.groupBy("page_url").agg(F.max_by(F.struct("n", "links", "prefix", "base"), F.struct(F.col("near").cast("int"), F.when(F.col("near"), 0).otherwise(F.col("n")), -F.col("at"))).alias("g"))
-    bonus = F.when((F.col("g.base") != "/") & F.col("g.prefix").startswith(F.col("g.base")), 8).otherwise(0)
-    context = pick.select("page_url", F.lit(1).alias("way"), F.lit("nav-context").alias("strategy"), (F.col("g.n") * 2 + 5 + bonus).cast("double").alias("score"), F.col("g.links").alias("links"))
-
-    same = links.where("path = base AND search <> ''")
-    params = same.select("page_url", "ord", "label", "url", F.explode(F.split(F.substring("search", 2, 1 << 20), "&")).alias("kv")).withColumns({"k": F.substring_index("kv", "=", 1), "v": F.expr("substring(kv, instr(kv, '=') + 1)")})
-    each = params.groupBy("page_url", "k").agg(F.count_distinct("v").alias("values"), F.min("ord").alias("at"), F.count_distinct("ord").alias("n"), listed(link).alias("links"))
-    enough = same.groupBy("page_url").count().where("count >= 3").select("page_url")
-    picked = each.join(enough, "page_url").groupBy("page_url").agg(F.max_by(F.struct("k", "values", "n", "links"), F.struct("values", -F.col("at"))).alias("g")).where("g.values >= 3")
-    query = picked.select("page_url", F.lit(2).alias("way"), F.concat(F.lit("query-param:"), "g.k").alias("strategy"), (F.col("g.n") * 2 + 3).cast("double").alias("score"), F.col("g.links").alias("links"))
-
-    tops = links.where("base = '/' AND in_nav AND depth = 1")
-    least = tops.groupBy("page_url", F.split("path", "/")[1].alias("seg")).agg(F.min_by(link, "ord").alias("link"))
-    top = least.groupBy("page_url").agg(n.alias("n"), listed(F.col("link")).alias("links")).where("n >= 3")
-    top = top.select("page_url", F.lit(3).alias("way"), F.lit("top-level-nav").alias("strategy"), (F.col("n") * 1.5 + 1).alias("score"), "links")
-
-    ways = child.unionByName(context).unionByName(query).unionByName(top)
-    won = ways.groupBy("page_url").agg(F.max_by(F.struct("strategy", "score", "links"), F.struct("score", -F.col("way"))).alias("w"))
-    unique = F.array_distinct("w.links")
-    return won.select(F.col("page_url").alias("url"), "w.strategy", "w.score", unique.alias("sections"), (F.size(unique) >= 2).alias("has_sections"))
+    """Per page: strategy, score, sections (label, url), has_sections: the best of four ways to see a page's sections.
+
+    A page's links are one array, found in one parse; the ways are array functions over it, so nothing is shuffled.
+    """
+    rows = link_sections(pages)
+    base, depth = F.col("base"), F.col("base_depth")
+    nav_links = F.transform(
+        F.filter("l", lambda x: x["in_nav"]),
+        lambda x: F.struct(x["ord"].alias("ord"), x["label"].alias("label"), x["url"].alias("url"), F.coalesce(F.nullif(F.regexp_replace(x["path"], "/[^/]*$", ""), F.lit("")), F.lit("/")).alias("prefix")),
+    )
+    params = F.flatten(F.transform(
+        F.filter("l", lambda x: (x["path"] == base) & (x["search"] != "")),
+        lambda x: F.transform(F.split(F.substring(x["search"], 2, 1 << 20), "&"), lambda kv: F.struct(F.substring_index(kv, "=", 1).alias("k"), F.substring(kv, F.instr(kv, "=") + 1, F.length(kv)).alias("v"), x["ord"].alias("ord"), x["label"].alias("label"), x["url"].alias("url"))),
+    ))
+    rows = rows.select(
+        "url", "base", F.filter("l", lambda x: (base != "/") & (x["depth"] == depth + 1) & x["path"].startswith(F.concat(base, F.lit("/")))).alias("below"), nav_links.alias("nav"), params.alias("params"),
+        F.size(F.filter("l", lambda x: (x["path"] == base) & (x["search"] != ""))).alias("same"), F.filter("l", lambda x: (base == "/") & x["in_nav"] & (x["depth"] == 1)).alias("tops"),
+    )
+    keys = lambda array, name: F.array_distinct(F.transform(array, lambda x: x[name]))
+    groups = F.transform(keys("nav", "prefix"), lambda p: F.struct(p.alias("prefix"), F.filter("nav", lambda x: x["prefix"] == p).alias("links")))
+    by_key = F.transform(keys("params", "k"), lambda k: F.struct(k.alias("k"), F.filter("params", lambda x: x["k"] == k).alias("links")))
+    segment = lambda x: F.split(x["path"], "/")[1]
+    firsts = F.transform(F.array_distinct(F.transform("tops", segment)), lambda s: F.filter("tops", lambda x: segment(x) == s)[0])
+    rows = rows.select("url", "base", "below", "same", groups.alias("groups"), by_key.alias("keys"), firsts.alias("tops"))
+
+    most = F.array_max(F.transform("groups", lambda g: F.size(g["links"])))
+    under = lambda g: (base != "/") & ((g["prefix"] == base) | g["prefix"].startswith(F.concat(base, F.lit("/"))))
+    near = lambda g: under(g) & (F.size(g["links"]) >= most - 1)
+    ranked = F.transform(
+        F.filter("groups", lambda g: F.size(g["links"]) >= 2),
+        lambda g: F.struct(near(g).cast("int").alias("near"), F.when(near(g), 0).otherwise(F.size(g["links"])).alias("n"), (-g["links"][0]["ord"]).alias("at"), g["prefix"].alias("prefix"), g["links"].alias("links")),
+    )
+    told = F.transform("keys", lambda g: F.struct(F.size(keys(g["links"], "v")).alias("values"), (-g["links"][0]["ord"]).alias("at"), g["k"].alias("k"), F.size(keys(g["links"], "ord")).alias("n"), g["links"].alias("links")))
+    total = F.aggregate("groups", F.lit(0), lambda a, g: a + F.size(g["links"]))
+    rows = rows.select("url", "base", "below", "same", "tops", F.array_max(ranked).alias("context"), total.alias("total"), F.array_max(told).alias("param"))
+
+    n = F.size("below")
+    context, param = F.col("context"), F.col("param")
+    bonus = F.when((base != "/") & context["prefix"].startswith(base), 8).otherwise(0)
+    ways = F.array_compact(F.array(
+        F.when(n >= 2, _way(0, F.lit("child-path"), n * 3 + F.size(F.filter("below", lambda x: x["in_nav"])) / n * 10 + 5, F.col("below"))),
+        F.when((F.col("total") >= 3) & context.isNotNull(), _way(1, F.lit("nav-context"), F.size(context["links"]) * 2 + 5 + bonus, context["links"])),
+        F.when((F.col("same") >= 3) & (param["values"] >= 3), _way(2, F.concat(F.lit("query-param:"), param["k"]), param["n"] * 2 + 3, param["links"])),
+        F.when(F.size("tops") >= 3, _way(3, F.lit("top-level-nav"), F.size("tops") * 1.5 + 1, F.col("tops"))),
+    ))
+    won = listed(rows, F.slice(F.sort_array(ways, False), 1, 1), "url")
+    unique = F.array_distinct("links")
+    return won.select("url", "strategy", "score", unique.alias("sections"), (F.size(unique) >= 2).alias("has_sections"))

@@ -7,14 +7,13 @@ over rows, filters on other columns still reach the scan.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions import text
+from sluice.functions.arrow import per_row, spread
 from sluice.functions.dom import Node, SelectorError, js_trim, parse_cached, select
 from sluice.functions.dom import first as first_match
 from sluice.plans.columns import normalised
@@ -61,16 +60,13 @@ ITEMS = "array<struct<raw: array<string>, fallback_count: int, missing_required:
 
 
 def items_column(html: Column, list_selector: str, fields: tuple[Field, ...]) -> Column:
-    def make(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([raw_items(h, list_selector, fields) for h in batch], dtype="object")
-
-    return F.pandas_udf(make, ITEMS, F.PandasUDFType.SCALAR_ITER)(html)
+    return per_row(lambda h: raw_items(h, list_selector, fields), ITEMS)(html)
 
 
 def raw_records(pages: DataFrame, config: ExtractionConfig, order: str = "page_no") -> DataFrame:
     """One row for each list item: _sourceUrl, page order, item_idx, raw texts by field, fallback_count, missing_required."""
-    found = pages.select("url", order, F.posexplode(items_column(F.col("html"), config.list_selector, config.fields)).alias("item_idx", "item"))
+    # Exploded with the empty ones: a plain explode has Spark filter on the array's size first, which runs the function twice.
+    found = spread(pages.select("url", "html", order)).select("url", order, F.posexplode_outer(items_column(F.col("html"), config.list_selector, config.fields)).alias("item_idx", "item")).where("item_idx IS NOT NULL")
     return found.select(
         F.col("url").alias("_sourceUrl"), order, "item_idx", *(F.col("item.raw")[k].alias(f.name) for k, f in enumerate(config.fields)), F.col("item.fallback_count").alias("fallback_count"), F.col("item.missing_required").alias("missing_required")
     )
@@ -177,11 +173,12 @@ def health(found: DataFrame, config: ExtractionConfig, errors: int | Column = 0)
 
 
 def content_hash(found: DataFrame, order: list[str], skip: tuple[str, ...] = ("_extractedAt",)) -> DataFrame:
-    """One row, content_hash: SHA-256 over the records' JSON in order. Rows are hashed first, so that what meets in
-    the final aggregation is 64 characters a record."""
-    columns = [c for c in found.columns if c not in skip and c not in order]
-    each = found.select(F.struct(*order).alias("o"), F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in columns)), {"ignoreNullFields": "false"}), 256).alias("h"))
-    return each.agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("o", "h"))), lambda x: x["h"])), 256).alias("content_hash"))
+    """One row, content_hash: SHA-256 over the records' number and the sums of their own hashes (JSON with their place in
+    ``order``), so the order counts, but no task holds more than sums: partitions add up their own records first."""
+    columns = order + [c for c in found.columns if c not in skip and c not in order]
+    each = found.select(F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in columns)), {"ignoreNullFields": "false"}), 256).alias("h"))
+    sums = [F.coalesce(F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)")).cast("string"), F.lit("0")) for k in range(4)]
+    return each.agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), *sums), 256).alias("content_hash"))
 
 
 def snapshot_hash(found: DataFrame) -> DataFrame:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.dom import first, parse_cached
 from sluice.functions.urls import parse_url, resolve
 from sluice.plans.config import Pagination
+from sluice.sources.pages import Pages, Stored, pages_from
 
 
 def next_url(html: str | None, pagination: Pagination | None, url: str, fetched: int) -> str | None:
@@ -29,25 +29,36 @@ def next_url(html: str | None, pagination: Pagination | None, url: str, fetched:
     return None
 
 
-def next_column(html: Column, url: Column, pagination: Pagination, fetched: int) -> Column:
-    def make(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for htmls, urls in batches:
-            yield pd.Series([next_url(h, pagination, u, fetched) for h, u in zip(htmls, urls)], dtype="object")
-
-    return F.pandas_udf(make, "string", F.PandasUDFType.SCALAR_ITER)(html, url)
+def numbered_urls(pagination: Pagination | None, start_url: str) -> list[str] | None:
+    """All page URLs where they follow from numbers alone; None where only a page names the next one."""
+    if pagination is None or pagination.strategy == "next-link":
+        return None
+    out = [start_url]
+    while (found := next_url(None, pagination, out[-1], len(out))) and found not in out:
+        out.append(found)
+    return out
 
 
-def chain(pages: DataFrame, start_url: str, pagination: Pagination | None) -> DataFrame:
-    """url, html, page_no of a start page and those that follow it among stored pages; one page without pagination."""
-    stored = pages.select("url", "html")
-    now = stored.where(F.col("url") == start_url).limit(1)
-    out = now.withColumn("page_no", F.lit(0))
-    seen = {start_url}
-    for k in range(1, pagination.max_pages if pagination else 1):
-        found = now.select(next_column(F.col("html"), F.col("url"), pagination, k).alias("u")).first()  # one row
-        if found is None or found["u"] is None or found["u"] in seen:
+def chain(pages: DataFrame | Pages, start_url: str, pagination: Pagination | None) -> DataFrame:
+    """url, html, page_no of a start page and those that follow it, up to the first that is missing or failed; one page
+    without pagination. Stored pages that follow from numbers are one join; links are followed one page at a time."""
+    source = pages_from(pages)
+    numbered = numbered_urls(pagination, start_url)
+    if numbered is not None and isinstance(source, Stored):
+        wanted = source.pages.sparkSession.createDataFrame(list(enumerate(numbered)), "page_no int, u string")
+        found = source.pages.join(F.broadcast(wanted), F.col("url") == F.col("u")).select("url", "html", "page_no").dropDuplicates(["page_no"])
+        have = {r["page_no"] for r in found.select("page_no").collect()}  # at most max_pages
+        return found.where(F.col("page_no") < next(k for k in range(len(numbered) + 1) if k not in have))
+    url, parts = start_url, []
+    seen: set[str] = set()
+    while url and url not in seen:
+        seen.add(url)
+        now = source.one(url)
+        row = now.select("html").first()
+        if row is None or row["html"] is None:
             break
-        seen.add(found["u"])
-        now = stored.where(F.col("url") == found["u"]).limit(1)
-        out = out.unionByName(now.withColumn("page_no", F.lit(k)))
-    return out
+        parts.append(now.select("url", "html", F.lit(len(parts)).alias("page_no")))
+        url = next_url(row["html"], pagination, url, len(parts)) if pagination else None
+    if not parts:
+        return source.one(start_url).where("html IS NOT NULL").select("url", "html", F.lit(0).alias("page_no"))
+    return reduce(DataFrame.unionByName, parts)

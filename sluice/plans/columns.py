@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sluice.functions import text
+from sluice.functions.arrow import per_row
+from sluice.functions.urls import resolve
 from sluice.plans.config import Field, Transform
 
 
-def _resolve_all(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    from sluice.functions.urls import resolve
-
-    for links, bases in batches:
-        yield pd.Series([None if link is None else resolve(link, base) for link, base in zip(links, bases)], dtype="object")
-
-
 def resolve_url(link: Column, base: Column) -> Column:
     """Absolute URL. Browser rules need more than the built-in URL functions know, so this is an Arrow function."""
-    return F.pandas_udf(_resolve_all, "string", F.PandasUDFType.SCALAR_ITER)(link, base)
+    return per_row(lambda to, on: None if to is None else resolve(to, on), "string")(link, base)
 
 
 def apply(step: Transform, c: Column, base: Column, now: Column | None) -> Column:

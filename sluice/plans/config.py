@@ -118,6 +118,8 @@ class ExtractionConfig:
     detail: DetailPage | None = None
     schedule: str | None = None
     version: int = 1
+    robots: str = DEFAULTS["robots_policy"]
+    rate_limit_ms: int = DEFAULTS["rate_limit_ms"]
     extra: Mapping[str, Any] = field(default_factory=dict, compare=False)
 
     def __post_init__(self):
@@ -174,5 +176,6 @@ def config_of(raw: Mapping[str, Any] | str) -> ExtractionConfig:
             start=pages.get("startValue", pages.get("start")), increment=pages.get("increment"), max_pages=int(pages.get("maxPages") or pages.get("max_pages") or DEFAULTS["max_pages"]),
         ) if pages else None,
         detail=DetailPage(fields=tuple(_field(f) for f in detail.get("fields") or ()), link_selector=detail.get("linkSelector") or detail.get("link_selector"), link_attribute=detail.get("linkAttribute") or detail.get("link_attribute") or "href") if detail else None,
-        schedule=raw.get("schedule"), version=int(raw.get("version") or 1),
+        schedule=raw.get("schedule"), version=int(raw.get("version") or 1), robots=raw.get("robotsPolicy") or raw.get("robots") or DEFAULTS["robots_policy"],
+        rate_limit_ms=int(raw.get("rateLimitMs") or raw.get("rate_limit_ms") or DEFAULTS["rate_limit_ms"]),
     )

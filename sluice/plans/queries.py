@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions import text
-from sluice.operators import analyze, crawl, diff, extract
+from sluice.operators import analyze, diff, extract
 from sluice.plans.config import config_of
 from sluice.sources import export, robots
 from sluice.sources.session import ship
@@ -158,58 +158,16 @@ def record_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("doc_id", F.round("_confidence", 6).alias("confidence"))
 
 
-@query("""SELECT round(0.7 * avg(greatest(0, least(1, 0.95 - CASE WHEN source = '' THEN 0.3 ELSE 0 END - CASE WHEN quality IS NULL THEN 0.3 ELSE 0 END - CASE WHEN toxic = 1 THEN 0 ELSE 0.05 END))), 6) AS overall_confidence, true AS in_range,
-    round(count(quality) / count(*), 6) AS quality_coverage, true AS degraded, 2::BIGINT AS n_reasons FROM documents LEFT JOIN labels USING (doc_id)""")
+@query("""SELECT round(least(1, mean * CASE WHEN bad > 0 THEN 0.7 ELSE 1 END), 6) AS overall_confidence, n >= 3 AS in_range, round(quality / n, 6) AS quality_coverage, bad > 0 AS degraded, bad AS n_reasons FROM (
+    SELECT *, (n < 3)::BIGINT + (source / n < 0.8)::BIGINT + (quality / n < 0.8)::BIGINT + (source >= 3 AND sources = 1)::BIGINT + (quality >= 3 AND qualities = 1)::BIGINT + (toxic >= 3)::BIGINT AS bad FROM (
+    SELECT count(*) AS n, count(nullif(source, '')) AS source, count(DISTINCT nullif(source, '')) AS sources, count(quality) AS quality, count(DISTINCT quality) AS qualities, count(*) FILTER (toxic = 1) AS toxic,
+    avg(greatest(0, least(1, 0.95 - CASE WHEN source = '' THEN 0.3 ELSE 0 END - CASE WHEN quality IS NULL THEN 0.3 ELSE 0 END - CASE WHEN toxic = 1 THEN 0 ELSE 0.05 END))) AS mean
+    FROM documents LEFT JOIN labels USING (doc_id)))""")
 def run_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = extract.health(_scored(spark, sf_dir), _SCORED)
     return h.select(F.round("overall_confidence", 6).alias("overall_confidence"), F.col("item_count_in_range").alias("in_range"), F.round(F.col("required_field_coverage")["quality"], 6).alias("quality_coverage"), "degraded", F.size("reasons").cast("long").alias("n_reasons"))
 
 
-@query("SELECT user_id, arg_max(event_id, ts::VARCHAR || lpad(event_id::VARCHAR, 20, '0')) AS event_id, arg_max(event_type, ts::VARCHAR || lpad(event_id::VARCHAR, 20, '0')) AS event_type FROM events GROUP BY user_id")
-def latest_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("x"))
-    return rows.select("user_id", "x.*")
-
-
-@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20")
-def recent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(20)
-
-
-@query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 100 OFFSET 50")
-def record_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").orderBy("c_custkey").offset(50).limit(100)
-
-
-@query("""SELECT c_custkey, c_name, n_name, o.o_orderkey AS last_order, o.n AS orders FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
-    LEFT JOIN (SELECT o_custkey, count(*) AS n, arg_max(o_orderkey, o_orderdate::VARCHAR || lpad(o_orderkey::VARCHAR, 20, '0')) AS o_orderkey FROM orders GROUP BY 1) o ON o_custkey = c_custkey""")
-def source_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("last_order"))
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    rows = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(last, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return rows.select("c_custkey", "c_name", "n_name", "last_order", "orders")
-
-
-@query("SELECT o_orderkey, coalesce(c_mktsegment, o_orderpriority) AS label, c_acctbal FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0")
-def detail_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey", "c_mktsegment", "c_acctbal")
-    rows = table(spark, sf_dir, "orders").join(own, F.col("o_custkey") == F.col("c_custkey"), "left")
-    return rows.select("o_orderkey", F.coalesce("c_mktsegment", "o_orderpriority").alias("label"), "c_acctbal")
-
-
-@query("SELECT nk, arg_min(source, p || n) AS source, min(p || n) AS first FROM (SELECT c_nationkey AS nk, 'customer' AS source, '1' AS p, c_name AS n FROM customer UNION ALL SELECT s_nationkey, 'supplier', '0', s_name FROM supplier) GROUP BY nk")
-def priority_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nk"), F.lit("customer").alias("source"), F.concat(F.lit("1"), "c_name").alias("o"))
-    b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nk"), F.lit("supplier").alias("source"), F.concat(F.lit("0"), "s_name").alias("o"))
-    return a.unionByName(b).groupBy("nk").agg(F.min_by("source", "o").alias("source"), F.min("o").alias("first"))
-
-
-@query("SELECT conv_id, list_slice(list(role ORDER BY f), 1, 5) AS roles FROM (SELECT conv_id, role, min(turn) AS f FROM conversations GROUP BY 1, 2) GROUP BY conv_id")
-def sample_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("f"))
-    return rows.groupBy("conv_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("f", "role"))), lambda x: x["role"]), 1, 5).alias("roles"))
-
-
 @query("SELECT n_nationkey, '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}' AS value FROM nation")
 def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
@@ -224,8 +182,8 @@ _PARAGRAPHS = config_of({"name": "p", "url": "https://p.org/", "listSelector": "
 
 @query("SELECT page_id, count(*) AS links FROM (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '<nav>.*?</nav>', 0, 's'), '<li>')) FROM pages) GROUP BY page_id")
 def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", extract.items_column(F.col("html"), "nav li > a", _LINKS.fields).alias("items"))
-    return pages.select("page_id", F.explode("items")).groupBy("page_id").agg(F.count("*").alias("links"))
+    items = extract.raw_records(table(spark, sf_dir, "pages"), _LINKS, "page_id")
+    return items.groupBy("page_id").agg(F.count("*").alias("links"))
 
 
 @query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<article><h1>(.*?)</h1>', 1, 's'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS heading, 0.95::DOUBLE AS confidence FROM pages""")
@@ -234,30 +192,61 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.records(pages, _PARAGRAPHS, F.expr(NOW)).select(F.col("page_no").alias("page_id"), "heading", F.round("_confidence", 6).alias("confidence"))
 
 
-@query()
+@query("""SELECT page_id, CASE WHEN length(regexp_extract(html, '<article>(.*?)</article>', 1, 's')) > 0 THEN 'article' ELSE 'unknown' END AS page_type, 0.3::DOUBLE AS confidence FROM pages
+    WHERE len(regexp_extract_all(regexp_extract(html, '<nav>.*?</nav>', 0, 's'), '<li>')) < 5 AND len(regexp_extract_all(html, '<p>')) < 3""")
 def page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = analyze.analyze(table(spark, sf_dir, "pages"))
-    return found.select("page_id", F.col("analysis.page_type").alias("page_type"), F.col("analysis.type_confidence").alias("confidence"))
+    pages = table(spark, sf_dir, "pages").where(F.size(F.regexp_extract_all(F.regexp_extract("html", "(?s)<nav>.*?</nav>", 0), F.lit("<li>"), F.lit(0))) < 5).where(F.size(F.regexp_extract_all("html", F.lit("<p>"), F.lit(0))) < 3)
+    return analyze.page_types(pages).select("page_id", "page_type", F.col("type_confidence").alias("confidence"))
 
 
-@query()
+_ITEMS = "regexp_extract_all(regexp_extract(html, '<nav><ul>(.*?)</ul>', 1, 's'), '<li><a href=\"[^\"]*\">([^<]*)</a>', 1)"
+
+
+@query(f"""SELECT url, count, round(greatest(0, least(1, CASE WHEN count >= 10 THEN 0.3 WHEN count >= 5 THEN 0.25 ELSE 0.15 END + 0.2 + CASE WHEN distinct_ / count > 0.7 THEN 0.2 ELSE 0 END
+    + CASE WHEN length_ < 5 THEN -0.3 WHEN length_ > 20 THEN 0.1 ELSE 0 END)), 6) AS confidence, 'li>a|1|0100' AS fingerprint
+    FROM (SELECT url, len(t)::INT AS count, len(list_distinct(t)) AS distinct_, list_avg(list_transform(t, lambda x: length(x))) AS length_ FROM (SELECT url, {_ITEMS} AS t FROM pages))
+    WHERE count >= 3 AND CASE WHEN count >= 5 THEN 0.25 ELSE 0.15 END + 0.2 + CASE WHEN distinct_ / count > 0.7 THEN 0.2 ELSE 0 END + CASE WHEN length_ < 5 THEN -0.3 WHEN length_ > 20 THEN 0.1 ELSE 0 END >= 0.2 - 1e-9""")
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyze.blocks(analyze.analyze(table(spark, sf_dir, "pages")))
+    found = analyze.blocks(table(spark, sf_dir, "pages")).where("selector LIKE '%> li'")
+    return found.select("url", "count", F.round("confidence", 6).alias("confidence"), "fingerprint")
 
 
 @query()
 def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyze.fields(analyze.analyze(table(spark, sf_dir, "pages")))
+    return analyze.fields(table(spark, sf_dir, "pages"))
 
 
-@query()
+_TEXT = "regexp_replace(regexp_replace(regexp_replace(html, '^.*<body>', '', 's'), '<!--.*?-->', '', 'gs'), '<[^>]*>', '', 'g')"
+_PLAIN = _TEXT
+for _name, _char in (("copy", "©"), ("middot", "·"), ("nbsp", "\u00a0"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
+    _PLAIN = f"replace({_PLAIN}, '&{_name};', '{_char}')"
+
+
+@query(f"""SELECT page_id, CASE WHEN html_length > 2000 AND body_length / html_length < 0.05 THEN 0.2 ELSE 0.0 END::DOUBLE AS score, body_length >= 300 AS usable FROM
+    (SELECT page_id, length(html) AS html_length, length(trim({_PLAIN}, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) AS body_length FROM pages)""")
 def page_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyze.needs_rendering(analyze.analyze(table(spark, sf_dir, "pages")))
+    return analyze.needs_rendering(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "score", "usable")
 
 
-@query()
+_HREFS = "regexp_extract_all(regexp_extract(html, '<nav><ul>(.*?)</ul>', 1, 's'), '<li><a href=\"/([^\"]*)\">', 1)"
+_ORIGIN = "regexp_extract(url, '^(https?://[^/]+)', 1)"
+
+
+@query(f"""SELECT url, 'nav-context' AS strategy, (len(l) * 2 + 5)::DOUBLE AS score, list_aggregate(l, 'string_agg', '|') AS labels FROM
+    (SELECT url, list_filter({_HREFS}, lambda x, i: list_position({_HREFS}, x) = i) AS l FROM pages) WHERE len(l) >= 3""")
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyze.sections(table(spark, sf_dir, "pages"))
+    return analyze.sections(table(spark, sf_dir, "pages")).select("url", "strategy", "score", F.array_join(F.transform("sections", lambda s: s["label"]), "|").alias("labels"))
+
+
+@query(f"SELECT DISTINCT url AS page_url, {_ORIGIN} || '/' || replace(url_encode(unnest({_HREFS})), '%2C', ',') AS url, 'nav' AS source FROM pages")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyze.links(table(spark, sf_dir, "pages").dropDuplicates(["url"])).select("page_url", "url", "source")
+
+
+@query("SELECT page_id, trim(regexp_extract(html, '<title>(.*?)</title>', 1, 's')) AS title FROM pages WHERE html NOT LIKE '%<title>%&%</title>%'")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").where("html NOT LIKE '%<title>%&%</title>%'")
+    return pages.select("page_id", analyze.title_column(F.col("html"), F.col("url")).alias("title"))
 
 
 @query("SELECT page_id, url NOT LIKE '%/de/%' AS robots_allowed FROM pages")
@@ -267,21 +256,26 @@ def page_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robots.with_robots(pages, rules).select("page_id", "robots_allowed")
 
 
-@query()
-def page_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    root = pages.orderBy("page_id").select("url").first()
-    return crawl.crawl(root["url"] if root else "https://none.org/", pages)
+_HASHED = """SELECT sha256(concat_ws('|', count(*), """ + ", ".join(f"coalesce(sum(('0x' || substr(h, {1 + 15 * k}, 15))::BIGINT::HUGEINT), 0)" for k in range(4)) + ")) AS content_hash"
 
 
-@query()
+@query(_HASHED + """ FROM (SELECT sha256('{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '","s_nationkey":' || s_nationkey || '}') AS h FROM supplier)""")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.content_hash(table(spark, sf_dir, "supplier").withColumn("_o", F.col("s_suppkey")), ["_o"])
+    return extract.content_hash(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"), ["s_suppkey"])
+
+
+@query(_HASHED + """ FROM (SELECT sha256('{"_by":"' || s_suppkey || '","_id":"' || s_suppkey || '","s_name":"' || s_name || '"}') AS h FROM supplier)""")
+def snapshot_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("_id"), "s_name", F.current_timestamp().alias("_extractedAt"), F.rand(1).alias("_confidence"))
+    return extract.snapshot_hash(rows)
 
 
 def queries() -> dict[str, Query]:
+    from sluice.plans import function_queries, shop_queries, store_queries  # noqa: F401
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)

@@ -7,6 +7,7 @@ Parquet folder of their own, so a snapshot is read without the others.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from datetime import datetime, timezone
 from typing import Any
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators import diff as diffs
+from sluice.operators.extract import content_hash
 from sluice.plans.config import ExtractionConfig, config_of
 
 TABLES = {
@@ -53,14 +55,31 @@ class Catalog:
         last = rows.groupBy(KEYS.get(name, "id")).agg(F.max_by(F.struct(*rows.columns), "seq").alias("r")).select("r.*")
         return last.where("NOT deleted").drop("deleted", "seq")
 
-    def _put(self, name: str, row: dict[str, Any], deleted: bool = False) -> dict[str, Any]:
-        import time
-
+    def _put(self, name: str, row: dict[str, Any]) -> dict[str, Any]:
         fields = [f.split()[0] for f in TABLES[name].split(", ")]
-        values = tuple(row.get(f) for f in fields) + (deleted, time.time_ns())
+        values = tuple(row.get(f) for f in fields) + (False, time.time_ns())
         self.spark.createDataFrame([values], self._schema(name)).coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
         return row
 
+    def load(self, name: str, rows: DataFrame, deleted: bool = False) -> None:
+        """Put many rows at once; columns that rows lacks are null."""
+        fields = [f.split() for f in TABLES[name].split(", ")]
+        own = [F.col(f).cast(t).alias(f) if f in rows.columns else F.lit(None).cast(t).alias(f) for f, t in fields]
+        rows.select(*own, F.lit(deleted).alias("deleted"), F.lit(time.time_ns()).alias("seq")).write.mode("append").parquet(f"{self.path}/{name}")
+
+    def compact(self, name: str) -> None:
+        """One file of the rows that count, instead of one a change. Not while others write."""
+        kept = f"{self.path}/.{name}-{new_id()}"
+        self.table(name).select("*", F.lit(False).alias("deleted"), F.lit(time.time_ns()).alias("seq")).coalesce(1).write.parquet(kept)
+        self._delete(name)
+        jvm = self.spark.sparkContext._jvm
+        old, new = jvm.org.apache.hadoop.fs.Path(kept), jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).rename(old, new)
+
+    def _delete(self, part: str) -> None:
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
+        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
     def get(self, name: str, key: str) -> dict[str, Any] | None:
         found = self.table(name).where(F.col(KEYS.get(name, "id")) == key).first()
         return found.asDict() if found else None
@@ -87,16 +106,33 @@ class Catalog:
         found = self.table("configs").where((F.col("source_id") == source_id) & F.col("is_active")).orderBy(F.desc("version")).first()
         return config_of(found["config"]) if found else None
 
+    def configs(self, source_id: str) -> DataFrame:
+        """A source's configs, the newest version first."""
+        return self.table("configs").where(F.col("source_id") == source_id).orderBy(F.desc("version"))
+
+    def deactivate_configs(self, source_id: str) -> None:
+        rows = self.table("configs").where((F.col("source_id") == source_id) & F.col("is_active"))
+        if rows.limit(1).count():
+            self.load("configs", rows.withColumn("is_active", F.lit(False)))
+
+    def active_configs(self) -> DataFrame:
+        """source_id, config, version: of every source the newest active config."""
+        found = self.table("configs").where("is_active").groupBy("source_id").agg(F.max_by(F.struct("id", "version", "config"), "version").alias("x"))
+        return found.select("source_id", "x.*")
+
     def sources(self, status: str | None = None) -> DataFrame:
         found = self.table("sources")
         return (found.where(F.col("status") == status) if status else found).orderBy(F.desc("created_at"))
 
     def delete_source(self, source_id: str) -> None:
-        """The source and all that belongs to it."""
+        """The source and all that belongs to it, records and changes too."""
         for name in TABLES:
             column = "id" if name == "sources" else "source_id"
-            for r in self.table(name).where(F.col(column) == source_id).collect():
-                self._put(name, r.asDict(), deleted=True)
+            rows = self.table(name).where(F.col(column) == source_id)
+            if rows.limit(1).count():
+                self.load(name, rows, deleted=True)
+        for part in ("records", "changes"):
+            self._delete(f"{part}/source_id={source_id}")
 
     # Runs.
 
@@ -104,7 +140,12 @@ class Catalog:
         return self._put("runs", {"id": new_id(), "source_id": source_id, "status": "running", "trigger": trigger, "started_at": _now(), "created_at": _now()})["id"]
 
     def recent(self, name: str, source_id: str, limit: int = 20) -> DataFrame:
-        return self.table(name).where(F.col("source_id") == source_id).orderBy(F.desc("created_at")).limit(limit)
+        return self.table(name).where(F.col("source_id") == source_id).orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+
+    def latest_of_all(self, name: str) -> DataFrame:
+        """The newest row of every source: a maximum with map-side combine."""
+        found = self.table(name)
+        return found.groupBy("source_id").agg(F.max_by(F.struct(*(c for c in found.columns if c != "source_id")), F.struct("created_at", "id")).alias("x")).select("source_id", "x.*")
 
     def latest(self, name: str, source_id: str) -> dict[str, Any] | None:
         found = self.recent(name, source_id, 1).first()
@@ -112,10 +153,14 @@ class Catalog:
 
     # Snapshots and diffs.
 
-    def add_snapshot(self, source_id: str, run_id: str, records: DataFrame, content_hash: str | None = None) -> str:
+    def add_snapshot(self, source_id: str, run_id: str, records: DataFrame, order: list[str] | None = None) -> str:
+        """Write records; their number and content hash (in ``order``) are read from what was written, so that a
+        source that changes or costs requests is asked once."""
         key = new_id()
         records.write.parquet(f"{self.path}/records/source_id={source_id}/snapshot_id={key}")
-        self._put("snapshots", {"id": key, "source_id": source_id, "run_id": run_id, "record_count": self.records(source_id, key).count(), "content_hash": content_hash, "created_at": _now()})
+        kept = self.records(source_id, key)
+        digest = content_hash(kept, order).first()["content_hash"] if order else None
+        self._put("snapshots", {"id": key, "source_id": source_id, "run_id": run_id, "record_count": kept.count(), "content_hash": digest, "created_at": _now()})
         return key
 
     def records(self, source_id: str, snapshot_id: str) -> DataFrame:
@@ -149,11 +194,18 @@ class Catalog:
         old = self.get("schedules", source_id) or {}
         self._put("schedules", {"last_run_at": None, "created_at": _now()} | old | {"source_id": source_id, "cron": cron, "preset": preset, "enabled": True})
 
+    def disable_schedule(self, source_id: str) -> None:
+        self.update("schedules", source_id, enabled=False)
+
+    def due_schedules(self) -> DataFrame:
+        """Enabled schedules of active sources."""
+        return self.table("schedules").where("enabled").join(self.sources("active").select(F.col("id").alias("source_id")), "source_id")
+
     def report(self) -> DataFrame:
         """Sources with their latest run, snapshot and schedule: left joins to one row each."""
         def last(name: str, *columns: str) -> DataFrame:
             t = self.table(name)
-            by = t.groupBy("source_id").agg(F.max_by(F.struct(*columns), "created_at").alias("x"))
+            by = t.groupBy("source_id").agg(F.max_by(F.struct(*columns), F.struct("created_at", "id")).alias("x"))
             return by.select(F.col("source_id").alias("id"), *(F.col(f"x.{c}").alias(f"{name[:-1]}_{c}") for c in columns))
 
         out = self.table("sources")

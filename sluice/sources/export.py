@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,21 +39,41 @@ def write_csv(found: DataFrame, path: str, meta: bool = False) -> None:
     csv_ready(found, meta).write.option("header", True).option("nullValue", "").option("emptyValue", "").option("quote", '"').option("escape", '"').csv(path)
 
 
-def csv_text(found: DataFrame, meta: bool = False) -> str:
-    """CSV of the records, empty without any; meant for slices."""
+def _csv_value(v: object) -> object:
+    return "" if v is None else str(v).lower() if isinstance(v, bool) else int(v) if isinstance(v, float) and v == int(v) else v
+
+
+def csv_lines(found: DataFrame, meta: bool = False) -> Iterator[str]:
+    """Lines of CSV, none without records; rows come to the driver a partition at a time."""
     import csv
     import io
 
     ready = csv_ready(found, meta)
-    rows = ready.collect()
-    if not rows:
-        return ""
-    out = io.StringIO()
-    writer = csv.writer(out, lineterminator="\n")
-    writer.writerow(ready.columns)
-    for r in rows:
-        writer.writerow(["" if v is None else str(v).lower() if isinstance(v, bool) else int(v) if isinstance(v, float) and v == int(v) else v for v in r])
-    return out.getvalue()
+    for k, r in enumerate(ready.toLocalIterator()):
+        out = io.StringIO()
+        writer = csv.writer(out, lineterminator="\n")
+        if k == 0:
+            writer.writerow(ready.columns)
+        writer.writerow([_csv_value(v) for v in r])
+        yield out.getvalue()[:-1]
+
+
+def csv_text(found: DataFrame, meta: bool = False) -> str:
+    """CSV of the records, empty without any; meant for slices."""
+    return "".join(f"{line}\n" for line in csv_lines(found, meta))
+
+
+def array_lines(found: DataFrame) -> Iterator[str]:
+    """Lines of a JSON array of the records; rows come to the driver a partition at a time."""
+    yield "["
+    before = None
+    for r in json_lines(found).toLocalIterator():
+        if before is not None:
+            yield f"{before},"
+        before = f"  {r['value']}"
+    if before is not None:
+        yield before
+    yield "]"
 
 
 def all_records(parts: list[DataFrame]) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.functions.arrow import per_row
 from sluice.functions.urls import parse_url
 
 AGENT = "sluice"
@@ -48,11 +46,7 @@ def allowed(content: str | None, url: str, agent: str = AGENT) -> bool:
 
 
 def allowed_column(robots: Column, url: Column, agent: str = AGENT) -> Column:
-    def make(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, urls in batches:
-            yield pd.Series([allowed(t, u or "", agent) for t, u in zip(texts, urls)])
-
-    return F.pandas_udf(make, "boolean", F.PandasUDFType.SCALAR_ITER)(robots, url)
+    return per_row(lambda text, u: allowed(text, u or "", agent), "boolean")(robots, url)
 
 
 def origin(url: Column) -> Column:

@@ -7,13 +7,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
+from sluice.functions.arrow import row_udf
 from sluice.functions.dom import SelectorError, first, js_trim, parse_cached, select
 from sluice.functions.urls import normalize, resolve
 from sluice.sources.session import ship
@@ -54,27 +52,12 @@ def _items(html: str | None, selector: str, spec: str) -> list[dict[str, str | N
     return out
 
 
-def _rows(function, schema: str, n: int):
-    if n == 2:
-        def two(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            for a, b in batches:
-                yield pd.Series([function(x, y) for x, y in zip(a, b)], dtype="object")
-
-        return F.pandas_udf(two, schema)
-
-    def three(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b, c in batches:
-            yield pd.Series([function(x, y, z) for x, y, z in zip(a, b, c)], dtype="object")
-
-    return F.pandas_udf(three, schema)
-
-
 def register(spark: SparkSession) -> None:
     """html_select, html_select_all, html_attr, extract_items, resolve_url, normalize_url."""
     ship(spark)
-    spark.udf.register("html_select", _rows(lambda h, s: next(iter(_texts(h, s)), None), "string", 2))
-    spark.udf.register("html_select_all", _rows(_texts, "array<string>", 2))
-    spark.udf.register("html_attr", _rows(_attribute, "string", 3))
-    spark.udf.register("extract_items", _rows(_items, "array<map<string,string>>", 3))
-    spark.udf.register("resolve_url", _rows(resolve, "string", 2))
-    spark.udf.register("normalize_url", _rows(normalize, "string", 2))
+    spark.udf.register("html_select", row_udf(lambda h, s: next(iter(_texts(h, s)), None), "string"))
+    spark.udf.register("html_select_all", row_udf(_texts, "array<string>"))
+    spark.udf.register("html_attr", row_udf(_attribute, "string"))
+    spark.udf.register("extract_items", row_udf(_items, "array<map<string,string>>"))
+    spark.udf.register("resolve_url", row_udf(resolve, "string"))
+    spark.udf.register("normalize_url", row_udf(normalize, "string"))

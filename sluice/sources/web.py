@@ -7,12 +7,14 @@ growing pauses. ``register`` makes the format known to a session.
 from __future__ import annotations
 
 import json
+import math
 import random
 import time
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -92,10 +94,14 @@ def fetch_static(url: str, timeout_ms: int = DEFAULTS["timeout_ms"], agent: str
 APP_ROOTS = ("#root > *", "#app > *", "#__next > *", "#__nuxt > *")
 
 
-def settled(lengths: list[int], least: int) -> bool:
-    """Whether the last three text lengths are within 5 % and long enough."""
+#: Milliseconds after which a response with data no longer counts as one that content may still come of (fixed value).
+PENDING_MS = 800
+
+
+def settled(lengths: list[int], least: int, since_data_ms: float = math.inf) -> bool:
+    """Whether the last three text lengths are within 5 % and long enough, and no data came just before."""
     last = lengths[-3:]
-    return len(last) == 3 and min(last) >= least and (max(last) - min(last)) <= 0.05 * max(last)
+    return since_data_ms >= PENDING_MS and len(last) == 3 and min(last) >= least and (max(last) - min(last)) <= 0.05 * max(last)
 
 
 def rendered_available() -> bool:
@@ -114,13 +120,15 @@ def fetch_rendered(url: str, timeout_ms: int = DEFAULTS["timeout_ms"], agent: st
         browser = p.chromium.launch()
         try:
             page = browser.new_page(user_agent=agent, viewport={"width": 1280, "height": 900})
+            data_at = [-math.inf]
+            page.on("response", lambda r: data_at.__setitem__(0, time.monotonic()) if "json" in (r.headers.get("content-type") or "") else None)
             page.goto(url, wait_until="networkidle", timeout=timeout_ms)
             try:
                 page.wait_for_selector(wait_for or ", ".join(APP_ROOTS), timeout=10_000 if wait_for else 5000)
             except Exception:
                 pass  # pages without such an element go on
             lengths: list[int] = []
-            while (time.monotonic() - begun) * 1000 < most_wait_ms and not settled(lengths, least):
+            while (time.monotonic() - begun) * 1000 < most_wait_ms and not settled(lengths, least, (time.monotonic() - data_at[0]) * 1000):
                 lengths.append(page.evaluate("document.body ? document.body.innerText.length : 0"))
                 page.wait_for_timeout(300)
             return {"final_url": page.url, "html": page.content(), "status": 200, "fetch_mode": "rendered", "fetch_time_ms": (time.monotonic() - begun) * 1000}
@@ -128,8 +136,20 @@ def fetch_rendered(url: str, timeout_ms: int = DEFAULTS["timeout_ms"], agent: st
             browser.close()
 
 
-def fetch(url: str, mode: str = "static", static: Callable[..., dict] = fetch_static, rendered: Callable[..., dict] = fetch_rendered) -> dict:
-    """Static, rendered, or static first and rendered where the page seems to need it; a failed rendering leaves the static page."""
+def usable_fields(html: str, document: object) -> bool:
+    """Whether the static page gives fields worth having: three, one of them neither title nor url."""
+    from sluice.functions import mining
+
+    found = mining.repeated_blocks(document)
+    names = [f["name"] for f in mining.infer_fields(document, found[0])] if found else []
+    return len(names) >= 3 and bool(set(names) - {"title", "url"})
+
+
+def fetch(
+    url: str, mode: str = "static", static: Callable[..., dict] = fetch_static, rendered: Callable[..., dict] = fetch_rendered, accept: Callable[[str, object], bool] | None = None
+) -> dict:
+    """Static, rendered, or static first and rendered where the page seems to need it: by its signals, too little text, or
+    because the caller (``accept``, else its fields) won't have it. A failed rendering leaves the static page."""
     if mode == "rendered":
         return rendered(url)
     found = retried(lambda: static(url))
@@ -140,12 +160,9 @@ def fetch(url: str, mode: str = "static", static: Callable[..., dict] = fetch_st
 
     html = found["html"]
     document = parse(html)
-    f = mining.rendering_features(html, document)
-    weights = (
-        0.5 * (f["body_length"] < 200 and f["scripts"] > 3) + 0.4 * (f["root"] is not None) + 0.3 * f["vue"] + 0.4 * f["next_meta"] + 0.5 * f["next_data"] + 0.4 * f["nuxt"]
-        + 0.4 * f["gatsby"] + 0.3 * f["chunks"] + 0.5 * f["noscript"] + 0.2 * (f["html_length"] > 2000 and f["body_length"] / f["html_length"] < 0.05)
-    )
-    if min(weights, 1.0) >= DEFAULTS["rendering_score_threshold"] or f["body_length"] < DEFAULTS["min_body_text_length"]:
+    usable = accept or usable_fields
+    signals = mining.rendering_features(html, document)
+    if mining.rendering_score(signals) >= DEFAULTS["rendering_score_threshold"] or signals["body_length"] < DEFAULTS["min_body_text_length"] or not usable(html, document):
         try:
             return rendered(found["final_url"])
         except Exception:
@@ -153,6 +170,22 @@ def fetch(url: str, mode: str = "static", static: Callable[..., dict] = fetch_st
     return found
 
 
+ARROW_SCHEMA = pa.schema([
+    ("url", pa.string()), ("final_url", pa.string()), ("html", pa.string()), ("status", pa.int32()), ("fetch_mode", pa.string()), ("fetch_time_ms", pa.float64()),
+    ("fetched_at", pa.timestamp("us", tz="UTC")), ("error", pa.string()),
+])
+
+
+def fetch_row(url: str, mode: str, limiter: RateLimiter) -> dict:
+    """A page as a row of SCHEMA; a failed one has its error instead of html."""
+    limiter.wait(url)
+    row = {"url": url, "fetch_mode": mode, "fetched_at": datetime.now(timezone.utc), "error": None}
+    try:
+        return row | fetch(url, mode)
+    except Exception as e:  # a failed page is a row, as a failed phase is
+        return row | {"error": f"{getattr(e, 'error_class', type(e).__name__)}: {e}"}
+
+
 class _Domain(InputPartition):
     def __init__(self, urls: list[str]):
         self.urls = urls
@@ -174,13 +207,8 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Domain) -> Iterator[tuple]:
         limiter = RateLimiter(self.interval)
         for url in partition.urls:
-            limiter.wait(url)
-            at = datetime.now(timezone.utc)
-            try:
-                r = fetch(url, self.mode)
-                yield url, r["final_url"], r["html"], r["status"], r["fetch_mode"], r["fetch_time_ms"], at, None
-            except Exception as e:  # a failed page is a row, as a failed phase is
-                yield url, None, None, None, self.mode, None, at, f"{getattr(e, 'error_class', type(e).__name__)}: {e}"
+            row = fetch_row(url, self.mode, limiter)
+            yield tuple(row.get(name) for name in ARROW_SCHEMA.names)
 
 
 class WebPages(DataSource):

@@ -15,11 +15,17 @@ def test_commands(spark, tmp_path, monkeypatch, capsys):
         assert cli.main(["--pages", pages, *argv]) == 0
         return capsys.readouterr().out.strip()
 
-    source = said("init", str(tmp_path / "c.json"))
+    source = said("init", "--config", str(tmp_path / "c.json"))
     assert "Product number 1" in said("preview", source)
     assert "added: 5" in said("extract", source)
     assert said("extract", source).endswith("No changes detected") and said("diff", source) == "No changes detected"
     assert len(json.loads(said("export", source))) == 5 and said("export", source, "--format", "csv").startswith("title,url")
-    assert "completed" in said("sources") and said("schedule", source, "daily")
+    assert "completed" in said("sources") and said("schedule", source, "--cron", "daily")
     assert '"page_type": "list"' in said("scan", "https://s.com/") and json.loads(said("doctor"))["sources"] == 1
-    assert cli.main(["schedule", source, "nope"]) == 1
+    assert cli.main(["schedule", source, "--cron", "nope"]) == 1 and cli.main(["crawl", "nope"]) == 1 and cli.main(["schedule", source, "--disable"]) == 0
+    assert "True" in said("configs", source) and "False" in said("configs", source, "--deactivate") and "https://s.com/" in said("crawl", "https://s.com/")
+    answers = iter(["title,price", "Mine", "2", "daily"])
+    monkeypatch.setattr("builtins.input", lambda _: next(answers))
+    made = said("init", "--url", "https://s.com/").splitlines()[-1]
+    config = cli.Catalog(spark, str(tmp_path / "data")).active_config(made)
+    assert config.name == "Mine" and [f.name for f in config.fields] == ["title", "price"] and "Mine" in said("sources")

@@ -106,3 +106,25 @@ def test_config_errors():
         except ConfigError:
             pass
     assert config_of(config_of(CONFIG).to_json()) == config_of(CONFIG)
+
+
+def test_numbers_as_scripts_print_them(spark):
+    values = {0.0: "0", -0.5: "-0.5", 12.0: "12", 12345678.5: "12345678.5", -12345678.25: "-12345678.25", 1e7: "10000000", 1.5e20: "150000000000000000000", 1e21: "1e+21", 1e22: "1e+22", 0.00012: "0.00012", 1e-6: "0.000001", 1.5e-7: "1.5e-7", 123.456: "123.456"}
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(text.js_text(F.col("v"), "double").alias("r")).collect()
+    assert [r["r"] for r in rows] == list(values.values())
+    assert spark.createDataFrame([(None,)], "v double").select(text.js_text(F.col("v"), "double").alias("r")).first()["r"] == ""
+
+
+def test_groups_of_a_pattern(spark):
+    pattern = r"(\d+)(px)?(em)*"
+    assert one(spark, ["a12px", "12", "px", None, "3em"], lambda c: text.regex(c, pattern, 2)) == ["px", None, None, None, None]
+    assert one(spark, ["a12px", "none"], lambda c: text.regex(c, pattern)) == ["12px", None]
+    assert one(spark, ["x=", "x", "x=1"], lambda c: text.regex(c, "x(?:=(.*))?", 1)) == ["", None, "1"]
+
+
+def test_content_hash(spark):
+    rows = [("a", 1, 0), ("b", 2, 1), ("b", 2, 2)]
+    make = lambda rows, n: spark.createDataFrame(rows, "title string, n int, item_idx int").repartition(n)
+    digest = lambda df: extract.content_hash(df, ["item_idx"]).first()["content_hash"]
+    assert digest(make(rows, 1)) == digest(make(rows[::-1], 3)) != digest(make([("b", 1, 0), *rows[1:]], 1))
+    assert digest(make(rows, 1)) != digest(make([("b", 2, 0), ("a", 1, 1), rows[2]], 1)) and len(digest(make(rows, 1).limit(0))) == 64
