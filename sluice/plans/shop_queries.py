@@ -52,7 +52,7 @@ def shop(spark: SparkSession, sf_dir: str, changed: bool = False) -> DataFrame:
     n = c("n_nationkey")
     html = _text(
         "<html><head><title>", c("n_name"), ' customers</title><meta property="og:title" content="', c("n_name"), '"><meta name="twitter:card" content="summary"><script type="application/ld+json">{"@type":"ItemList","name":"', c("n_name"),
-        '","offers":{"price":"', n, '"}}</script></head><body><nav><ul class="tabs">', c("tabs"), '</ul></nav><main><div class="customers">', F.coalesce("cards", F.lit("")), '</div></main><ul class="pager"><li><a href="/nation/', n,
+        '","offers":{"price":"code-', n, '"}}</script></head><body><nav><ul class="tabs">', c("tabs"), '</ul></nav><main><div class="customers">', F.coalesce("cards", F.lit("")), '</div></main><ul class="pager"><li><a href="/nation/', n,
         '?page=1">1</a><a href="/nation/', n, '?page=2">2</a><a rel="next" href="/nation/', n + 1, '">next</a></li></ul><footer><a href="/about">About us</a></footer></body></html>',
     )
     return rows.select("n_nationkey", "n_name", _text(f"{SITE}/nation/", n).alias("url"), html.alias("html"))
@@ -111,7 +111,7 @@ def shop_open_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("n_nationkey", F.col("og")["title"].alias("title"), F.col("og")["card"].alias("card"), F.size("og").alias("n"), "page_title")
 
 
-@query("SELECT n_nationkey, 'title' AS name, n_name AS value, 'string' AS type, 'ItemList.name' AS source FROM nation UNION ALL SELECT n_nationkey, 'price', n_nationkey::VARCHAR, 'price', 'ItemList.offers.price' FROM nation")
+@query("SELECT n_nationkey, 'title' AS name, n_name AS value, 'string' AS type, 'ItemList.name' AS source FROM nation UNION ALL SELECT n_nationkey, 'price', 'code-' || n_nationkey, 'price', 'ItemList.offers.price' FROM nation")
 def shop_json_ld(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyze.listed(shop(spark, sf_dir), analyze.ld_column(F.col("html"), F.col("url")), "n_nationkey").select("n_nationkey", "name", "value", "type", "source")
 
