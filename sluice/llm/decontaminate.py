@@ -8,11 +8,14 @@ stands for one word of the document and the other way round. So verbatim copies
 word), and so do questions with other numbers or names. A document may hold several copies and stray windows; one
 consistent copy is enough.
 
-Items come to the driver in blocks of at most ``BLOCK`` (a stated query set against all rows), and each block's
-windows go to the executors as a hash table; documents are read once a block, never shuffled.
+A window without a literal word says little, so it counts only where its slots keep their words.
 
-A null or empty text, and an item without words, match nothing. An item of fewer than five words is one
-window. Null and repeated doc_ids are rows of their own; repeated items give repeated pairs. An empty table on
+Items' different texts come to the driver in blocks of about ``BLOCK`` bytes (a stated query set against all rows),
+and each block's windows go to the executors as a hash table; documents are read once a block, never shuffled.
+
+A null or empty text, and an item without words, match nothing. An item of fewer than five words is one window,
+found only verbatim: "42" leaks from texts that hold 42, not from all that hold a number. Null and repeated
+doc_ids are rows of their own; repeated items give repeated pairs. An empty table on
 either side gives no pairs. Columns other than doc_id, text, item_id are ignored.
 """
 
@@ -29,10 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.caches import kept
+from sluice.llm.common import packed
 
 WIDTH = 5
 SIMILARITY = 0.8
-BLOCK = 20_000
+BLOCK = 8_000_000
 STRIPPED = ".,;:!?\"'()[]{}<>*_#&%$-–—…«»“”‘’"
 NUMBER = re.compile(r"[+\-]?[$€£¥]?\d[\d.,:/]*(?:st|nd|rd|th|[a-zµ°%]{1,3})?", re.I)
 UNITS = frozenset(
@@ -75,8 +79,8 @@ class _Kinds(dict):
         self[word] = found = len(self)
         return found
 
-    def templates(self, texts: list[str | None]) -> list[tuple[list[bytes], np.ndarray, np.ndarray]]:
-        """Words, template codes and whether each word is a slot, of every text."""
+    def templates(self, texts: list[str | None]) -> list[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+        """Words, template codes, whether each word is a slot, and the words' own codes, of every text."""
         lists = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
         get = self.__getitem__
         numbers = [np.fromiter(map(get, ws), np.int64, len(ws)) for ws in lists]
@@ -85,14 +89,15 @@ class _Kinds(dict):
             self.codes, self.kinds, self.ends = (np.concatenate([old, np.array(new, old.dtype)]) for old, new in ((self.codes, codes), (self.kinds, kinds), (self.ends, ends)))
         out = []
         for ws, n in zip(lists, numbers):
-            codes, kinds, ends = self.codes[n], self.kinds[n], self.ends[n]
+            own, kinds, ends = self.codes[n], self.kinds[n], self.ends[n]
+            codes = own.copy()
             begins = np.concatenate([[True], ends[:-1]])[: len(n)]
             after_number = np.concatenate([[False], kinds[:-1] == NUMERAL])[: len(n)]
             slot = np.zeros(len(n), bool)
             for kind, at in ((NUMERAL, kinds == NUMERAL), (UNIT, (kinds == UNIT) & after_number), (CAPITAL, (kinds == CAPITAL) & ~begins)):
                 codes[at] = CODES[kind]
                 slot |= at
-            out.append((ws, codes, slot))
+            out.append((ws, codes, slot, own))
         extra = len(self) - self.keep
         if extra > 0:
             for row in self.rows[len(self.rows) - extra :]:
@@ -117,13 +122,14 @@ class Matcher:
     def __init__(self, items: list[tuple[int | None, str | None]]):
         self.items = []
         tables: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for (item_id, _), (words, codes, slot) in zip(items, _Kinds().templates([t for _, t in items])):
+        for (item_id, _), (words, codes, slot, plain) in zip(items, _Kinds().templates([t for _, t in items])):
             if not words:
                 continue
             width = min(WIDTH, len(words))
-            found = window_codes(codes, width)
+            # Of a short item the words themselves, not their template.
+            found = window_codes(codes if width == WIDTH else plain, width)
             tables.setdefault(width, []).append((found, np.full(len(found), len(self.items)), np.arange(len(found))))
-            self.items.append((item_id, [w.decode("utf-8", "surrogatepass").strip(STRIPPED).lower() for w in words], slot, width, len(found)))
+            self.items.append((item_id, [w.decode("utf-8", "surrogatepass").strip(STRIPPED).lower() for w in words], slot if width == WIDTH else slot & False, width, len(found)))
         self.tables = {}
         for width, parts in tables.items():
             code, item, place = (np.concatenate([p[k] for p in parts]) for k in range(3))
@@ -134,10 +140,10 @@ class Matcher:
     def match(self, texts: list[str | None], similarity: float = SIMILARITY) -> list[list[tuple[int | None, float, int]]]:
         """For each text: the items it leaks, the share of their windows, and how many slots have other words."""
         out = []
-        for words, codes, _ in self.kinds.templates(texts):
+        for words, codes, _, plain in self.kinds.templates(texts):
             leaks = []
             for width, (code, item, place) in self.tables.items():
-                found = window_codes(codes, width)
+                found = window_codes(codes if width == WIDTH else plain, width)
                 low = np.searchsorted(code, found)
                 hits = np.flatnonzero((low < len(code)) & (code[np.minimum(low, len(code) - 1)] == found))
                 if not len(hits):
@@ -187,10 +193,11 @@ class Matcher:
 
         def consistent(run: list[tuple[int, int]], to: dict[str, str], back: dict[str, str], changed: set[int]) -> bool:
             for p, q in run:
+                verbatim = own_slot[p : p + width].all()
                 for j in range(width):
                     if own_slot[p + j]:
                         a, b = own[p + j], words[q + j].decode("utf-8", "surrogatepass").strip(STRIPPED).lower()
-                        if to.setdefault(a, b) != b or back.setdefault(b, a) != a:
+                        if verbatim and a != b or to.setdefault(a, b) != b or back.setdefault(b, a) != a:
                             return False
                         if a != b:
                             changed.add(p + j)
@@ -213,22 +220,28 @@ def matcher(name: str, items: list[tuple[int | None, str | None]]) -> Matcher:
     return kept(("matcher", name), lambda: Matcher(items))
 
 
-def blocks(benchmark: DataFrame, block: int = BLOCK) -> Iterator[list[tuple[int | None, str | None]]]:
-    """The items, at most about ``block`` at a time."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n = -(-rows.count() // block)
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """item_id, text, key: equal for equal texts."""
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", F.xxhash64("text").alias("key")).where("text IS NOT NULL")
+
+
+def blocks(items: DataFrame, block: int = BLOCK) -> Iterator[list[tuple[int, str]]]:
+    """The items' different texts (key, text), about ``block`` bytes at a time."""
+    texts = items.groupBy("key").agg(F.first("text").alias("text"))
+    n = -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block)
     for k in range(n):
-        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
+        yield [tuple(r) for r in texts.where(F.pmod(F.xxhash64("key"), F.lit(n)) == k).sort("key").collect()]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """Pairs: doc_id, item_id, similarity (share of the item's windows), changed_slots."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, item_id long, similarity double, changed_slots long"
+    schema = "doc_id long, key long, similarity double, changed_slots long"
+    items = items_of(benchmark)
     out = spark.createDataFrame([], schema)
-    for items in blocks(benchmark):
-        shared, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
+    for part in blocks(items, block):
+        shared, name = spark.sparkContext.broadcast(part), uuid.uuid4().hex
 
         def match(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
             m = matcher(name, shared.value)
@@ -236,24 +249,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
                 found = m.match(batch.column(1).to_pylist(), similarity)
                 pairs = [(d, *x) for d, xs in zip(batch.column(0).to_pylist(), found) for x in xs]
                 a, b, c, d = zip(*pairs) if pairs else ([], [], [], [])
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64()), pa.array(d, pa.int64())], ["doc_id", "item_id", "similarity", "changed_slots"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64()), pa.array(d, pa.int64())], ["doc_id", "key", "similarity", "changed_slots"])
 
         out = out.union(rows.mapInArrow(match, schema))
-    return out
+    return out.join(items.select("item_id", "key"), "key").select("doc_id", "item_id", "similarity", "changed_slots")
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """The documents that leak no item, with all their columns."""
     spark = docs.sparkSession
-    for items in blocks(benchmark):
-        shared, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
-        place = docs.columns.index("text")
+    rows = docs.select(packed(docs).alias("own"))
+    for part in blocks(items_of(benchmark), block):
+        shared, name = spark.sparkContext.broadcast(part), uuid.uuid4().hex
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
             m = matcher(name, shared.value)
             for batch in batches:
-                clean = [not x for x in m.match(batch.column(place).to_pylist(), similarity)]
+                clean = [not x for x in m.match(batch.column(0).field("text").to_pylist(), similarity)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+        rows = rows.mapInArrow(keep, rows.schema)
+    return rows.select("own.*")
