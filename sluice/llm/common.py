@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.sources import session
+from sluice.sources.session import new_path
 
 #: White space of the word contract: a word is a longest run of other characters.
 SPACES = " \t\n\x0b\f\r"
@@ -15,29 +14,6 @@ SPACES = " \t\n\x0b\f\r"
 NO_ID = -(2**63)
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset, a folder of this machine serves, but only in local mode.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        found = "file:///tmp/checkpoints/sluice"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the work folder, deleted when the session ends."""
-    path = f"{work_dir(spark)}/sluice-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages survive lost executors
     without computing it again."""
@@ -72,7 +48,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> F.Column:
-    """All columns of docs as one struct, out of the way of an operator's own names."""
+    """All columns of docs as one struct, out of the way of an operator's own names, whatever theirs are."""
     return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns))
 
 

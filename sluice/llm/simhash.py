@@ -299,7 +299,8 @@ def similar_pairs(distinct: DataFrame, texts: DataFrame, similarity: float = SIM
 
 def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
     """The documents without all but one of each group of near-duplicates: texts linked by shingle sets (five
-    lower-cased words) whose Jaccard similarity is at least ``similarity``. The smallest doc_id stays.
+    lower-cased words) whose Jaccard similarity is at least ``similarity``. The smallest doc_id stays, a null one only
+    if the group has no other.
 
     Texts without words are one group. Equal rows are copies. A pair links only by its whole texts, in
     ``similar_pairs``.
@@ -316,8 +317,9 @@ def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY, tile: int
     distinct = made.groupBy("key").agg(F.first("fp").alias("fp"), F.first("least").alias("least"))
     texts = rows.select(F.col("_key").alias("key"), "own.text")
     roots = components(similar_pairs(distinct, texts, similarity, tile))
-    low = made.groupBy("key").agg(F.min("kid").alias("kid"))
-    grouped_ = low.join(roots, low["key"] == roots["node"], "left").select("key", "kid", F.coalesce("root", "key").alias("root"))
-    stay = grouped_.groupBy("root").agg(F.min(F.struct("kid", "key")).alias("x")).select(F.col("x.kid").alias("_kid"), F.col("x.key").alias("_key"))
+    # Real ids come before null ones.
+    low = made.groupBy("key").agg(F.min(F.struct((F.col("kid") == NO_ID).alias("none"), "kid")).alias("low")).select("key", "low.*")
+    grouped_ = low.join(roots, low["key"] == roots["node"], "left").select("key", "none", "kid", F.coalesce("root", "key").alias("root"))
+    stay = grouped_.groupBy("root").agg(F.min(F.struct("none", "kid", "key")).alias("x")).select(F.col("x.kid").alias("_kid"), F.col("x.key").alias("_key"))
     stay = cut(stay, "stay")
     return rows.join(stay, ["_kid", "_key"], "left_semi").dropDuplicates(["_kid", "_key"]).select("own.*")

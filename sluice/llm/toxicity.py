@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.llm.caches import kept
-from sluice.llm.common import held_out
+from sluice.llm.common import held_out, packed
 
 SAMPLE = 2000
 WINDOW, STRIDE = 48, 36
@@ -343,21 +344,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Weights | f
 
 
 def score(docs: DataFrame, model: Weights | float) -> DataFrame:
-    """docs' columns and the score of every row's text."""
+    """own (a struct of docs' columns) and toxic_score, the score of every row's text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index("text")
+    rows = docs.select(packed(docs).alias("own"))
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = batch.column(place).to_pylist()
+            texts = batch.column(0).field("text").to_pylist()
             found = np.full(len(texts), model) if isinstance(model, float) else scorer(model).score(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "toxic_score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["own", "toxic_score"])
 
-    return docs.mapInArrow(scores, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", toxic_score double")
+    return rows.mapInArrow(scores, T.StructType([rows.schema["own"], T.StructField("toxic_score", T.DoubleType())]))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
+    """The documents that score below the threshold, with all their columns."""
+    return score(docs, fit(docs, labels, sample)).where(F.col("toxic_score") < threshold).select("own.*")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     found = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels, sample))
+    found = found.select("own.doc_id", "toxic_score")
     return found.select("doc_id", held_out(4, 2).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= threshold).cast("int").alias("predicted"))

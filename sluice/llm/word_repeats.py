@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.llm.common import NO_ID, cut, keyed, packed
 from sluice.llm.passages import Rolling, as_bytes, by_document, candidates, codes_of_words, covered, least, unsettled, word_codes
@@ -116,7 +117,7 @@ def remove(rows: DataFrame, width: int, gram: int) -> DataFrame:
                     yield shard(batch.slice(begin, row + 1 - begin))
                     begin, size = row + 1, 0
 
-    return rows.mapInArrow(stream, f"own {rows.schema['own'].dataType.simpleString()}, kept string, n_words long, n_removed long")
+    return rows.mapInArrow(stream, T.StructType([rows.schema["own"], T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]))
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
