@@ -48,7 +48,7 @@ def test_quality_estimates_stay_anchored():
 
 
 def test_language_model_counts(docs, spark):
-    rows = lm_score.lm_scores(docs, sample=3000).collect()
+    rows = lm_score.lm_scores(docs, least=3000).collect()
     held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 7 == 2
     low = [(i, [w.lower() for w in raw_words(t)]) for i, t in texts()]
     c = Counter(w for i, ws in low if not held(i) for w in ws)
@@ -60,6 +60,19 @@ def test_language_model_counts(docs, spark):
     assert lm_score.lm_scores(empty(spark)).count() == 0
 
 
+def test_trainers_together_learn_from_whole_documents(spark, monkeypatch):
+    # A language of two words that take turns: what a model of counts can't know. Many trainers, more than FAN.
+    rows = [(k, " ".join(["ab", "cd"] * (40 + k % 7) + ["ef"] * (k % 3))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(lm_score, "FAN", 2)
+    monkeypatch.setattr(lm_score, "RATES", (0.2,) * 8)
+    found = {r["doc_id"]: r for r in lm_score.lm_scores(docs, least=1, every=1, portion=12_000).collect()}
+    gain = sum(r["score"] - r["base_score"] for r in found.values()) / sum(r["n_tokens"] for r in found.values())
+    assert len(found) == 400 and gain > 0.1
+    again = {r["doc_id"]: r["score"] for r in lm_score.lm_scores(docs.repartition(5), least=1, every=1, portion=12_000).collect()}
+    assert all(abs(again[k] - r["score"]) < 1e-3 * abs(r["score"]) for k, r in found.items())
+
+
 def test_recurrent_model_learns_and_is_whole():
     from sluice.llm import recurrent_lm as lm
 
@@ -217,6 +230,7 @@ def test_decontamination(docs, spark):
     assert got == [(3, 1, False), (3, 1, False), (60, 2, True)]
     left = decontaminate.without_leaks(docs, items)
     assert left.columns == docs.columns and left.count() == docs.count() - 1
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(all_docs, items, block=60).collect()) == [(3, 1), (3, 1), (60, 2)]
     assert decontaminate.leaks(empty(spark), items).count() == 0 and decontaminate.leaks(docs, items.limit(0)).count() == 0
 
 
@@ -295,6 +309,62 @@ def test_toxicity_gradients():
     assert abs((toxicity.forward(p, x2, mask) - toxicity.forward(p, x, mask)) @ d / 1e-4 - dx[1, 0, 2]) < 1e-3
 
 
+def test_short_items_leak_only_verbatim():
+    m = decontaminate.Matcher([(1, "42"), (2, "In Paris"), (3, "Tom met Anna Smith")])
+    got = [[x[0] for x in found] for found in m.match(["There are 7 cats here.", "It took 42 days", "they live in Rome", "They live in Paris.", "then Bob met Lisa Jones", "then Tom met Anna Smith again"])]
+    assert got == [[], [1], [], [2], [], [3]]
+    # Five placeholders in a row say nothing unless they keep their words.
+    m = decontaminate.Matcher([(1, "see Paris London Rome Berlin Madrid Vienna")])
+    assert [len(x) for x in m.match(["see Oslo Bern Riga Cairo Lima Quito", "we see Paris London Rome Berlin Madrid Vienna today"])] == [0, 1]
+
+
+def brute_leaks(docs, items, width=5, similarity=0.8):
+    """Pairs of document and item by trying every shift of the item over the document."""
+    out = set()
+    for item_id, item in items:
+        (words, codes, slot, _), = decontaminate._Kinds().templates([item])
+        n = len(words) - width + 1
+        bare = [w.decode().strip(decontaminate.STRIPPED).lower() for w in words]
+        for doc_id, text in docs:
+            (w, c, _, _), = decontaminate._Kinds().templates([text])
+            low = [x.decode().strip(decontaminate.STRIPPED).lower() for x in w]
+            for shift in range(-n, len(w)):
+                to, back, good = {}, {}, 0
+                fits = True
+                for p in range(n):
+                    if not 0 <= p + shift <= len(w) - width or any(c[p + shift + j] != codes[p + j] for j in range(width)):
+                        continue
+                    pairs = [(bare[p + j], low[p + shift + j]) for j in range(width) if slot[p + j]]
+                    fits = fits and all(to.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in pairs)
+                    good += 1
+                if fits and good >= similarity * n:
+                    out.add((doc_id, item_id))
+    return out
+
+
+def test_leaks_are_those_of_every_shift(spark):
+    r = random.Random(3)
+    plain = [w for w in "the of and went to market with bread apples for old grey house near river then sold them again".split()]
+    names = "Tom Anna Bob Lisa Carl Dora".split()
+
+    def sentence(n):
+        return " ".join(["well", *(r.choice(names) if r.random() < 0.15 else str(r.randint(2, 9)) if r.random() < 0.15 else r.choice(plain) for _ in range(n))])
+
+    items = [(k, sentence(14)) for k in range(12)]
+
+    def variant(text):
+        swap = dict(zip(names, r.sample(names, len(names))))
+        add = r.randint(0, 40)
+        return " ".join(swap.get(w, str(int(w) + add) if w.isdigit() else w) for w in text.split())
+
+    docs = [(k, f"{sentence(20)} {variant(items[k % 12][1]) if k % 2 else items[k % 12][1]} {sentence(15)}") for k in range(40)] + [(100 + k, sentence(60)) for k in range(20)]
+    # One number in the middle changed by itself: consistent only if that number occurs once.
+    docs += [(200 + k, " ".join(str(int(w) + 50) if w.isdigit() and j == 9 else w for j, w in enumerate(t.split()))) for k, t in items]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_leaks(docs, items)
+    assert got >= want and len(want) >= 40 and len(got - want) <= 2  # copies with words put in are beyond the shifts
+
+
 def test_toxicity(docs, spark):
     clean = [t for _, t in texts()[:12]]
     rows = [(100 + k, clean[k % 12] + f" {k} " + clean[(k + 3) % 12]) for k in range(120)]

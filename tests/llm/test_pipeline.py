@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.fixtures import documents, empty, texts, words
 
@@ -37,6 +39,23 @@ def test_stages_keep_columns_and_rows(spark, tmp_path):
     assert pieces.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
+def test_columns_of_any_name_survive(spark, tmp_path):
+    odd = {"toxic_score": "toxic_score", "a`b": "a`b", "a.b": "a.b", "own": "own", "_key": "_key", "root": "root", "hashes": "hashes"}
+    docs = documents(spark).drop("own").withColumns({k: F.lit(v) for k, v in odd.items()})
+    sf_dir = write(spark, tmp_path / "odd", docs)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        rows = out.collect()
+        assert out.columns == docs.columns and rows and all(r[k] == v for r in rows for k, v in odd.items()), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() >= docs.count()
+
+
+def test_real_ids_stay_before_null_ones(spark):
+    rows = [(None, ""), (None, "one two three"), (40, " "), (41, None), (7, "one two  three"), (None, "alone here")]
+    left = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left.collect()) == [(0, "alone here"), (7, "one two  three"), (40, " ")]
+
+
 def test_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, write(spark, tmp_path / "e", empty(spark))).count() == 0
 
