@@ -1,14 +1,21 @@
-"""Main text of web pages: markup decides what it can, a host suffix array the rest.
-
-One range shuffle brings a host's pages together (by host, then by a hash of the page, so that a host with a
-third of all pages spreads over many tasks). A task works on at most ``GROUP`` pages of one host at a time:
-it cuts each page into blocks, drops blocks of menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments by element, role and class, concatenates the token streams of the blocks that no article or
-main element holds, sorts their suffixes, and drops the runs of at least ``RUN`` tokens that distinct pages of
-the host share. Which runs these are is counted over the whole host before (hashes of runs, with map-side combine):
-they reach the groups of their pages as one more page, so the borders of groups and tasks change no text. What an article or main element holds is kept whole: two pages may print the same article, so
-repetition says nothing there, and such words need no place in the suffix array. Where a page has such an
-element, blocks outside it go too.
+"""Main text of web pages: markup proposes, a host suffix array disposes.
+
+Markup cuts a page into blocks and drops those of menus, headers, footers, sidebars, notices, adverts, forms and
+reader comments by element, role and class. All other blocks, inside an article or main element or not, are
+token streams of the page's host, and what its pages repeat decides over them:
+
+* Outside such an element a run of ``RUN`` tokens that two distinct pages hold is boilerplate.
+* Inside, two pages may print one article, so repetition alone says nothing. A block there is boilerplate if it stands
+  in at least ``PLACES`` and ``SHARE`` of the host's distinct pages' number of different surroundings (the blocks before
+  and after it): copies of an article, edited ones too, bring the same surroundings along.
+* Where the runs outside that no other page holds have ``TEASER`` times the words of what is inside, the element holds
+  teasers: all blocks are judged as outside ones. Else what lies outside goes.
+
+Runs and blocks are counted over the whole host by hash, with map-side combine, and reach their pages as a note. One
+range shuffle brings a host's pages together (by host, then by a hash of the page, so that a host with a third of all
+pages spreads over many tasks). A task concatenates the streams and notes of at most ``GROUP`` pages of one host
+at a time, sorts their suffixes, removes the tokens that repeated runs cover and keeps the unique ones. As the notes
+hold all that recurs on the host, the borders of groups and tasks change no text.
 
 A null or empty html gives the empty text; a null url is a host of its own. Repeated rows and rows with null
 ids stay rows; a page repeated under the same url isn't a distinct page. An empty table gives no rows.
@@ -27,10 +34,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.common import cut, release
+
 GROUP = 400
 #: Tokens of the shortest run that counts as repeated; a power of two.
 RUN = 8
 
+#: Surroundings in which a block inside an article is boilerplate: at least so many, and this share of the host's pages.
+PLACES, SHARE = 4, 0.5
+#: Unique words outside an article or main element for each word inside that make it a teaser.
+TEASER = 2
+
 #: Elements whose text is never part of a page's main text.
 DROPPED = frozenset("nav footer aside form menu dialog head button select svg canvas object video audio map noscript template".split())
 #: Elements that begin and end a block.
@@ -188,8 +202,39 @@ def run_hashes(host: str, words: list[str], run: int = RUN) -> list[int]:
     return np.frombuffer(digests, ">i8").tolist()
 
 
+def hashed(*parts: str) -> int:
+    """Signed 64 bits of some texts in order."""
+    return xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def block_hashes(host: str, blocks: list[tuple[str, bool]]) -> list[tuple[int, int]]:
+    """Of each block inside the article or main element: its hash on this host, and that of its surroundings."""
+    texts = ["", *(text for text, _ in blocks), ""]
+    return [(hashed("block", host, text), hashed(texts[k], texts[k + 2])) for k, (text, inside) in enumerate(blocks) if inside]
+
+
+def unique_inside(host: str, blocks: list[tuple[str, bool]], shared: set[int]) -> list[str]:
+    """What is left of each of the blocks inside the article or main element where ``shared`` holds the boilerplate ones' hashes:
+    the array of the page's stream and these blocks' finds their tokens, also where they run on in other blocks."""
+    own = [text for text, inside in blocks if inside]
+    named = [text for text in own if hashed("block", host, text) in shared] if shared else []
+    if not named:
+        return own
+    vocabulary: dict[str, int] = {}
+    numbered = lambda text: np.array([vocabulary.setdefault(w, len(vocabulary)) for w in text.split(" ")], np.int64)
+    streams = [numbered(text) for text in own]
+    gone = repeated([np.concatenate(streams), *map(numbered, dict.fromkeys(named))], ["page", *["boilerplate"] * len(set(named))])[0]
+    out, at = [], 0
+    for text, stream in zip(own, streams):
+        covered = within(gone[at : at + len(stream)])
+        at += len(stream)
+        out.append("" if text in named else " ".join(w for w, g in zip(text.split(" "), covered) if not g))
+    return out
+
+
 def texts_of(pages: list[tuple[object, str | None]], host: str = "", shared: list[set[int]] | None = None) -> list[str]:
-    """Main texts of one host's (url, html) pages; ``shared``: of each page, the hashes of runs that other pages hold."""
+    """Main texts of one host's (url, html) pages; ``shared``: of each page, the hashes of runs that other pages hold, and
+    of blocks that are boilerplate inside articles."""
     found = [blocks_of(h) for _, h in pages]
     vocabulary: dict[str, int] = {}
     streams, loose = [], []
@@ -207,18 +252,18 @@ def texts_of(pages: list[tuple[object, str | None]], host: str = "", shared: lis
                 urls.append("\0")  # no page's url
     covered = repeated(streams, urls)
     out = []
-    for blocks, words, gone in zip(found, loose, covered):
-        if any(inside for _, inside in blocks):
-            out.append("\n\n".join(text for text, inside in blocks if inside))
-            continue
-        kept, at = [], 0
-        for text, _ in blocks:
+    for k, (blocks, words, gone) in enumerate(zip(found, loose, covered)):
+        inner = unique_inside(host, blocks, shared[k] if shared else set())
+        outer, at = [], 0
+        for text in (text for text, inside in blocks if not inside):
             n = text.count(" ") + 1
-            rest = " ".join(w for w, g in zip(words[at : at + n], within(gone[at : at + n])) if not g)
+            outer.append(" ".join(w for w, g in zip(words[at : at + n], within(gone[at : at + n])) if not g))
             at += n
-            if rest:
-                kept.append(rest)
-        out.append("\n\n".join(kept))
+        size = lambda texts: sum(text.count(" ") + 1 for text in texts if text)
+        teaser = size(outer) >= TEASER * size(inner)
+        left, right = iter(inner), iter(outer)
+        both = [next(left) if inside else next(right) for _, inside in blocks if inside or teaser]
+        out.append("\n\n".join(text for text in both if text))
     return out
 
 
@@ -228,16 +273,30 @@ def main_texts(pages: DataFrame, group: int = GROUP) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumns({"host": host, "spread": F.xxhash64("page_id", "url")})
 
+    kinds = "host string, spread long, page long, run long, place long"
+
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for host, spread, url, html in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                found = list(set(run_hashes(host, [w for text, inside in blocks_of(html) if not inside for w in text.split(" ")])))
-                page = np.int64(xxhash.xxh64_intdigest(str(url).encode("utf-8", "surrogatepass")) - (1 << 63))
-                yield pa.RecordBatch.from_arrays([pa.array([host] * len(found), pa.string()), pa.array([spread] * len(found), pa.int64()), pa.array(np.full(len(found), page)), pa.array(found, pa.int64())], ["host", "spread", "page", "run"])
+                blocks = blocks_of(html)
+                found = list(set(run_hashes(host, [w for text, inside in blocks if not inside for w in text.split(" ")])))
+                inner = list(set(block_hashes(host, blocks)))
+                n, page = len(found) + len(inner), hashed(str(url))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([host] * n, pa.string()), pa.array([spread] * n, pa.int64()), pa.array([page] * n, pa.int64()), pa.array(found + [h for h, _ in inner], pa.int64()), pa.array([None] * len(found) + [p for _, p in inner], pa.int64())],
+                    ["host", "spread", "page", "run", "place"],
+                )
 
-    each = rows.select("host", "spread", "url", "html").mapInArrow(runs, "host string, spread long, page long, run long")
-    recurring = each.groupBy("run").agg(F.min("page").alias("low"), F.max("page").alias("high")).where("low <> high").select("run")
-    notes = each.select("host", "spread", "run").join(recurring, "run").groupBy("host", "spread").agg(F.collect_set("run").alias("runs"))
+    each = cut(rows.select("host", "spread", "url", "html").mapInArrow(runs, kinds), "runs")
+    # Runs outside articles that distinct pages hold; blocks inside ones that recur at all, then those in enough surroundings.
+    counted = each.groupBy("run").agg(F.min("page").alias("a"), F.max("page").alias("b"), F.min("place").alias("c"), F.max("place").alias("d"), F.first("host").alias("host"))
+    counted = cut(counted.where("c IS NULL AND a <> b OR c <> d"), "counted")
+    sizes = rows.groupBy("host").agg(F.count_distinct(F.coalesce("url", F.lit(""))).alias("pages"))
+    inner = each.join(counted.where("c IS NOT NULL").select("run"), "run").groupBy("host", "run").agg(F.count_distinct("place").alias("places"))
+    inner = inner.where(F.col("places") >= PLACES).join(sizes, "host").where(F.col("places") >= SHARE * F.col("pages")).select("run")
+    recurring = counted.where("c IS NULL").select("run").unionByName(inner)
+    notes = cut(each.select("host", "spread", "run").join(recurring, "run").groupBy("host", "spread").agg(F.collect_set("run").alias("runs")), "notes")
+    release(each, counted)
     # A page's recurring runs travel as a row before it.
     noted = notes.select(F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "host", "spread", "runs")
     rows = rows.withColumn("runs", F.lit(None).cast("array<long>")).unionByName(noted).withColumn("page", F.col("runs").isNull())
