@@ -445,6 +445,89 @@ def test_windows_outside_a_copy_hide_no_leak():
     assert decontaminate.Matcher([(2, short)]).match([wrong, wrong + ". " + wrong]) == [[], []]
 
 
+def brute_texts(rows):
+    """Main texts by comparing all pages of a host with each other, word by word."""
+    host = lambda url: (url or "").split("/")[2] if url else ""
+    cut_pages = [(host(url), url, html_text.blocks_of(html)) for _, url, html in rows]
+    run = html_text.RUN
+
+    def grams(ws):
+        return {tuple(ws[k : k + run]) for k in range(len(ws) - run + 1)}
+
+    def left(words, spans, bad):
+        """The blocks' words (spans of the stream) without those under the given grams."""
+        gone = [False] * len(words)
+        for k in range(len(words) - run + 1):
+            if tuple(words[k : k + run]) in bad:
+                gone[k : k + run] = [True] * run
+        return [" ".join(w for w, g in zip(words[a:b], html_text.within(np.array(gone[a:b], bool))) if not g) for a, b in spans]
+
+    def stream(texts_):
+        words, spans = [], []
+        for t in texts_:
+            spans.append((len(words), len(words) + len(t.split(" "))))
+            words += t.split(" ")
+        return words, spans
+
+    out = []
+    for h, url, blocks in cut_pages:
+        mine = [(u, b) for g, u, b in cut_pages if g == h]
+        loose, spans = stream([t for t, inside in blocks if not inside])
+        others = set().union(*(grams(stream([t for t, inside in b if not inside])[0]) for u, b in mine if u != url), set())
+        outer = left(loose, spans, others)
+        around = {}
+        for _, b in mine:
+            ts = ["", *(t for t, _ in b), ""]
+            for k, (t, inside) in enumerate(b):
+                if inside:
+                    around.setdefault(t, set()).add((ts[k], ts[k + 2]))
+        n = len({u for u, _ in mine})
+        bad = [t for t, places in around.items() if len(places) >= max(4, 0.5 * n)]
+        own = [t for t, inside in blocks if inside]
+        words, spans = stream(own)
+        here = [t for t in bad if t in own]
+        inner = ["" if t in here else x for t, x in zip(own, left(words, spans, set().union(*(grams(t.split(" ")) for t in here), set())))]
+        size = lambda ts: sum(len(t.split(" ")) for t in ts if t)
+        teaser = size(outer) >= 2 * size(inner)
+        a, b = iter(inner), iter(outer)
+        out.append("\n\n".join(t for t in [next(a) if inside else next(b) for _, inside in blocks if inside or teaser] if t))
+    return out
+
+
+def site_pages():
+    r = random.Random(8)
+    say = lambda n: " ".join(r.choice("bcdfglmn") + r.choice("aeiou") + r.choice("rst") + r.choice("aeiou") for _ in range(n))
+    call, line, copied = "Read all the other stories of this paper for one single euro a week", "Follow us", [say(20) for _ in range(3)]
+    rows = []
+    for k in range(40):
+        host = "a.org" if k < 26 else "b.org" if k < 38 else "c.org"
+        body = [say(r.randint(3, 25)) for _ in range(r.randint(2, 4))]
+        inside = list(copied) if k % 5 == 0 else body  # a story that many pages print
+        inside = inside[:1] + [line] + inside[1:]
+        inside = inside[:-1] + [f"{inside[-1]} {call}"] if k % 7 == 0 else [*inside, call]
+        outside = f"<div>All rights reserved by the owner of this very site</div><div>{say(4)}</div>"
+        if k % 13 == 4:  # the article elements are teasers
+            outside += f"<div>{say(90)}</div>"
+            inside = [say(5)]
+        tag = ("article", "main", "div")[k % 3]
+        rows.append((k, f"https://{host}/{k}", f"<nav>menu</nav><{tag}>{''.join(f'<p>{t}</p>' for t in inside)}</{tag}>{outside}<footer>end</footer>"))
+    return rows + [(40, "https://a.org/5", rows[5][2]), (41, None, "<article><p>no host here</article>"), (None, None, None), (42, "https://a.org/e", "")]
+
+
+def test_html_text_equals_comparing_all_pages(spark):
+    rows = site_pages()
+    want = Counter((k, u, t) for (k, u, _), t in zip(rows, brute_texts(rows)))
+    assert any("Follow" not in t and t for _, _, t in want) and any("euro" in (h or "") for _, _, h in rows)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions, group in ((1, 400), (4, 3), (64, 400)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            assert Counter((r["page_id"], r["url"], r["text"]) for r in html_text.main_texts(pages, group).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_runs_repeat_across_groups_of_a_host(spark):
     notice = "<div>All rights reserved by the owner of this very site</div>"
     rows = [(k, f"https://b.org/{k}", f"{notice if k % 9 == 0 else ''}<p>Page {k} says something of its own</p>") for k in range(30)]
