@@ -29,7 +29,8 @@ from pyspark.sql import types as T
 from sluice.llm.caches import kept
 from sluice.llm.common import held_out, packed
 
-SAMPLE = 2000
+#: Labelled rows of each class to learn from at most, and bytes of a text that still teaches.
+SAMPLE, LONGEST = 2000, 100_000
 WINDOW, STRIDE = 48, 36
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 4, 8
 WORD_ROWS, CHAR_ROWS = 1 << 14, 1 << 15
@@ -327,13 +328,14 @@ def scorer(p: Weights) -> Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Weights | float:
-    """The network, or a constant score where the sample has one class at most."""
+    """The network, or a constant score where the sample has one class at most. Labelled texts beyond ``LONGEST`` bytes
+    don't teach, so what the driver holds is bounded; they are scored whole like all others."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     rows = rows.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(4, 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     spread = [rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     chosen = spread[0].union(spread[1])  # at most 2 * sample ids: bounded, so broadcast
     found = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+        docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
         .groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
         .orderBy("doc_id").collect()
     )
