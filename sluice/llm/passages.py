@@ -8,7 +8,7 @@ window; there are about 2 / (width - gram) tiles a unit. A tile whose whole segm
 windows. What remains, tiles at the edges of repeated passages, is looked into window by window.
 
 All counts are hash aggregations with map-side combine and all joins equi-joins on hashes, so a passage that a
-third of all documents share is no single task's work. Hashes have 64 bits.
+third of all documents share is no single task's work. Hashes have 64 bits; segments are told apart by two of them.
 """
 
 from __future__ import annotations
@@ -139,8 +139,9 @@ def candidates(docs: DataFrame, codes: Callable[[str | None], np.ndarray], gram:
     again = cut(tiles.groupBy("anchor").count().where("count > 1").select("anchor"), "again")
     found = cut(tiles.join(again, "anchor"), "anchored")
     release(tiles, again)
-    whole = cut(found.groupBy("seg").agg(F.count("*").alias("times"), F.min(F.struct("kid", "kh", "start")).alias("rep")).where("times > 1"), "whole")
-    marked = found.join(whole, "seg", "left").select(
+    # Segments are the same if their hashes and their anchors' are: chance alone would need both to meet.
+    whole = cut(found.groupBy("anchor", "seg").agg(F.count("*").alias("times"), F.min(F.struct("kid", "kh", "start")).alias("rep")).where("times > 1"), "whole")
+    marked = found.join(whole, ["anchor", "seg"], "left").select(
         "kid", "kh", "start", "n", "anchor", F.col("times").isNotNull().alias("recurs"), F.coalesce(F.struct("kid", "kh", "start") == F.col("rep"), F.lit(False)).alias("first")
     )
     out = cut(marked, "candidates")
