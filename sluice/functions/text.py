@@ -15,6 +15,19 @@ CURRENCY = r"(?i)^([$€£¥₹]|USD|EUR|GBP|JPY|INR)"
 UNIT_MS = {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000, "week": 604_800_000, "month": 2_592_000_000, "year": 31_536_000_000}
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 MONTHS = r"(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
+#: Further forms of a whole text, and the groups that hold its year, month and day (0: the first).
+OTHER_DATES = (
+    (r"(\d{4})", 1, 0, 0),
+    (r"(\d{4})-(\d{2})", 1, 2, 0),
+    (r"(\d{4})/(\d{1,2})/(\d{1,2})", 1, 2, 3),
+    (r"(\d{1,2})-(\d{1,2})-(\d{4})", 3, 1, 2),
+    (r"(\d{1,2})/(\d{1,2})/(\d{2})", 3, 1, 2),
+    (r"(\d{1,2})-([a-z]{3,9})-(\d{4})", 3, 2, 1),
+    (r"([a-z]{3,9})-(\d{1,2})-(\d{4})", 3, 1, 2),
+    (r"([a-z]{3,9})\.? (\d{4})", 2, 1, 0),
+    (r"(\d{4}) ([a-z]{3,9}) (\d{1,2})", 1, 2, 3),
+)
+CLOCK = r"(?:,? +(\d{1,2}):(\d{2})(?::(\d{2}))?(?: *([ap])m)?(?: *(?:utc|gmt|z))?)?"
 
 
 def trim(c: Column) -> Column:
@@ -63,6 +76,27 @@ def parse_boolean(c: Column) -> Column:
     return F.when(c.isNotNull(), F.lower(trim(c)).isin(*TRUE_WORDS))
 
 
+def other_date(c: Column) -> Column:
+    """Time of a text that is a date in one of ``OTHER_DATES``, with a time of day or without; years of two digits are
+    those from 1950 to 2049. Null for all else, for days that no month has too."""
+    x = F.lower(c)
+
+    def at(form: str, year: int, month: int, day: int) -> Column:
+        whole = f"^{form}{CLOCK}$"
+        clock = max(year, month, day)
+        part = lambda k: F.regexp_extract(x, whole, k)
+        y, m = part(year), part(month) if month else F.lit("1")
+        y = F.when(F.length(y) > 2, y).otherwise(F.concat(F.when(y < "50", "20").otherwise("19"), y))
+        m = F.when(m.rlike(r"^\d"), m).when(m.rlike(f"^{MONTHS}$"), ((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.left(m, F.lit(3))) + 2) / 3).cast("int").cast("string"))
+        hour = part(clock + 1).try_cast("int")
+        half = part(clock + 4)
+        hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0)).otherwise(-1)
+        said = F.concat_ws(" ", y, m, part(day) if day else F.lit("1"), F.when(part(clock + 1) == "", "0").otherwise(hour.cast("string")), *(F.when(part(clock + k) == "", "0").otherwise(part(clock + k)) for k in (2, 3)))
+        return F.when(x.rlike(whole) & m.isNotNull(), F.try_to_timestamp(said, F.lit("yyyy M d H m s")))
+
+    return F.coalesce(*(at(*form) for form in OTHER_DATES))
+
+
 def parse_date(c: Column, now: Column | None = None) -> Column:
     """ISO text in UTC of the first date pattern that fits; ``now`` is what relative dates count from."""
     x = trim(c)
@@ -93,6 +127,7 @@ def parse_date(c: Column, now: Column | None = None) -> Column:
         F.when(x.rlike(mdy), named(mdy, 1, 2)),
         F.when(x.rlike(dmy), named(dmy, 2, 1)),
         F.when(x.rlike(ago), relative),
+        other_date(x),
     )
     return F.date_format(found, ISO)
 

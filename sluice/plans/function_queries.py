@@ -66,3 +66,14 @@ def fn_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fn_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nation").select(text.new_id().alias("id"))
     return rows.agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"), F.min(F.length("id")).alias("shortest"), F.max(F.length("id")).alias("longest"), F.bool_and(F.col("id").rlike("^[0-9a-f]+$")).alias("hex"))
+
+
+@query("""SELECT o_orderkey, strftime(CASE o_orderkey % 8 WHEN 0 THEN date_trunc('day', o_orderdate) + INTERVAL 13 HOUR + INTERVAL 5 MINUTE WHEN 1 THEN date_trunc('year', o_orderdate) WHEN 2 THEN date_trunc('month', o_orderdate) WHEN 3 THEN date_trunc('month', o_orderdate)
+    WHEN 4 THEN NULL ELSE date_trunc('day', o_orderdate) END, '%Y-%m-%dT%H:%M:%S.000Z') AS iso FROM orders""")
+def fn_parse_other_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("o_orderkey") % 8
+    forms = {0: "yyyy/M/d '1:05 PM'", 1: "yyyy", 2: "yyyy-MM", 3: "MMM yyyy", 5: "d-MMM-yyyy", 6: "M-d-yyyy", 7: "MMM-dd-yyyy"}
+    said = F.when(kind == 4, "31-Feb-1995")
+    for k, form in forms.items():
+        said = said.when(kind == k, F.date_format("o_orderdate", form))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.parse_date(said).alias("iso"))

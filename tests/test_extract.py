@@ -43,6 +43,15 @@ def test_dates(spark):
     assert one(spark, list(cases), lambda c: text.parse_date(c, now())) == list(cases.values())
 
 
+def test_other_dates(spark):
+    cases = {
+        "2024": "2024-01-01T00:00:00.000Z", "2024-03": "2024-03-01T00:00:00.000Z", " 2024/3/15 ": "2024-03-15T00:00:00.000Z", "2024/03/15 10:30": "2024-03-15T10:30:00.000Z", "3-15-2024, 1:05:09 PM": "2024-03-15T13:05:09.000Z",
+        "3/15/24": "2024-03-15T00:00:00.000Z", "3/15/70 12:00 am": "1970-03-15T00:00:00.000Z", "15-Mar-2024": "2024-03-15T00:00:00.000Z", "march-15-2024 23:59:59 GMT": "2024-03-15T23:59:59.000Z", "Sept 2024": "2024-09-01T00:00:00.000Z",
+        "2024 Mar 15": "2024-03-15T00:00:00.000Z", "31-Feb-2024": None, "15-Foo-2024": None, "2024/13/01": None, "2024/03/15 25:00": None, "2024/03/15 13:00 pm": None, "12345": None, "": None,
+    }
+    assert one(spark, list(cases), lambda c: text.parse_date(c, now())) == list(cases.values())
+
+
 def test_text(spark):
     assert one(spark, [" \t a  b\n"], text.trim) == ["a  b"]
     assert one(spark, [" a  b\n\tc "], text.collapse_whitespace) == ["a b c"]
