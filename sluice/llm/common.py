@@ -16,10 +16,15 @@ NO_ID = -(2**63)
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages survive lost executors
-    without computing it again."""
+    without computing it again.
+
+    Nothing reads the shuffles behind a written table any more, but Spark deletes their files only once the driver
+    collects garbage, which a driver with little to do does rarely. So that disks don't fill, it is asked to.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._sluice_path = path
     return out
