@@ -22,6 +22,7 @@ import contextlib
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from sluice.llm.common import NO_ID, local_path, new_path
 from sluice.llm.tokens import encoder
 
 MAGIC = b"SLUICE01"
+#: Documents of a batch that is read back.
+BATCH = 10_000
 
 
 @contextlib.contextmanager
@@ -128,9 +131,9 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = [(d, base + o, len(x), zlib.crc32(x.astype("<u4").tobytes())) for d, o, x in documents_of(folder, part)]
-                columns = list(zip(*found)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                found = ((d, base + o, len(x), zlib.crc32(x.astype("<u4").tobytes())) for d, o, x in documents_of(folder, part))
+                for rows in batched(found, BATCH):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return manifest.select("part", "base").repartitionByRange(n, "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
