@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 
 import numpy as np
@@ -13,6 +14,8 @@ from sluice.llm.caches import kept
 
 #: How a byte-level pre-tokenizer splits text (fixed value of that format).
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same for texts of ASCII alone, which the standard library splits in half the time.
+ASCII_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^A-Za-z0-9\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
 
 #: Pre-tokens whose ids a worker keeps: about 200 bytes each.
 KEEP = 500_000
@@ -45,7 +48,7 @@ class Encoder:
         pre = kind.get("pre_tokenizer") or {}
         self.split = None
         if pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not kind.get("normalizer"):
-            self.split = regex.compile(BYTE_LEVEL)
+            self.split, self.split_ascii = regex.compile(BYTE_LEVEL), re.compile(ASCII_LEVEL)
         added = kind.get("added_tokens") or []
         if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added):
             self.split = None
@@ -59,12 +62,16 @@ class Encoder:
             return np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, dtype=self.dtype)
         text = text or ""
         if not any(t in text for t in self.added):
-            return np.frombuffer(b"".join(map(self.known.__getitem__, self.split.findall(text))), dtype=self.dtype)
+            return np.frombuffer(self._joined(text), dtype=self.dtype)
         # Every second part is an added token.
         parts = self.between.split(text)
-        ids = [self.added[t] if k % 2 else b"".join(map(self.known.__getitem__, self.split.findall(t))) for k, t in enumerate(parts)]
+        ids = [self.added[t] if k % 2 else self._joined(t) for k, t in enumerate(parts)]
         return np.frombuffer(b"".join(ids), dtype=self.dtype)
 
+    def _joined(self, text: str) -> bytes:
+        split = self.split_ascii if text.isascii() else self.split
+        return b"".join(map(self.known.__getitem__, split.findall(text)))
+
 
 class _Known(dict):
     """Pre-token to the bytes of its ids; holds the first ``keep`` pre-tokens it is asked for."""

@@ -543,3 +543,14 @@ def test_added_tokens_in_a_text_have_their_ids():
     for t in ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>  y \n<|endoftext", "no token"]:
         assert plain.encode(t, add_special_tokens=False).ids == e.encode(t).tolist()
     assert 50256 in e.encode("a<|endoftext|>b").tolist()
+
+
+def test_encoder_splits_ascii_and_other_texts_as_the_library():
+    import random
+
+    from tokenizers import Tokenizer
+
+    plain, e, draw = Tokenizer.from_file(tokens.default_path()), tokens.Encoder(tokens.default_path()), random.Random(7)
+    for k in range(4000):
+        text = "".join(draw.choices("ab1 '\t\n\r\x0b\x0c\x1c\x1f\x00sdlverm_.-" + ("é²\x85\xa0中" if k % 2 else ""), k=draw.randint(0, 14)))
+        assert e.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
