@@ -13,7 +13,7 @@ import pytest
 import xxhash
 
 from sluice.llm import byte_repeats, common, decontaminate, html_text, lm_score, packing, quality, simhash, token_files, tokens, toxicity, word_repeats
-from tests.llm.fixtures import documents, empty, texts
+from tests.llm.fixtures import documents, empty, texts, words
 
 
 @pytest.fixture(scope="module")
@@ -182,6 +182,23 @@ def test_byte_repeats(docs, spark, tile, monkeypatch):
     assert byte_repeats.byte_repeat_digests(empty(spark)).count() == 0
 
 
+def test_phrases_shorter_than_half_a_window_are_not_sorted(spark, monkeypatch):
+    # Every document has the same 150 bytes in other surroundings: no 400-byte string recurs, so no suffix need be sorted.
+    phrase = " ".join(words(900, 60))[:150]
+    rows = [(k, " ".join(words(901 + k, 120)) + phrase + " ".join(words(951 + k, 120))) for k in range(12)]
+    sorted_, plain = [], byte_repeats.edges_of
+    monkeypatch.setattr(byte_repeats, "edges_of", lambda found, *a: sorted_.append(found.count()) or plain(found, *a))
+    assert byte_repeats.without_byte_repeats(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").count() == 0
+    assert sorted_ == [0]
+    # Repeats of 399 to 430 bytes, cut at every place of a tile, go as they do by brute force.
+    base = " ".join(words(902, 400)).encode()
+    texts_ = [base[:1200]] + [bytes([65 + k]) * 50 + base[37 * k : 37 * k + 399 + k] + bytes([97 + k]) * 50 for k in range(20)]
+    found = byte_repeats.without_byte_repeats(spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts_)], "doc_id long, text string")).collect()
+    c = Counter(t[k : k + 400] for t in texts_ for k in range(len(t) - 399))
+    gone = {i: len({k + j for k in range(len(t) - 399) if c[t[k : k + 400]] > 1 for j in range(400)}) for i, t in enumerate(texts_)}
+    assert {r["doc_id"]: r["n_removed"] for r in found} == gone and gone[1] == 0 < gone[2]
+
+
 def test_suffix_order_of_prefix_free_parsing():
     from sluice.llm.parsing import suffix_order
 
