@@ -5,10 +5,10 @@ Counts of every word of every training document are made once (partitions add up
 bytes, in which a word's probability is its share, (count + 1) / (tokens + words + 1) of the class. A table of the
 ``HEAD`` most frequent words' counts goes to the executors; words beyond it meet their counts by a join on the word.
 
-The recurrent model learns from whole training documents, one in ``EVERY`` by hash (of small corpora so many that they
-hold about ``LEAST`` tokens), so what it learns from grows with the corpus. Executors train: the documents are dealt to trainers
-of about ``PORTION`` tokens, each round every trainer goes through its own from the common weights, and their mean,
-each counted by its tokens, is the next round's start. Means are taken in a tree, ``FAN`` at a time, so neither a task
+The recurrent model learns from all training documents, whole: each round from its turn of them by hash, a third where
+there are three rounds (more where that holds less than ``LEAST`` tokens: small corpora are read in every round). Executors train: a
+round's documents are dealt to trainers of about ``PORTION`` tokens, every trainer goes through its own from the common weights, and
+their mean, each counted by its tokens, is the next round's start. Means are taken in a tree, ``FAN`` at a time, so neither a task
 nor the driver ever holds more than that many weights.
 
 A null or empty text is its end alone. Null and repeated doc_ids are rows of their own (a null id's text for
@@ -36,8 +36,9 @@ from sluice.llm.common import cut, held_out, keyed, release
 
 WORDS, RARE = 2047, 16
 HEAD = 200_000
-#: One in so many training documents trains the recurrent model; tokens it learns from at least, and of one trainer.
-EVERY, LEAST, PORTION = 32, 600_000, 600_000
+#: A round reads one in so many training documents, by turns (rounds together all of them); tokens of a round at least, and
+#: of one trainer in a round.
+EVERY, LEAST, PORTION = 3, 600_000, 2_400_000
 #: Learning rates of the rounds.
 RATES = (0.01, 0.01, 0.005)
 FAN = 32
@@ -145,19 +146,21 @@ def trained(docs: DataFrame, scorer: Scorer, least: int, every: int, portion: in
     weights = scorer.shape.start()
     if not scorer.tokens:
         return weights
-    buckets = 1 << 20
-    share = min(buckets, max(buckets // every, int(buckets * least / scorer.tokens) + 1))
+    buckets, rounds = 1 << 20, len(RATES)
+    # Rounds take turns, so each document is in one of them at least: a round's share is never less than its turn.
+    share = min(buckets, max(-(-buckets // min(every, rounds)), int(buckets * least / scorer.tokens) + 1))
     trainers = max(1, round(scorer.tokens * share / buckets / portion))
-    dice = F.xxhash64("doc_id", "text", F.lit("lm"))
-    chosen = docs.withColumn("_dice", dice).where(F.pmod("_dice", F.lit(buckets)) < share)
-    chosen = cut(chosen.select("text", F.pmod(F.xxhash64("_dice"), F.lit(trainers)).alias("trainer"), F.col("_dice").alias("dice")), "training")
     context = docs.sparkSession.sparkContext
     tables, key = context.broadcast(scorer), ("lm training", uuid.uuid4().hex)
+    dice = F.xxhash64("doc_id", "text", F.lit("lm"))
+    chosen = cut(_targets(docs.select("text", dice.alias("dice")), tables, key), "training")
+    dealt = chosen.withColumn("trainer", F.pmod(F.xxhash64("dice"), F.lit(trainers)))
     for number, rate in enumerate(RATES):
         start = context.broadcast(lm.flat(weights))
 
         schema = "part long, weights binary, tokens long"
-        found, parts = chosen.groupBy("trainer").applyInArrow(_learner(tables, start, key, number, rate), schema), trainers
+        turn = dealt.where(F.pmod(F.pmod("dice", F.lit(buckets)) - F.lit(number * buckets // rounds), F.lit(buckets)) < share)
+        found, parts = turn.groupBy("trainer").applyInArrow(_learner(scorer.shape, start, number, rate), schema), trainers
         while parts > FAN:
             found = found.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("part").applyInArrow(_mean, schema)
             parts = -(-parts // FAN)
@@ -169,14 +172,25 @@ def trained(docs: DataFrame, scorer: Scorer, least: int, every: int, portion: in
     return weights
 
 
-def _learner(tables: Broadcast, start: Broadcast, key: object, number: int, rate: float) -> Callable[[pa.Table], pa.Table]:
+def _targets(docs: DataFrame, tables: Broadcast, key: object) -> DataFrame:
+    """dice, ids: what the recurrent model reads of each text, two bytes an id."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = kept(key, lambda: tables.value)
+        for batch in batches:
+            ids = [m.read(t.as_py())[0].astype("<u2").tobytes() for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ids, pa.binary())], ["dice", "ids"])
+
+    return docs.mapInArrow(make, "dice long, ids binary")
+
+
+def _learner(shape: lm.Shape, start: Broadcast, number: int, rate: float) -> Callable[[pa.Table], pa.Table]:
     """One round of a trainer: its documents once, from the common weights."""
 
     def learn(group: pa.Table) -> pa.Table:
-        m = kept(key, lambda: tables.value)
-        group = group.sort_by([("dice", "ascending"), ("text", "ascending")])
-        ids = [m.read(t.as_py())[0] for t in group.column("text")]
-        after = lm.train(m.shape, ids, 1, 5 + number, rate, lm.shaped(start.value, m.shape.start()))
+        group = group.sort_by([("dice", "ascending"), ("ids", "ascending")])
+        ids = [np.frombuffer(t.as_buffer(), "<u2") for t in group.column("ids")]
+        after = lm.train(shape, ids, 1, 5 + number, rate, lm.shaped(start.value, shape.start()))
         return pa.table({"part": group.column("trainer")[:1], "weights": pa.array([lm.flat(after)], pa.binary()), "tokens": pa.array([sum(map(len, ids))], pa.int64())})
 
     return learn

@@ -12,11 +12,16 @@ through a document's windows to its end, however long it is.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 HIDDEN, EMBED = 24, 16
 STREAMS, STEPS = 64, 32
+MOST_STREAMS, UPDATES = 512, 200
 WINDOW = 64
+#: States whose probabilities are worked out together, so that they stay in a processor's cache.
+ROWS = 8192
 LN10 = float(np.log(10))
 
 Weights = dict[str, np.ndarray]
@@ -61,26 +66,38 @@ def step(h: np.ndarray, gates: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, .
     return n + z * (h - n), z, r, n, hu[:, 2 * HIDDEN :]
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def softmax(x: np.ndarray) -> np.ndarray:
+    """Of rows, in place."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
+def log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each row the one in column ``at``; x is used up."""
+    x -= x.max(axis=1, keepdims=True)
+    own = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    return own - np.log(x.sum(axis=1))
 
 
 def log_probs(p: Weights, shape: Shape, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log probabilities of targets (of a rare word: of its class)."""
-    cls = shape.class_of[target]
-    logits = h @ p["k"] + p["bk"]
-    top = logits.max(axis=1)
-    out = logits[np.arange(len(cls)), cls] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-    order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(shape.classes + 1))
-    for k in range(shape.classes):
-        at = order[cuts[k] : cuts[k + 1]]
-        a, b = shape.bounds[k], shape.bounds[k + 1]
-        if len(at) and b - a > 1:
-            logits = h[at] @ p["o"][:, a:b] + p["bo"][a:b]
-            top = logits.max(axis=1)
-            out[at] += logits[np.arange(len(at)), shape.place[target[at]] - a] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    out = np.empty(len(target))
+    for at in range(0, len(target), ROWS):
+        some = slice(at, at + ROWS)
+        cls = shape.class_of[target[some]].astype(np.int16)
+        order = np.argsort(cls, kind="stable")
+        cls, hs, place = cls[order], h[some][order], shape.place[np.minimum(target[some], shape.end)[order]]
+        found = log_softmax_at(hs @ p["k"] + p["bk"], cls)
+        cuts = np.searchsorted(cls, np.arange(shape.classes + 1))
+        for k in range(shape.classes):
+            own = slice(cuts[k], cuts[k + 1])
+            a, b = shape.bounds[k], shape.bounds[k + 1]
+            if cuts[k + 1] > cuts[k] and b - a > 1:
+                found[own] += log_softmax_at(hs[own] @ p["o"][:, a:b] + p["bo"][a:b], place[own] - a)
+        out[some][order] = found
     return out
 
 
@@ -89,26 +106,30 @@ def train(shape: Shape, docs: list[np.ndarray], epochs: int = 3, seed: int = 5,
     p, rng = shape.start(seed) if start is None else {k: v.copy() for k, v in start.items()}, np.random.default_rng(seed)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     done = 0
+    # So many streams that there are about UPDATES steps, whatever the number of tokens; within bounds.
+    width = int(np.clip(sum(map(len, docs)) // (STEPS * UPDATES), STREAMS, MOST_STREAMS))
     for _ in range(epochs if docs else 0):
-        streams: list[list[np.ndarray]] = [[] for _ in range(STREAMS)]
-        sizes = np.zeros(STREAMS, np.int64)
+        streams: list[list[np.ndarray]] = [[] for _ in range(width)]
+        sizes = [(0, k) for k in range(width)]
         for i in rng.permutation(len(docs)):
-            k = int(np.argmin(sizes))
+            size, k = sizes[0]
             streams[k].append(docs[i])
-            sizes[k] += len(docs[i])
-        length = int(sizes.max())
-        target = np.full((length, STREAMS), -1, np.int64)
-        inputs = np.full((length, STREAMS), shape.begin, np.int64)
-        for k, parts in enumerate(streams):
-            at = 0
-            for d in parts:
-                target[at : at + len(d), k] = d
-                inputs[at + 1 : at + len(d), k] = d[:-1]
-                at += len(d)
-        h = np.zeros((STREAMS, HIDDEN), np.float32)
-        for at in range(0, length, STEPS):
-            ids, goal = inputs[at : at + STEPS], target[at : at + STEPS]
-            h, g = gradients(p, shape, ids, goal, h)
+            heapq.heapreplace(sizes, (size + len(docs[i]), k))
+        # Longest first, so that the streams that still last are the first ones.
+        target = sorted((np.concatenate(parts) for parts in streams if parts), key=len, reverse=True)
+        inputs = [np.concatenate([np.array([shape.begin], t.dtype), t[:-1]]) for t in target]
+        for t, x in zip(target, inputs):
+            x[1:][t[:-1] == shape.end] = shape.begin
+        last = -np.array([len(t) for t in target])
+        h = np.zeros((len(target), HIDDEN), np.float32)
+        for at in range(0, -int(last[0]), STEPS):
+            n, steps = int(np.searchsorted(last, -at)), min(STEPS, -int(last[0]) - at)
+            ids, goal = np.full((steps, n), shape.begin, np.int64), np.full((steps, n), -1, np.int64)
+            for k in range(n):
+                some = target[k][at : at + steps]
+                goal[: len(some), k] = some
+                ids[: len(some), k] = inputs[k][at : at + steps]
+            h, g = gradients(p, shape, ids, goal, h[:n])
             done += 1
             lr = rate * min(1.0, done / 20)
             for name, grad in g.items():
@@ -121,55 +142,60 @@ def train(shape: Shape, docs: list[np.ndarray], epochs: int = 3, seed: int = 5,
 
 def gradients(p: Weights, shape: Shape, ids: np.ndarray, goal: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, Weights]:
     """The state after a window (steps, streams) and the gradients of its mean loss; goal -1: nothing."""
-    x = p["e"][ids]
-    gates = x @ p["x"] + p["c"]
+    gates = (p["e"] @ p["x"] + p["c"])[ids]
     fresh = (ids != shape.begin).astype(np.float32)[:, :, None]
-    saved, states = [], []
-    for t in range(len(ids)):
+    n_steps, n = ids.shape
+    s, saved = np.empty((n_steps, n, HIDDEN), np.float32), []
+    for t in range(n_steps):
         h0 = h * fresh[t]
-        h, z, r, n, hu = step(h0, gates[t], p["u"])
-        saved.append((h0, z, r, n, hu))
-        states.append(h)
-    s, flat = np.concatenate(states), goal.ravel()
-    real = np.flatnonzero(flat >= 0)
-    hs, want = s[real], flat[real]
+        h, z, r, new, hu = step(h0, gates[t], p["u"])
+        saved.append((h0, z, r, new, hu))
+        s[t] = h
+    # Tokens by class, so that each class's are neighbours.
+    real = np.flatnonzero(goal.ravel() >= 0)
+    cls = shape.class_of[goal.ravel()[real]].astype(np.int16)
+    order = np.argsort(cls, kind="stable")
+    real, cls = real[order], cls[order]
+    hs, place = s.reshape(-1, HIDDEN)[real], shape.place[np.minimum(goal.ravel()[real], shape.end)]
     scale = np.float32(1 / max(1, len(real)))
-    cls = shape.class_of[want]
-    d = np.exp(log_softmax(hs @ p["k"] + p["bk"]))
+    d = softmax(hs @ p["k"] + p["bk"])
     d[np.arange(len(real)), cls] -= 1
     d *= scale
     g = {"k": hs.T @ d, "bk": d.sum(axis=0), "o": np.zeros_like(p["o"]), "bo": np.zeros_like(p["bo"])}
     d_hs = d @ p["k"].T
+    cuts = np.searchsorted(cls, np.arange(shape.classes + 1))
     for k in range(shape.classes):
-        at = np.flatnonzero(cls == k)
+        own = slice(cuts[k], cuts[k + 1])
         a, b = shape.bounds[k], shape.bounds[k + 1]
-        if len(at) and b - a > 1:
-            d = np.exp(log_softmax(hs[at] @ p["o"][:, a:b] + p["bo"][a:b]))
-            d[np.arange(len(at)), shape.place[want[at]] - a] -= 1
+        if cuts[k + 1] > cuts[k] and b - a > 1:
+            d = softmax(hs[own] @ p["o"][:, a:b] + p["bo"][a:b])
+            d[np.arange(len(d)), place[own] - a] -= 1
             d *= scale
-            g["o"][:, a:b] = hs[at].T @ d
+            g["o"][:, a:b] = hs[own].T @ d
             g["bo"][a:b] = d.sum(axis=0)
-            d_hs[at] += d @ p["o"][:, a:b].T
+            d_hs[own] += d @ p["o"][:, a:b].T
     d_s = np.zeros_like(s)
-    d_s[real] = d_hs
-    d_s = d_s.reshape(len(ids), -1, HIDDEN)
-    dh, du = np.zeros_like(h), np.zeros_like(p["u"])
-    dg = np.empty_like(gates)
-    for t in range(len(ids) - 1, -1, -1):
-        h0, z, r, n, hu = saved[t]
-        dh = dh + d_s[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (h0 - n) * z * (1 - z)
-        dr = dn * hu * r * (1 - r)
-        dg[t] = np.concatenate([dz, dr, dn], axis=1)
-        dhu = np.concatenate([dz, dr, dn * r], axis=1)
+    d_s.reshape(-1, HIDDEN)[real] = d_hs
+    dh, du, back = np.zeros((n, HIDDEN), np.float32), np.zeros_like(p["u"]), np.ascontiguousarray(p["u"].T)
+    dg, dhu = np.empty_like(gates), np.empty((n, 3 * HIDDEN), np.float32)
+    for t in range(n_steps - 1, -1, -1):
+        h0, z, r, new, hu = saved[t]
+        dh += d_s[t]
+        dn = dh * (1 - z) * (1 - new * new)
+        dg[t, :, :HIDDEN] = dh * (h0 - new) * z * (1 - z)
+        dg[t, :, HIDDEN : 2 * HIDDEN] = dn * hu * r * (1 - r)
+        dg[t, :, 2 * HIDDEN :] = dn
+        dhu[:, : 2 * HIDDEN] = dg[t, :, : 2 * HIDDEN]
+        dhu[:, 2 * HIDDEN :] = dn * r
         du += h0.T @ dhu
-        dh = (dh * z + dhu @ p["u"].T) * fresh[t]
-    flat_g = dg.reshape(-1, 3 * HIDDEN)
-    g |= {"u": du, "x": x.reshape(-1, EMBED).T @ flat_g, "c": flat_g.sum(axis=0)}
-    g["e"] = np.zeros_like(p["e"])
-    np.add.at(g["e"], ids.ravel(), flat_g @ p["x"].T)
-    return h, {k: v.astype(np.float32) for k, v in g.items()}
+        dh = (dh * z + dhu @ back) * fresh[t]
+    # What the inputs' rows of the table of gates get, each word's added up.
+    order = np.argsort(ids.ravel().astype(np.int32), kind="stable")
+    words, first = np.unique(ids.ravel()[order], return_index=True)
+    by_word = np.add.reduceat(dg.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+    g |= {"u": du, "x": p["e"][words].T @ by_word, "c": by_word.sum(axis=0), "e": np.zeros_like(p["e"])}
+    g["e"][words] = by_word @ p["x"].T
+    return h, {k: v.astype(np.float32, copy=False) for k, v in g.items()}
 
 
 def score(p: Weights, shape: Shape, docs: list[np.ndarray]) -> np.ndarray:

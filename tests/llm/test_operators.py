@@ -73,6 +73,16 @@ def test_trainers_together_learn_from_whole_documents(spark, monkeypatch):
     assert all(abs(again[k] - r["score"]) < 1e-3 * abs(r["score"]) for k, r in found.items())
 
 
+def test_rounds_together_read_every_training_document(spark, monkeypatch):
+    from sluice.llm import recurrent_lm as lm
+
+    read, plain = [], lm.mean
+    monkeypatch.setattr(lm, "mean", lambda parts: read.append(sum(n for _, n in parts)) or plain(parts))
+    docs = spark.createDataFrame([(k, " ".join(words(500 + k, 20 + k % 9))) for k in range(300)], "doc_id long, text string")
+    found = lm_score.lm_scores(docs, least=1).collect()
+    assert len(read) == len(lm_score.RATES) and min(read) > 0 and sum(read) == found[0]["train_tokens"]
+
+
 def test_recurrent_model_learns_and_is_whole():
     from sluice.llm import recurrent_lm as lm
 
