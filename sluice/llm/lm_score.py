@@ -20,12 +20,11 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,37 +41,52 @@ EVERY, LEAST, PORTION = 3, 600_000, 2_400_000
 #: Learning rates of the rounds.
 RATES = (0.01, 0.01, 0.005)
 FAN = 32
-#: Characters of text that are scored together.
+#: Bytes of text that are read and scored together.
 SCORED = 8_000_000
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+#: Classes of words of one byte, and of longer ones by their last two.
+_ENDS = np.array([zlib.crc32(bytes([a])) % RARE for a in range(256)]), np.array([zlib.crc32(bytes([a, b])) % RARE for a in range(256) for b in range(256)])
 
 
-def rare_class(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % RARE
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of texts, A-Z lower-cased, one after another, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    words, sizes = lists.flatten().cast(pa.binary()), pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+    real = pc.binary_length(words).to_numpy() > 0  # before, between and after white space there may be nothing
+    if not real.all():
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[real], minlength=len(sizes))
+        words = words.filter(pa.array(real))
+    return words, sizes
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, rare (its class), c: over all texts. A task holds 200,000 words at most before it passes them on."""
+def rare_classes(words: pa.Array) -> np.ndarray:
+    """Of each word (not empty) by its last bytes."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    _, ends, data = words.buffers()
+    ends, data = np.frombuffer(ends, np.int32)[words.offset : words.offset + len(words) + 1], np.frombuffer(data, np.uint8)
+    last = data[ends[1:] - 1].astype(np.int64)
+    return np.where(np.diff(ends) == 1, _ENDS[0][last], _ENDS[1][data[np.maximum(ends[1:] - 2, 0)].astype(np.int64) * 256 + last])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
 
-        def out() -> pa.RecordBatch:
-            words = list(held)
-            columns = [pa.array(words, pa.binary()), pa.array([rare_class(w) for w in words], pa.int32()), pa.array(list(held.values()), pa.int64())]
-            held.clear()
-            return pa.RecordBatch.from_arrays(columns, ["word", "rare", "c"])
+def pieces(batch: pa.RecordBatch, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``SCORED`` bytes of the column text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+    part = np.cumsum(sizes, dtype=np.int64) // (most or SCORED)
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
 
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word, rare (its class), c: over all texts. A task holds the words of about ``SCORED`` bytes before it passes them on."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0):
-                held.update(words_of(text.as_py()))
-                if len(held) > 200_000:
-                    yield out()
-        if held:
-            yield out()
+            for piece in pieces(batch):
+                found = words_of(piece.column("text"))[0].value_counts()
+                words = found.field("values")
+                yield pa.RecordBatch.from_arrays([words, pa.array(rare_classes(words), pa.int32()), found.field("counts")], ["word", "rare", "c"])
 
     return docs.select("text").mapInArrow(count, "word binary, rare int, c long").groupBy("word").agg(F.first("rare").alias("rare"), F.sum("c").alias("c"))
 
@@ -81,7 +95,7 @@ class Scorer:
     """What the executors need: head counts, the model, and totals."""
 
     def __init__(self, head: list[tuple[bytes, int, int]], ends: int, tokens: int, distinct: int, rare_tokens: np.ndarray, rare_words: np.ndarray):
-        self.words = [w for w, _, _ in head]
+        self.words = pa.array([w for w, _, _ in head], pa.binary())
         self.counts = np.array([c for _, _, c in head], np.int64)
         rare = np.array([k for _, k, _ in head], np.int64)
         self.ends, self.tokens, self.distinct = ends, tokens, distinct
@@ -95,21 +109,44 @@ class Scorer:
         self.rare_score = np.zeros(len(self.words))
         self.rare_score[top:] = np.log10((self.counts[top:] + 1) / self.rare_total[rare[top:]])
         self.weights: lm.Weights = {}
-        self.index: dict[bytes, int] | None = None
-
-    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, Counter]:
-        """Target ids, head places (-1 for words beyond the head), and the words beyond it."""
-        if self.index is None:
-            self.index = {w: i for i, w in enumerate(self.words)}
-        words = words_of(text)
-        place = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        ids = np.empty(len(words) + 1, np.int64)
-        ids[-1] = self.shape.end
-        if len(self.ids):
-            ids[:-1] = self.ids[place]
-        far = np.flatnonzero(place < 0).tolist()
-        ids[far] = [self.shape.end + 1 + rare_class(words[i]) for i in far]
-        return ids, place, Counter([words[i] for i in far])
+
+    def read(self, texts: pa.Array) -> Read:
+        """Texts' target ids and what their words are. Each different word is looked up once."""
+        words, sizes = words_of(texts)
+        coded = words.dictionary_encode()
+        of, word = coded.indices.to_numpy(), coded.dictionary
+        place = pc.fill_null(pc.index_in(word, self.words), -1).to_numpy().astype(np.int64)
+        rare = rare_classes(word)
+        target = self.shape.end + 1 + rare
+        target[place >= 0] = self.ids[place[place >= 0]]
+        owner, ends = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes + 1)
+        ids = np.full(int(ends[-1]) if len(ends) else 0, self.shape.end, np.uint16)
+        ids[np.arange(len(of)) + owner] = target[of]
+        return Read(ids, ends, word, rare, place, of, owner)
+
+
+class Read:
+    """Texts as a scorer reads them: target ids, where each text's end in them, the different words with their classes and
+    places in the head (-1: beyond it), and of each word of the texts which one it is and whose."""
+
+    def __init__(self, ids: np.ndarray, ends: np.ndarray, word: pa.Array, rare: np.ndarray, place: np.ndarray, of: np.ndarray, owner: np.ndarray):
+        self.ids, self.ends, self.word, self.rare, self.place, self.of, self.owner = ids, ends, word, rare, place, of, owner
+
+    def each(self) -> list[np.ndarray]:
+        return np.split(self.ids, self.ends[:-1]) if len(self.ends) else []
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """By text, of a value of each different word."""
+        return np.bincount(self.owner, values[self.of], len(self.ends))
+
+    def far(self) -> pa.Array:
+        """By text, the words beyond the head: word, n, rare."""
+        beyond, some = self.place[self.of] < 0, max(1, len(self.word))
+        pairs, n = np.unique(self.owner[beyond] * some + self.of[beyond], return_counts=True)
+        offsets = np.append(0, np.cumsum(np.bincount(pairs // some, minlength=len(self.ends))))
+        word = pairs % some
+        found = pa.StructArray.from_arrays([self.word.take(pa.array(word)), pa.array(n, pa.int64()), pa.array(self.rare[word], pa.int32())], ["word", "n", "rare"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found)
 
 
 def frequent(counts: DataFrame, most: int = HEAD) -> list[tuple[bytes, int, int]]:
@@ -178,8 +215,10 @@ def _targets(docs: DataFrame, tables: Broadcast, key: object) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = kept(key, lambda: tables.value)
         for batch in batches:
-            ids = [m.read(t.as_py())[0].astype("<u2").tobytes() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ids, pa.binary())], ["dice", "ids"])
+            for piece in pieces(batch):
+                found = m.read(piece.column("text"))
+                ids = pa.array([t.tobytes() for t in found.each()], pa.binary())
+                yield pa.RecordBatch.from_arrays([piece.column("dice"), ids], ["dice", "ids"])
 
     return docs.mapInArrow(make, "dice long, ids binary")
 
@@ -205,31 +244,19 @@ def scored(docs: DataFrame, model: Scorer) -> DataFrame:
     """Per row: doc_id, kid, kh, n_tokens, and over the words of the head: n_known, base, score; ``far``: the others and their numbers."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = zlib.crc32(b"".join(model.weights[k].tobytes() for k in sorted(model.weights))) ^ model.tokens
-    far_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64()), ("rare", pa.int32())]))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = kept(("lm", key), lambda: shared.value)
-        top = m.shape.words
         for batch in batches:
-            begin, size = 0, 0
-            for row in range(batch.num_rows):
-                size += len(batch.column(1)[row].as_py() or "")
-                if size < SCORED and row < batch.num_rows - 1:
-                    continue
-                part = batch.slice(begin, row + 1 - begin)
-                begin, size = row + 1, 0
-                ids, known, base, score, far = [], [], [], [], []
-                for text in part.column(1):
-                    target, place, others = m.read(text.as_py())
-                    near = place[place >= 0]
-                    ids.append(target)
-                    known.append(len(near) + (m.ends > 0))
-                    base.append(float(m.base[near].sum()) + m.base_end)
-                    score.append(float(m.rare_score[near[near >= top]].sum()))
-                    far.append([{"word": w, "n": n, "rare": rare_class(w)} for w, n in others.items()])
-                total = lm.score(m.weights, m.shape, ids) + np.array(score)
+            for part in pieces(batch):
+                found = m.read(part.column("text"))
+                near = found.place >= 0
+                base, rare = np.zeros(len(near)), np.zeros(len(near))
+                base[near], rare[near] = m.base[found.place[near]], m.rare_score[found.place[near]]
+                known = found.sums(near).astype(np.int64) + (m.ends > 0)
+                total = lm.score(m.weights, m.shape, found.each()) + found.sums(rare)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), part.column(3), pa.array([len(x) for x in ids], pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(total), pa.array(far, far_type)],
+                    [*(part.column(k) for k in ("doc_id", "kid", "kh")), pa.array(np.diff(found.ends, prepend=0)), pa.array(known), pa.array(found.sums(base) + m.base_end), pa.array(total), found.far()],
                     ["doc_id", "kid", "kh", "n_tokens", "n_known", "base", "score", "far"],
                 )
 

@@ -22,6 +22,10 @@ MOST_STREAMS, UPDATES = 512, 200
 WINDOW = 64
 #: States whose probabilities are worked out together, so that they stay in a processor's cache.
 ROWS = 8192
+#: The same in training, whose class probabilities pass through more steps.
+PART = 2048
+#: The largest logit that needs no shift to stay within exp's range.
+MILD = 80.0
 LN10 = float(np.log(10))
 
 Weights = dict[str, np.ndarray]
@@ -54,49 +58,81 @@ class Shape:
         return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
+def folded(p: Weights) -> tuple[np.ndarray, np.ndarray]:
+    """By gate (z, r, n): a table of the inputs' shares and weights of the state's. Signs and factors are folded in, so that
+    exp gives the sigmoids, 1 / (1 + exp(-x)), and tanh, 1 - 2 / (1 + exp(2 x))."""
+    by_gate = lambda w: np.ascontiguousarray(w.reshape(-1, 3, HIDDEN).transpose(1, 0, 2) * np.array([-1, -1, 2], np.float32)[:, None, None])
+    return by_gate(p["e"] @ p["x"] + p["c"]), by_gate(p["u"])
 
 
 def step(h: np.ndarray, gates: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
-    hu = h @ u
-    zr = _sigmoid(gates[:, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
-    z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-    n = np.tanh(gates[:, 2 * HIDDEN :] + r * hu[:, 2 * HIDDEN :])
-    return n + z * (h - n), z, r, n, hu[:, 2 * HIDDEN :]
+    """The next state, the gates, the proposed state, and twice the state's share of that. ``gates`` are used up."""
+    hu, zr, n = h @ u, gates[:2], gates[2]
+    zr += hu[:2]
+    np.exp(zr, out=zr)
+    zr += 1
+    np.divide(1, zr, out=zr)
+    n += zr[1] * hu[2]
+    np.exp(n, out=n)
+    n += 1
+    np.divide(2, n, out=n)
+    np.subtract(1, n, out=n)
+    new = h - n
+    new *= zr[0]
+    new += n
+    return new, zr[0], zr[1], n, hu[2]
+
+
+def outputs(p: Weights) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the classes and of the words in them, the last row their biases."""
+    return np.vstack([p["k"], p["bk"]]), np.vstack([p["o"], p["bo"]])
+
+
+def with_one(h: np.ndarray) -> np.ndarray:
+    """States, and a one for the bias."""
+    out = np.ones((len(h), HIDDEN + 1), np.float32)
+    out[:, :HIDDEN] = h
+    return out
+
 
+def mild(h: np.ndarray, *weights: np.ndarray) -> bool:
+    """Whether no logit of the states h can leave exp's range."""
+    most = max(1.0, float(h.max(initial=0)), -float(h.min(initial=0)))
+    return all(most * float(np.abs(w).sum(axis=0).max(initial=0)) < MILD for w in weights)
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    """Of rows, in place."""
-    x -= x.max(axis=1, keepdims=True)
+
+def exps(x: np.ndarray, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+    """exp of logits, in place, and each row's sum; rows are shifted by their largest first unless ``plain``."""
+    if not plain:
+        x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
+    return x, x @ np.ones(x.shape[1], np.float32)
 
 
-def log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+def log_softmax_at(x: np.ndarray, at: np.ndarray, plain: bool) -> np.ndarray:
     """Of each row the one in column ``at``; x is used up."""
-    x -= x.max(axis=1, keepdims=True)
+    if not plain:
+        x -= x.max(axis=1, keepdims=True)
     own = x[np.arange(len(x)), at]
-    np.exp(x, out=x)
-    return own - np.log(x.sum(axis=1))
+    return own - np.log(exps(x, True)[1])
 
 
 def log_probs(p: Weights, shape: Shape, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log probabilities of targets (of a rare word: of its class)."""
-    out = np.empty(len(target))
+    out, (k1, o1) = np.empty(len(target)), outputs(p)
+    plain = mild(h, k1, o1)
     for at in range(0, len(target), ROWS):
         some = slice(at, at + ROWS)
         cls = shape.class_of[target[some]].astype(np.int16)
         order = np.argsort(cls, kind="stable")
-        cls, hs, place = cls[order], h[some][order], shape.place[np.minimum(target[some], shape.end)[order]]
-        found = log_softmax_at(hs @ p["k"] + p["bk"], cls)
-        cuts = np.searchsorted(cls, np.arange(shape.classes + 1))
+        cls, hs, place = cls[order], with_one(h[some].take(order, 0)), shape.place[np.minimum(target[some], shape.end)[order]]
+        found = log_softmax_at(hs @ k1, cls, plain)
+        cuts = np.searchsorted(cls, np.arange(shape.classes + 1, dtype=np.int16))
         for k in range(shape.classes):
             own = slice(cuts[k], cuts[k + 1])
             a, b = shape.bounds[k], shape.bounds[k + 1]
             if cuts[k + 1] > cuts[k] and b - a > 1:
-                found[own] += log_softmax_at(hs[own] @ p["o"][:, a:b] + p["bo"][a:b], place[own] - a)
+                found[own] += log_softmax_at(hs[own] @ o1[:, a:b], place[own] - a, plain)
         out[some][order] = found
     return out
 
@@ -140,64 +176,94 @@ def train(shape: Shape, docs: list[np.ndarray], epochs: int = 3, seed: int = 5,
     return p
 
 
+@np.errstate(over="ignore")  # of a gate: 1 / inf is 0, as it should be
 def gradients(p: Weights, shape: Shape, ids: np.ndarray, goal: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, Weights]:
     """The state after a window (steps, streams) and the gradients of its mean loss; goal -1: nothing."""
-    gates = (p["e"] @ p["x"] + p["c"])[ids]
+    table, u = folded(p)
     fresh = (ids != shape.begin).astype(np.float32)[:, :, None]
     n_steps, n = ids.shape
-    s, saved = np.empty((n_steps, n, HIDDEN), np.float32), []
+    s, before, saved = np.empty((n_steps, n, HIDDEN), np.float32), np.empty((n_steps, n, HIDDEN), np.float32), []
     for t in range(n_steps):
-        h0 = h * fresh[t]
-        h, z, r, new, hu = step(h0, gates[t], p["u"])
-        saved.append((h0, z, r, new, hu))
+        np.multiply(h, fresh[t], out=before[t])
+        h, z, r, new, hu = step(before[t], table.take(ids[t], 1), u)
+        saved.append((z, r, new, hu))
         s[t] = h
     # Tokens by class, so that each class's are neighbours.
     real = np.flatnonzero(goal.ravel() >= 0)
     cls = shape.class_of[goal.ravel()[real]].astype(np.int16)
     order = np.argsort(cls, kind="stable")
     real, cls = real[order], cls[order]
-    hs, place = s.reshape(-1, HIDDEN)[real], shape.place[np.minimum(goal.ravel()[real], shape.end)]
-    scale = np.float32(1 / max(1, len(real)))
-    d = softmax(hs @ p["k"] + p["bk"])
-    d[np.arange(len(real)), cls] -= 1
-    d *= scale
-    g = {"k": hs.T @ d, "bk": d.sum(axis=0), "o": np.zeros_like(p["o"]), "bo": np.zeros_like(p["bo"])}
-    d_hs = d @ p["k"].T
-    cuts = np.searchsorted(cls, np.arange(shape.classes + 1))
+    hs, place = with_one(s.reshape(-1, HIDDEN).take(real, 0)), shape.place[np.minimum(goal.ravel()[real], shape.end)]
+    scale, (k1, o1) = np.float32(1 / max(1, len(real))), outputs(p)
+    plain, d_hs = mild(s, k1, o1), np.empty((len(real), HIDDEN), np.float32)
+    g_k, g_o = np.zeros_like(k1), np.zeros_like(o1)
+    for at in range(0, len(real), PART):
+        own = slice(at, at + PART)
+        d, total = exps(hs[own] @ k1, plain)
+        d *= (scale / total)[:, None]
+        d[np.arange(len(d)), cls[own]] -= scale
+        g_k += (d.T @ hs[own]).T
+        np.matmul(d, k1[:HIDDEN].T, out=d_hs[own])
+    cuts = np.searchsorted(cls, np.arange(shape.classes + 1, dtype=np.int16))
     for k in range(shape.classes):
         own = slice(cuts[k], cuts[k + 1])
         a, b = shape.bounds[k], shape.bounds[k + 1]
         if cuts[k + 1] > cuts[k] and b - a > 1:
-            d = softmax(hs[own] @ p["o"][:, a:b] + p["bo"][a:b])
-            d[np.arange(len(d)), place[own] - a] -= 1
-            d *= scale
-            g["o"][:, a:b] = hs[own].T @ d
-            g["bo"][a:b] = d.sum(axis=0)
-            d_hs[own] += d @ p["o"][:, a:b].T
+            d, total = exps(hs[own] @ o1[:, a:b], plain)
+            d *= (scale / total)[:, None]
+            d[np.arange(len(d)), place[own] - a] -= scale
+            g_o[:, a:b] = (d.T @ hs[own]).T
+            d_hs[own] += d @ o1[:HIDDEN, a:b].T
     d_s = np.zeros_like(s)
     d_s.reshape(-1, HIDDEN)[real] = d_hs
-    dh, du, back = np.zeros((n, HIDDEN), np.float32), np.zeros_like(p["u"]), np.ascontiguousarray(p["u"].T)
-    dg, dhu = np.empty_like(gates), np.empty((n, 3 * HIDDEN), np.float32)
+    # Of the gates' sums: dg; of the state's share of them: the same, but for the proposed state's, which r weighs.
+    dg, dhu = [np.empty_like(s) for _ in range(3)], np.empty_like(s)
+    back = [np.ascontiguousarray(p["u"][:, k * HIDDEN : (k + 1) * HIDDEN].T) for k in range(3)]
+    dh = np.zeros((n, HIDDEN), np.float32)
     for t in range(n_steps - 1, -1, -1):
-        h0, z, r, new, hu = saved[t]
+        z, r, new, hu = saved[t]
         dh += d_s[t]
-        dn = dh * (1 - z) * (1 - new * new)
-        dg[t, :, :HIDDEN] = dh * (h0 - new) * z * (1 - z)
-        dg[t, :, HIDDEN : 2 * HIDDEN] = dn * hu * r * (1 - r)
-        dg[t, :, 2 * HIDDEN :] = dn
-        dhu[:, : 2 * HIDDEN] = dg[t, :, : 2 * HIDDEN]
-        dhu[:, 2 * HIDDEN :] = dn * r
-        du += h0.T @ dhu
-        dh = (dh * z + dhu @ back) * fresh[t]
-    # What the inputs' rows of the table of gates get, each word's added up.
-    order = np.argsort(ids.ravel().astype(np.int32), kind="stable")
-    words, first = np.unique(ids.ravel()[order], return_index=True)
-    by_word = np.add.reduceat(dg.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
-    g |= {"u": du, "x": p["e"][words].T @ by_word, "c": by_word.sum(axis=0), "e": np.zeros_like(p["e"])}
-    g["e"][words] = by_word @ p["x"].T
+        dz, dr, dn = dg[0][t], dg[1][t], dg[2][t]
+        keep = dh * z
+        np.subtract(dh, keep, out=dn)
+        np.subtract(before[t], new, out=dz)
+        dz *= keep
+        np.subtract(1, z, out=z)
+        dz *= z
+        np.multiply(new, new, out=new)
+        np.subtract(1, new, out=new)
+        dn *= new
+        np.multiply(dn, r, out=dhu[t])
+        np.subtract(1, r, out=r)
+        np.multiply(dhu[t], hu, out=dr)
+        dr *= r
+        dr *= np.float32(0.5)  # hu is twice the share
+        dh = dz @ back[0]
+        dh += dr @ back[1]
+        dh += dhu[t] @ back[2]
+        dh += keep
+        dh *= fresh[t]
+    flat_ids, h0 = ids.ravel(), before.reshape(-1, HIDDEN)
+    dg, dhu = [d.reshape(-1, HIDDEN) for d in dg], dhu.reshape(-1, HIDDEN)
+    x = [p["x"][:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(3)]
+    read, ones = p["e"].take(flat_ids, 0), np.ones(len(flat_ids), np.float32)
+    # What the inputs' embeddings get, each word's added up.
+    got = dg[0] @ x[0].T
+    got += dg[1] @ x[1].T
+    got += dg[2] @ x[2].T
+    order = np.argsort(flat_ids.astype(np.uint16), kind="stable")
+    by_id = flat_ids[order]
+    first = np.flatnonzero(np.append(True, by_id[1:] != by_id[:-1]))
+    g_e = np.zeros_like(p["e"])
+    g_e[by_id[first]] = np.add.reduceat(np.ascontiguousarray(got.take(order, 0).T), first, axis=1).T
+    g = {
+        "e": g_e, "x": np.hstack([read.T @ d for d in dg]), "c": np.concatenate([ones @ d for d in dg]),
+        "u": np.hstack([h0.T @ d for d in (dg[0], dg[1], dhu)]), "k": g_k[:HIDDEN], "bk": g_k[HIDDEN], "o": g_o[:HIDDEN], "bo": g_o[HIDDEN],
+    }
     return h, {k: v.astype(np.float32, copy=False) for k, v in g.items()}
 
 
+@np.errstate(over="ignore")
 def score(p: Weights, shape: Shape, docs: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each document (target ids, the end last) given the classes of rare words."""
     sizes = np.array([len(d) for d in docs], np.int64)
@@ -205,7 +271,7 @@ def score(p: Weights, shape: Shape, docs: list[np.ndarray]) -> np.ndarray:
     ids = np.concatenate([docs[i] for i in order]) if len(docs) else np.zeros(0, np.int64)
     size = sizes[order]
     begin = np.cumsum(size) - size
-    table = p["e"] @ p["x"] + p["c"]
+    table, u = folded(p)
     out = np.zeros(len(docs))
     h = np.zeros((len(docs), HIDDEN), np.float32)
     for at in range(0, int(size[0]) if len(docs) else 0, WINDOW):
@@ -213,8 +279,8 @@ def score(p: Weights, shape: Shape, docs: list[np.ndarray]) -> np.ndarray:
         for t in range(at, min(at + WINDOW, int(size[0]))):
             n = int(np.searchsorted(-size, -t))  # documents longer than t come first
             place = begin[:n] + t
-            gates = table[ids[place - 1]] if t else np.broadcast_to(table[shape.begin], (n, 3 * HIDDEN))
-            h = step(h[:n], gates, p["u"])[0]
+            read = ids[place - 1] if t else np.full(n, shape.begin)
+            h = step(h[:n], table.take(read, 1), u)[0]
             states.append(h)
             goals.append(ids[place])
             owners.append(np.arange(n))

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -83,6 +84,56 @@ def test_rounds_together_read_every_training_document(spark, monkeypatch):
     assert len(read) == len(lm_score.RATES) and min(read) > 0 and sum(read) == found[0]["train_tokens"]
 
 
+def test_language_model_reads_words_by_the_batch():
+    r = np.random.default_rng(3)
+    odd = [None, "", " \n", "b", "É é"] + ["".join(r.choice(list("aB \t\n\x0b\x0c\r\x1c\x1f\x85\u3000\u00a0éÀ\x00😀"), r.integers(0, 25))) for _ in range(500)]
+    plain = [(t or "").encode().lower().split() for t in odd]
+    found, sizes = lm_score.words_of(pa.array(odd, pa.string()))
+    assert found.to_pylist() == [w for ws in plain for w in ws] and sizes.tolist() == [len(ws) for ws in plain]
+    rare = lambda w: zlib.crc32(w[-2:]) % lm_score.RARE
+    assert lm_score.rare_classes(found[7:]).tolist() == [rare(w) for w in found[7:].to_pylist()]
+    head = [(w, rare(w), n) for w, n in Counter(found.to_pylist()).most_common(9)]
+    scorer = lm_score.Scorer(head, 3, 10_000, 900, np.full(16, 2000.0), np.full(16, 90.0))
+    batch = pa.RecordBatch.from_arrays([pa.array(odd, pa.string())], ["text"])
+    reads = [scorer.read(piece.column("text")) for piece in lm_score.pieces(batch, 900)]
+    places = {w: k for k, (w, _, _) in enumerate(head)}
+    ids = [[places.get(w, scorer.shape.end + 1 + rare(w)) for w in ws] + [scorer.shape.end] for ws in plain]
+    assert len(reads) > 3 and [x.tolist() for f in reads for x in f.each()] == ids
+    far = [{d["word"]: (d["n"], d["rare"]) for d in row} for f in reads for row in f.far().to_pylist()]
+    assert far == [{w: (n, rare(w)) for w, n in Counter(w for w in ws if w not in places).items()} for ws in plain]
+
+
+@pytest.mark.parametrize("size", [1, 200])
+def test_recurrent_model_gradients(size):
+    # Against differences of the loss, with logits that exp can take as they are and with larger ones.
+    from sluice.llm import recurrent_lm as lm
+
+    r, shape = np.random.default_rng(1), lm.Shape(np.array([40, 30, 20, 10, 9, 8]), 10, 2, classes=3)
+    p = {k: v * (size if k in ("k", "o") else 1) for k, v in shape.start().items()}
+    goal = r.integers(0, shape.begin, (6, 5))
+    ids, goal[4:, 3:] = np.vstack([np.full(5, shape.begin), goal[:-1]]), -1
+    ids[1:][ids[1:] == shape.end] = shape.begin
+    h = np.zeros((5, lm.HIDDEN), np.float32)
+    assert lm.mild(h, *lm.outputs(p)) == (size == 1)
+
+    def loss(p):
+        table, u = lm.folded(p)
+        states, now = [], h
+        for t in range(len(ids)):
+            now = lm.step(now * (ids[t] != shape.begin)[:, None].astype(np.float32), table.take(ids[t], 1), u)[0]
+            states.append(now)
+        real = goal.ravel() >= 0
+        return -lm.log_probs(p, shape, np.concatenate(states)[real], goal.ravel()[real]).mean()
+
+    g = lm.gradients(p, shape, ids, goal, h)[1]
+    assert set(g) == set(p)
+    for k in p:
+        way = r.normal(0, 1, p[k].shape).astype(np.float32)
+        by = 1e-2 / max(1.0, float(np.abs((g[k] * way).sum())))
+        change = (loss(p | {k: p[k] + by * way}) - loss(p | {k: p[k] - by * way})) / (2 * by)
+        assert abs(change - float((g[k] * way).sum())) < 2e-3 + 0.03 * abs(change), k
+
+
 def test_recurrent_model_learns_and_is_whole():
     from sluice.llm import recurrent_lm as lm
 
