@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import mining
 from sluice.functions.arrow import per_row, spread
-from sluice.functions.dom import parse_cached
+from sluice.functions.dom import Node, parse_cached
 from sluice.plans.config import DEFAULTS
 
 BLOCK = "struct<selector: string, parent_selector: string, count: int, sample_html: string, confidence: double, fingerprint: string>"
@@ -48,6 +48,10 @@ def _details(html: str, url: str) -> list[dict]:
     return mining.detail_hints(document, found[0], url) if found else []
 
 
+def _head(document: Node, url: str) -> dict:
+    return {"page_title": mining.page_title(document, url), "og": mining.open_graph(document)}
+
+
 def _ld(html: str, _: str) -> list[dict]:
     return [dict(zip(("name", "value", "type", "source"), x)) for x in mining.ld_fields(parse_cached(html))]
 
@@ -62,6 +66,8 @@ pagination_column = _of_page(lambda h, u: mining.pagination_hints(parse_cached(h
 rendering_column = _of_page(lambda h, _: mining.rendering_features(h, parse_cached(h)), RENDERING)
 title_column = _of_page(lambda h, u: mining.page_title(parse_cached(h), u), "string")
 open_graph_column = _of_page(lambda h, _: mining.open_graph(parse_cached(h)), "map<string,string>")
+#: The title and what OpenGraph says, of one parse.
+head_column = _of_page(lambda h, u: _head(parse_cached(h), u), "struct<page_title: string, og: map<string,string>>")
 ld_column = _of_page(_ld, "array<struct<name: string, value: string, type: string, source: string>>")
 links_column = _of_page(lambda h, u: mining.crawl_links(parse_cached(h), u), LINKS)
 sections_column = _of_page(lambda h, u: mining.section_links(parse_cached(h), u), SECTIONS)

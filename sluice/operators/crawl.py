@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.urls import normalize
-from sluice.functions.arrow import spread
+from sluice.functions.arrow import dealt
 from sluice.operators.analyze import analysis, links_column, listed
 from sluice.plans.config import DEFAULTS
 from sluice.sources.pages import Pages, pages_from
@@ -38,8 +38,8 @@ def crawl(root_url: str, pages: DataFrame | Pages, sitemap: DataFrame | None = N
     # At most ``most`` rows: which pages to read is settled before any is.
     rows = [tuple(r) for r in frontier(root_url, source, sitemap, most).select("url", "source").collect()]
     visits = source.spark.createDataFrame(rows, "url string, source string")
-    got = source.get(visits).where("html IS NOT NULL").select("url", "html").dropDuplicates(["url"])
-    found = spread(got.join(F.broadcast(visits), "url")).withColumn("a", analysis(F.col("html"), F.col("url")))
+    got = dealt(source.get(F.broadcast(visits)).where("html IS NOT NULL").select("url", "html"), "url").dropDuplicates(["url"])
+    found = got.join(F.broadcast(visits), "url").withColumn("a", analysis(F.col("html"), F.col("url")))
     best = F.try_element_at("a.blocks", F.lit(1))
     rows = found.select(
         "url", F.col("a.title").alias("title"), F.col("a.page_type").alias("page_type"), F.coalesce(best["confidence"] >= DEFAULTS["confidence_threshold"], F.lit(False)).alias("has_data"),

@@ -7,6 +7,7 @@ over rows, filters on other columns still reach the scan.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import text
 from sluice.functions.arrow import per_row, spread
-from sluice.functions.dom import Node, SelectorError, js_trim, parse_cached, select
+from sluice.functions.dom import Node, SelectorError, each, js_trim, parse_cached
 from sluice.functions.dom import first as first_match
 from sluice.plans.columns import normalised
 from sluice.plans.config import DEFAULTS, ExtractionConfig, Field
@@ -35,13 +36,14 @@ def field_value(item: Node, field: Field) -> tuple[str | None, bool]:
     return None, False
 
 
-def raw_items(html: str | None, list_selector: str, fields: tuple[Field, ...]) -> list[dict]:
+def each_item(html: str | None, list_selector: str, fields: tuple[Field, ...]) -> Iterator[dict]:
     try:
-        nodes = [n for n in select(parse_cached(html or ""), list_selector) if n.is_tag]
+        nodes = each(parse_cached(html or ""), list_selector)
     except SelectorError:
-        return []
-    out = []
+        return
     for node in nodes:
+        if not node.is_tag:
+            continue
         values, fallbacks, missing = [], 0, []
         for f in fields:
             if f.from_detail:
@@ -52,15 +54,18 @@ def raw_items(html: str | None, list_selector: str, fields: tuple[Field, ...]) -
             fallbacks += fell_back
             if value is None and f.required:
                 missing.append(f.name)
-        out.append({"raw": values, "fallback_count": fallbacks, "missing_required": missing})
-    return out
+        yield {"raw": values, "fallback_count": fallbacks, "missing_required": missing}
+
+
+def raw_items(html: str | None, list_selector: str, fields: tuple[Field, ...]) -> list[dict]:
+    return list(each_item(html, list_selector, fields))
 
 
 ITEMS = "array<struct<raw: array<string>, fallback_count: int, missing_required: array<string>>>"
 
 
 def items_column(html: Column, list_selector: str, fields: tuple[Field, ...]) -> Column:
-    return per_row(lambda h: raw_items(h, list_selector, fields), ITEMS)(html)
+    return per_row(lambda h: each_item(h, list_selector, fields), ITEMS)(html)
 
 
 def raw_records(pages: DataFrame, config: ExtractionConfig, order: str = "page_no") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions import mining
-from sluice.functions.arrow import per_row
+from sluice.functions.arrow import dealt, once, per_row
 from sluice.functions.dom import first, parse_cached
 from sluice.operators import analyze, crawl, extract, paginate
 from sluice.plans import run as runs
@@ -45,14 +45,19 @@ def shop(spark: SparkSession, sf_dir: str, changed: bool = False) -> DataFrame:
     )
     customer = table(spark, sf_dir, "customer")
     customer = customer.where(key % 11 != 0) if changed else customer
-    cards = customer.select(c("c_nationkey").alias("k"), key, card.alias("card")).groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "card"))), lambda x: x["card"]), "").alias("cards"))
+    nation = table(spark, sf_dir, "nation")
+    made = customer.select(c("c_nationkey").alias("k"), F.struct(key, card.alias("card")).alias("x"))
+    # Nations without customers have an empty card each, which no list collects; so the few nations are what is broadcast,
+    # and the pages stay where they were put together, spread over all cores: a page grows with the customers.
+    made = made.unionByName(nation.select(c("n_nationkey").alias("k"), F.lit(None).cast(made.schema["x"].dataType).alias("x")))
+    cards = dealt(made, "k").groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["card"]), "").alias("cards"))
     regions = table(spark, sf_dir, "region").agg(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("r"))
     tabs = regions.select(F.array_join(F.transform("r", lambda r: F.concat(F.lit('<li><a href="/region/'), r["r_regionkey"].cast("string"), F.lit('">'), r["r_name"], F.lit("</a></li>"))), "").alias("tabs"))
-    rows = table(spark, sf_dir, "nation").join(cards, c("n_nationkey") == c("k"), "left").crossJoin(F.broadcast(tabs))  # one row
+    rows = cards.join(F.broadcast(nation), c("n_nationkey") == c("k")).crossJoin(F.broadcast(tabs))  # one row
     n = c("n_nationkey")
     html = _text(
         "<html><head><title>", c("n_name"), ' customers</title><meta property="og:title" content="', c("n_name"), '"><meta name="twitter:card" content="summary"><script type="application/ld+json">{"@type":"ItemList","name":"', c("n_name"),
-        '","offers":{"price":"code-', n, '"}}</script></head><body><nav><ul class="tabs">', c("tabs"), '</ul></nav><main><div class="customers">', F.coalesce("cards", F.lit("")), '</div></main><ul class="pager"><li><a href="/nation/', n,
+        '","offers":{"price":"code-', n, '"}}</script></head><body><nav><ul class="tabs">', c("tabs"), '</ul></nav><main><div class="customers">', c("cards"), '</div></main><ul class="pager"><li><a href="/nation/', n,
         '?page=1">1</a><a href="/nation/', n, '?page=2">2</a><a rel="next" href="/nation/', n + 1, '">next</a></li></ul><footer><a href="/about">About us</a></footer></body></html>',
     )
     return rows.select("n_nationkey", "n_name", _text(f"{SITE}/nation/", n).alias("url"), html.alias("html"))
@@ -82,7 +87,7 @@ def shop_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT n_nationkey, 'good' AS quality FROM ({_COUNTS}) WHERE n >= 3")
 def shop_field_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = shop(spark, sf_dir).select("n_nationkey", analyze.fields_column(F.col("html"), F.col("url")).alias("f"))
+    rows = once(shop(spark, sf_dir), analyze.fields_column(F.col("html"), F.col("url")), "f", "n_nationkey")
     return rows.select("n_nationkey", analyze.field_quality(F.col("f")).alias("quality")).where("quality = 'good'")
 
 
@@ -106,8 +111,7 @@ def shop_detail_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT n_nationkey, n_name AS title, 'summary' AS card, 2 AS n, n_name || ' customers' AS page_title FROM nation")
 def shop_open_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html, url = F.col("html"), F.col("url")
-    rows = shop(spark, sf_dir).select("n_nationkey", analyze.open_graph_column(html, url).alias("og"), analyze.title_column(html, url).alias("page_title"))
+    rows = shop(spark, sf_dir).select("n_nationkey", analyze.head_column(F.col("html"), F.col("url")).alias("h")).select("n_nationkey", "h.*")
     return rows.select("n_nationkey", F.col("og")["title"].alias("title"), F.col("og")["card"].alias("card"), F.size("og").alias("n"), "page_title")
 
 
@@ -244,7 +248,7 @@ def _shape(html: str) -> dict:
 
 @query(f"""SELECT n_nationkey, 'div>h3>a+img+span+time+em+b+p' AS shape, 2 AS depth, 'div>h3>a+img+span+time+em+b+p|7|1110' AS print FROM ({_COUNTS}) WHERE n > 0""")
 def shop_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = shop(spark, sf_dir).select("n_nationkey", per_row(_shape, "struct<shape: string, depth: int, print: string>")(F.col("html")).alias("s"))
+    rows = once(shop(spark, sf_dir), per_row(_shape, "struct<shape: string, depth: int, print: string>")(F.col("html")), "s", "n_nationkey")
     return rows.select("n_nationkey", "s.*").where("shape IS NOT NULL")
 
 

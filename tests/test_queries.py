@@ -1,5 +1,10 @@
 """Queries over small tables whose rows are odd, against what their SQL gives."""
 
+import tracemalloc
+
+import pyarrow as pa
+
+from sluice.functions import arrow, dom, mining
 from sluice.plans import queries
 
 
@@ -18,3 +23,38 @@ def test_headings_keep_references_that_are_cut(spark, tmp_path):
     said = ["a &lt;b&gt; &amp;&amp", "&amp;lt; &copy; &am", "&quot;x&quot;&"]
     found = queries.queries()["page_records"](spark, _pages(spark, tmp_path, *((f"https://s.org/{k}", f"<article><h1>{h}</h1><p>x</p></article>") for k, h in enumerate(said)))).orderBy("page_id").collect()
     assert [r["heading"] for r in found] == ["a <b> &&amp", "&lt; &copy; &am", '"x"&']
+
+
+def _page(n):
+    return '<div class="customers">' + "".join(f'<div class="card"><h3><a href="/c/{k}">Name {k}</a></h3><b class="qty">{k} pcs</b><p class="desc">What is said of it, at some length</p></div>' for k in range(n)) + "</div>"
+
+
+def _peak(f):
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_large_page_takes_little_more_than_its_text():
+    html = _page(4000)
+    assert _peak(lambda: mining.repeated_blocks(dom.parse(html))) < 5 * len(html)
+    # Links and items are given one by one.
+    page = dom.parse(f"<main>{html}</main>")
+    assert _peak(lambda: sum(1 for _ in mining.crawl_links(page, "https://s.org/"))) < 2 * len(html)
+    assert dom.parse_cached("x" * (dom.KEPT_PAGE + 1)) is not dom.parse_cached("x" * (dom.KEPT_PAGE + 1))
+
+
+def test_results_of_a_page_become_arrow_piece_by_piece():
+    kind = pa.list_(pa.struct([("url", pa.string()), ("og", pa.map_(pa.string(), pa.string()))]))
+    got = list(arrow.made(iter([({"url": f"{k}", "og": {"a": "b"} if k else None} for k in range(3000)), None, []]), kind))
+    assert sum(map(len, got)) == 3 and [None if x is None else len(x) for a in got for x in a.to_pylist()] == [3000, None, 0]
+    assert got[0][0].as_py()[:2] == [{"url": "0", "og": None}, {"url": "1", "og": [("a", "b")]}]
+
+
+def test_shop_pages_are_dealt_out_and_parsed_once(spark):
+    for name in ("shop_field_quality", "shop_open_graph", "shop_shapes", "shop_json_ld"):
+        plan = queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and "REPARTITION_BY_NUM" in plan, name
