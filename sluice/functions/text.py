@@ -139,17 +139,18 @@ def hash_content(c: Column) -> Column:
 def js_number(c: Column) -> Column:
     """A double as JavaScript prints it: the shortest digits, plain from 1e-6 up to 1e21, else with an exponent."""
     said = c.cast("string")
-    digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(said, r"^-?([\d.]+)", 1), r"\.0$", ""), r"\.", "")
-    power = F.regexp_extract(said, r"E(-?\d+)$", 1).try_cast("int")
-    sign = F.when(said.startswith("-"), "-").otherwise("")
-    whole = F.when(F.length(digits) <= power + 1, F.rpad(digits, power + 1, F.lit("0"))).otherwise(F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.length(digits))))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    rest = F.substring(digits, F.lit(2), F.length(digits))
-    far = F.concat(F.left(digits, F.lit(1)), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""), F.lit("e"), F.when(power > 0, "+").otherwise(""), power.cast("string"))
-    far_or_small = F.concat(sign, F.when((power >= 0) & (power < 21), whole).when((power < 0) & (power >= -6), small).otherwise(far))
     size = F.abs(c)
+
+    def plain(kind: str) -> Column:
+        # A decimal holds all digits of the size it is for; the zeros behind them go, and a point with none.
+        return F.rtrim(F.rtrim(said.cast(kind).cast("string"), F.lit("0")), F.lit("."))
+
     # The common cases need none of the digits' work.
-    return F.when((c == F.floor(c)) & (size < 1e15), c.cast("bigint").cast("string")).when((size >= 1e-3) & (size < 1e7), said).otherwise(F.when(power.isNull(), said).otherwise(far_or_small))
+    return (
+        F.when((c == F.floor(c)) & (size < 1e15), c.cast("bigint").cast("string")).when((size >= 1e-3) & (size < 1e7), said)
+        .when((size >= 1e7) & (size < 1e21), plain("decimal(38,16)")).when((size >= 1e-6) & (size < 1e-3), plain("decimal(38,24)"))
+        .otherwise(F.regexp_replace(F.regexp_replace(said, r"(?:\.0)?E(?=\d)", "e+"), r"(?:\.0)?E", "e"))
+    )
 
 
 def js_text(c: Column, kind: str = "string") -> Column:

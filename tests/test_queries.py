@@ -3,8 +3,9 @@
 import tracemalloc
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from sluice.functions import arrow, dom, mining
+from sluice.functions import arrow, dom, mining, text
 from sluice.plans import queries
 
 
@@ -58,3 +59,10 @@ def test_shop_pages_are_dealt_out_and_parsed_once(spark):
     for name in ("shop_field_quality", "shop_open_graph", "shop_shapes", "shop_json_ld"):
         plan = queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("ArrowEvalPython") == 1 and "REPARTITION_BY_NUM" in plan, name
+
+
+def test_numbers_as_scripts_print_them_take_few_patterns(spark):
+    assert str(text.js_number(F.col("v"))).count("regexp") <= 2
+    values = {98765432.1: "98765432.1", -1234567890.125: "-1234567890.125", 123456789012345680.0: "123456789012345680", 9.99e20: "999000000000000000000", 1.5e21: "1.5e+21", 0.00099: "0.00099", 1.2345678901234e-6: "0.0000012345678901234", -2e-9: "-2e-9", float("inf"): "Infinity"}
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(text.js_number(F.col("v")).alias("r")).collect()
+    assert [r["r"] for r in rows] == list(values.values())
