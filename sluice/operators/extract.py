@@ -114,7 +114,7 @@ def with_details(found: DataFrame, details: DataFrame, config: ExtractionConfig,
         return found
     fields = config.detail.fields
     item = items_column(F.col("html"), "body", fields)[0]
-    own = details.select(F.col("url").alias("_detail_url"), item.alias("item")).where("item IS NOT NULL")
+    own = spread(details.select("url", "html")).select(F.col("url").alias("_detail_url"), item.alias("item")).where("item IS NOT NULL")
     own = own.select("_detail_url", *(normalised(f, F.col("item.raw")[k], F.col("_detail_url"), now).alias(f"_detail_{f.name}") for k, f in enumerate(fields)))
     joined = found.join(own, found["url"] == own["_detail_url"], "left")
     names = {f.name for f in fields}
